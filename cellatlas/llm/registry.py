@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from .bpe import op8_bpe
+from .chunks import op4_chunks
+from .langid import op2_langid
 from .pii import op5_pii
 from .quality import op10_quality
 from .sharding import op1_sharding
+from .toxicity import op3_toxicity
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_langid": op2_langid,
+    "op3_toxicity": op3_toxicity,
+    "op4_chunks": op4_chunks,
     "op5_pii": op5_pii,
     "op8_bpe": op8_bpe,
     "op10_quality": op10_quality,
