@@ -5,8 +5,10 @@ from __future__ import annotations
 from .bpe import op8_bpe
 from .chunks import op4_chunks
 from .langid import op2_langid
+from .packing import op9_packing
 from .pii import op5_pii
 from .quality import op10_quality
+from .secrets import op6_secrets
 from .sharding import op1_sharding
 from .toxicity import op3_toxicity
 
@@ -16,7 +18,9 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_chunks": op4_chunks,
     "op5_pii": op5_pii,
+    "op6_secrets": op6_secrets,
     "op8_bpe": op8_bpe,
+    "op9_packing": op9_packing,
     "op10_quality": op10_quality,
 }
 
