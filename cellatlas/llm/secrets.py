@@ -103,5 +103,5 @@ def joined(spans: Column) -> Column:
 def op6_secrets(spark, sf_dir: str) -> DataFrame:
     found = with_secrets(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "secrets")
     base = F.filter("secrets", lambda m: m["kind"] != "entropy")
-    counts = [F.size(F.filter("secrets", lambda m, k=k: m["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    counts = [F.size(F.expr(f"filter(secrets, m -> m.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in BASE]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
