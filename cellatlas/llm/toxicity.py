@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -22,7 +23,7 @@ from .common import appended, documents, slices, texts
 from .labelled import held_out, sample
 
 #: Bounds of the sample that is learned from: texts of each label, windows of one text by its label.
-ROWS, WINDOWS = 2500, (32, 128)
+ROWS, WINDOWS = 2000, (24, 96)
 WINDOW = 8
 BUCKETS, DIM, GRAMS = 1 << 17, 4, (3, 4, 5)
 STEPS, RATE, MOMENTUM, SEED = 80, 1.5, 0.9, 7
@@ -58,20 +59,21 @@ def bounds(n: int) -> tuple[np.ndarray, np.ndarray]:
     return start, np.minimum(start + WINDOW, n)
 
 
-def _means(values: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(values, at, axis=0) / size[:, None]
+def _means(values: np.ndarray, index: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The means of rows of `values`, one dimension after the other, as the sample is held in memory only once."""
+    return np.stack([np.add.reduceat(values[index, d], at) / size for d in range(values.shape[1])], 1).astype(np.float32)
 
 
-def _spread(index: np.ndarray, grad: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(index, grad[:, d], n) for d in range(grad.shape[1])], 1).astype(np.float32)
+def _spread(index: np.ndarray, grad: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    """The gradients of the rows whose means these are."""
+    return np.stack([np.bincount(index, np.repeat(grad[:, d] / size, size), n) for d in range(grad.shape[1])], 1).astype(np.float32)
 
 
 def fit(rows: list[tuple[int, str]]) -> Model:
     """Gradient descent on all windows of the sample at once. After a first part, a toxic text answers for its worst windows only."""
     rng = np.random.default_rng(SEED)
     known: dict[str, int] = {}
-    tokens, sizes, owner = [], [], []
-    labels = []
+    tokens, sizes, owner, labels = array("i"), array("i"), array("i"), array("i")
     for label, text in rows:
         own = [known.setdefault(w, len(known)) for w in words(text)]
         if not own:
@@ -79,7 +81,7 @@ def fit(rows: list[tuple[int, str]]) -> Model:
         starts, ends = bounds(len(own))
         some = np.sort(rng.permutation(len(starts))[: WINDOWS[bool(label)]])
         for s, e in zip(starts[some], ends[some], strict=True):
-            tokens += own[s:e]
+            tokens.extend(own[s:e])
             sizes.append(e - s)
             owner.append(len(labels))
         labels.append(int(label))
@@ -88,11 +90,14 @@ def fit(rows: list[tuple[int, str]]) -> Model:
     if len(set(labels)) < 2:  # nothing to tell apart
         bias[labels[0] if labels else 0] = 4
         return Model(vectors * 0, weights, bias, (1.0, 0.0, 0.0))
-    tokens, sizes, owner, labels = np.asarray(tokens), np.asarray(sizes), np.asarray(owner), np.asarray(labels)
+    tokens, sizes, owner, labels = (np.frombuffer(x, np.int32) for x in (tokens, sizes, owner, labels))
     at = np.r_[0, np.cumsum(sizes)[:-1]]
-    grams = [features(w) for w in known]
-    gram_n = np.asarray([len(g) for g in grams])
-    gram = np.concatenate([np.asarray(g) for g in grams])
+    gram, gram_n = array("i"), array("i")
+    for w in known:
+        own = features(w)
+        gram.extend(own)
+        gram_n.append(len(own))
+    gram, gram_n = np.frombuffer(gram, np.int32), np.frombuffer(gram_n, np.int32)
     gram_at = np.r_[0, np.cumsum(gram_n)[:-1]]
     y = labels[owner]
     doc_at = np.r_[0, np.flatnonzero(np.diff(owner)) + 1]
@@ -100,8 +105,8 @@ def fit(rows: list[tuple[int, str]]) -> Model:
     params = (vectors, weights, bias)
     speed = [np.zeros_like(p) for p in params]
     for step in range(STEPS):
-        word_vec = _means(vectors[gram], gram_at, gram_n)
-        mean = _means(word_vec[tokens], at, sizes)
+        word_vec = _means(vectors, gram, gram_at, gram_n)
+        mean = _means(word_vec, tokens, at, sizes)
         logits = mean @ weights + bias
         p = 1 / (1 + np.exp(np.clip(logits[:, 0] - logits[:, 1], -30, 30)))
         share = np.ones(len(y))
@@ -112,9 +117,8 @@ def fit(rows: list[tuple[int, str]]) -> Model:
         for k in (0, 1):
             share[y == k] *= 0.5 / max(share[y == k].sum(), 1e-9)
         g = ((p - y) * share)[:, None] * np.array([[-1.0, 1.0]])
-        token_grad = np.repeat((g @ weights.T) / sizes[:, None], sizes, axis=0)
-        word_grad = _spread(tokens, token_grad, len(known)) / gram_n[:, None]
-        grads = (_spread(gram, np.repeat(word_grad, gram_n, axis=0), BUCKETS), mean.T @ g, g.sum(0))
+        word_grad = _spread(tokens, g @ weights.T, sizes, len(known))
+        grads = (_spread(gram, word_grad, gram_n, BUCKETS), mean.T @ g, g.sum(0))
         # one rate for all features, so that what many texts share moves most; steps have the length RATE at most
         for v, param, grad, most in zip(speed, params, grads, (RATE * 20, RATE / 20, RATE / 20), strict=True):
             v *= MOMENTUM
