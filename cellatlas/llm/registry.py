@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op8_bpe
 from .chunks import op4_chunks
 from .langid import op2_langid
+from .neardup import op7_neardup
 from .packing import op9_packing
 from .pii import op5_pii
 from .quality import op10_quality
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_chunks": op4_chunks,
     "op5_pii": op5_pii,
     "op6_secrets": op6_secrets,
+    "op7_neardup": op7_neardup,
     "op8_bpe": op8_bpe,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
