@@ -1,0 +1 @@
+"""Queries over the local star schema, with their SQL."""
