@@ -19,16 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import appended, documents, slices, texts
-from .labelled import held_out, sample
+from .common import appended, documents, slices, texts, written
+from .labelled import held_out, lowest, sampled
 
-#: Bounds of the sample that is learned from: texts of each label, windows of one text by its label.
-ROWS, WINDOWS = 2000, (24, 96)
+#: Bounds of the sample that is learned from: texts of each label, ids of each label that these are taken from, windows
+#: of a text, and of a clean one.
+ROWS, IDS, WINDOWS, CLEAN_WINDOWS = 2000, 6000, 96, 24
 WINDOW = 8
 BUCKETS, DIM, GRAMS = 1 << 17, 4, (3, 4, 5)
 STEPS, RATE, MOMENTUM, SEED = 80, 1.5, 0.9, 7
 #: Weight of toxic texts in the last calibration; below a half, as clean texts are to be left alone.
-TOXIC_SHARE = 0.3
+TOXIC_SHARE = 0.15
 _WORD = re.compile(r"[^\W\d_]+")
 _KNOWN = 1 << 19
 
@@ -69,20 +70,31 @@ def _spread(index: np.ndarray, grad: np.ndarray, size: np.ndarray, n: int) -> np
     return np.stack([np.bincount(index, np.repeat(grad[:, d] / size, size), n) for d in range(grad.shape[1])], 1).astype(np.float32)
 
 
-def fit(rows: list[tuple[int, str]]) -> Model:
-    """Gradient descent on all windows of the sample at once. After a first part, a toxic text answers for its worst windows only."""
+def some_windows(text: str) -> tuple[int, list[str]]:
+    """The number of a text's windows, and WINDOWS of them at most, drawn by a hash of the text; each as its words."""
+    own = words(text)
+    if not own:
+        return 0, []
+    starts, ends = bounds(len(own))
+    drawn = np.random.default_rng(zlib.crc32(text.encode())).permutation(len(starts))[:WINDOWS]
+    return len(starts), [" ".join(own[starts[i] : ends[i]]) for i in drawn]
+
+
+def fit(rows: list[tuple[int, int, list[str]]]) -> Model:
+    """Gradient descent on all windows of the sample (label, number of windows, some windows) at once.
+
+    After a first part, a toxic text answers for its worst windows only. Of clean texts CLEAN_WINDOWS count.
+    """
     rng = np.random.default_rng(SEED)
     known: dict[str, int] = {}
     tokens, sizes, owner, labels = array("i"), array("i"), array("i"), array("i")
-    for label, text in rows:
-        own = [known.setdefault(w, len(known)) for w in words(text)]
-        if not own:
+    for label, _, windows in rows:
+        if not windows:
             continue
-        starts, ends = bounds(len(own))
-        some = np.sort(rng.permutation(len(starts))[: WINDOWS[bool(label)]])
-        for s, e in zip(starts[some], ends[some], strict=True):
-            tokens.extend(own[s:e])
-            sizes.append(e - s)
+        for window in windows if label else windows[:CLEAN_WINDOWS]:
+            own = [known.setdefault(w, len(known)) for w in window.split()]
+            tokens.extend(own)
+            sizes.append(len(own))
             owner.append(len(labels))
         labels.append(int(label))
     vectors = (rng.standard_normal((BUCKETS, DIM)) * 0.01).astype(np.float32)
@@ -124,30 +136,29 @@ def fit(rows: list[tuple[int, str]]) -> Model:
             v *= MOMENTUM
             v -= (most * (1 - MOMENTUM) * grad / (np.sqrt((grad**2).sum()) + 1e-12)).astype(np.float32)
             param += v
-    model = Model(vectors, weights, bias, (1.0, 0.0, 0.0))
-    return model._replace(scale=_scaled(Scorer(model), rows))
-
-
-def _scaled(scorer: Scorer, rows: list[tuple[int, str]]) -> tuple[float, float, float]:
-    """A logistic regression of the label on the worst window and the number of windows, the toxic texts together weighing TOXIC_SHARE."""
-    x, y = [], []
-    for label, text in rows:
-        worst, n = scorer.worst(text)
-        if n:
-            x.append((worst, np.log(n), 1.0))
-            y.append(int(label))
-    x, y = np.asarray(x), np.asarray(y, float)
+    return Model(vectors, weights, bias, (1.0, 0.0, 0.0))
+
+
+def calibrated(model: Model, rows: list[tuple[int, float, int]]) -> Model:
+    """The model with a logistic regression of the label on a text's worst window and its number of windows.
+
+    rows: label, worst, n of whole texts; the toxic texts together weigh TOXIC_SHARE.
+    """
+    found = [(worst, np.log(n), 1.0, int(label)) for label, worst, n in rows if n]
+    if len({r[3] for r in found}) < 2:
+        return model
+    x, y = np.asarray(found)[:, :3], np.asarray([r[3] for r in found], float)
     middle, width = x.mean(0), x.std(0) + 1e-9
     middle[2], width[2] = 0, 1
     z = (x - middle) / width
-    share = np.where(y == 1, TOXIC_SHARE / max(y.sum(), 1), (1 - TOXIC_SHARE) / max((1 - y).sum(), 1))
+    share = np.where(y == 1, TOXIC_SHARE / y.sum(), (1 - TOXIC_SHARE) / (1 - y).sum())
     w = np.zeros(3)
     for _ in range(50):  # Newton's steps, a little ridge
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         h = (z * (share * p * (1 - p))[:, None]).T @ z + 1e-4 * np.eye(3)
         w -= np.linalg.solve(h, z.T @ (share * (p - y)) + 1e-4 * w)
     own = w / width
-    return float(own[0]), float(own[1]), float(w[2] - (own * middle)[:2].sum())
+    return model._replace(scale=(float(own[0]), float(own[1]), float(w[2] - (own * middle)[:2].sum())))
 
 
 class Scorer:
@@ -183,10 +194,31 @@ class Scorer:
 
 
 def learned(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id") -> Model:
-    """A model of the labelled rows that are not held out. Without any, or with one label only, it tells nothing apart."""
-    own = labels.filter(F.col(label).isNotNull() & ~held_out(doc_id)).groupBy(doc_id).agg(F.max(label).alias("_label"))
-    rows = sample(docs.select(doc_id, text).join(own, doc_id), "_label", text, ROWS, 2)
-    return fit(rows)
+    """A model of the labelled rows that are not held out. Without any, or with one label only, it tells nothing apart.
+
+    Labels choose IDS ids of each label, so the texts are met by a broadcast of bounded size and never shuffled.
+    """
+    own = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id)).groupBy(doc_id).agg(F.max(label).alias("_label"))
+    ids = lowest(own.select(F.col("_label").alias("label"), F.col(doc_id).alias("_id"), F.xxhash64(doc_id).alias("h")), IDS, 2)
+    both = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(ids.select("_id", "label")), "_id")
+
+    few = written(sampled(both, "label", "_text", ROWS, 2).select(F.col("label").cast("int").alias("label"), "text"), "toxicity-sample")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            n, some = zip(*map(some_windows, texts(batch)), strict=True) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(some, pa.list_(pa.string()))], names=["label", "n", "windows"])
+
+    model = fit([tuple(r) for r in few.mapInArrow(windows, "label int, n bigint, windows array<string>").collect()])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def worst(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in slices(batches):
+            found = [scorer.worst(x) for x in texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.int64())], names=["label", "worst", "n"])
+
+    return calibrated(model, [tuple(r) for r in few.mapInArrow(worst, "label int, worst double, n bigint").collect()])
 
 
 def with_toxicity(df: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
