@@ -25,6 +25,7 @@ from .common import documents, partitions, slices, texts, written
 VOCABULARY = "word_bpe_49k.json"
 LENGTH, END = 4096, 2
 HASHED, DIMS, BITS, SEED = 256, 3, 13, 11
+WEIGHT = 1024  # tokens for which a document counts once where ranges are made even
 _KNOWN = 1 << 19
 #: Texts of these characters only have tokens that a plain pattern finds, and lower case letter by letter.
 _UNUSUAL = re.compile(r"[^\n\t\x20-\x7eÀ-ÖØ-öø-ÿ]")
@@ -125,7 +126,8 @@ def packed(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
 
     rows = written(source.mapInArrow(encode, f"key {kind}, place bigint, n bigint, ids binary"), "tokens")
     p = max(1, partitions(spark))
-    found = rows.agg(F.percentile_approx("place", F.array(*[F.lit(i / p) for i in range(1, p)]), 20 * p)).first()[0] if p > 1 else None
+    weighed = rows.select("place", F.explode(F.array_repeat(F.lit(0), F.ceil(F.col("n") / WEIGHT).cast("int"))))  # a long document counts more than once
+    found = weighed.agg(F.percentile_approx("place", F.array(*[F.lit(i / p) for i in range(1, p)]), 20 * p)).first()[0] if p > 1 else None
     edges = sorted(set(found or []))
 
     def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
