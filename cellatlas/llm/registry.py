@@ -10,6 +10,7 @@ from .packing import op9_packing
 from .pii import op5_pii
 from .quality import op10_quality
 from .secrets import op6_secrets
+from .sql import NEARDUP, QUALITY, SECRETS
 from .sharding import op1_sharding
 from .toxicity import op3_toxicity
 
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
-SQL: dict[str, str] = {}
+SQL = {"op6_secrets": SECRETS, "op7_neardup": NEARDUP, "op10_quality": QUALITY}
