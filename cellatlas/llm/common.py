@@ -50,7 +50,7 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:
         yield x or ""
 
 
-def slices(batches: Iterator[pa.RecordBatch], chars: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], chars: int = 1 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches, cut so that one holds about `chars` bytes of text (one text at least)."""
     for batch in batches:
         at = batch.schema.get_field_index(column)

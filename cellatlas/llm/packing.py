@@ -26,7 +26,7 @@ VOCABULARY = "word_bpe_49k.json"
 LENGTH, END = 4096, 2
 HASHED, DIMS, BITS, SEED = 256, 3, 13, 11
 WEIGHT = 1024  # tokens for which a document counts once where ranges are made even
-_KNOWN = 1 << 19
+_KNOWN = 1 << 17
 #: Texts of these characters only have tokens that a plain pattern finds, and lower case letter by letter.
 _UNUSUAL = re.compile(r"[^\n\t\x20-\x7eÀ-ÖØ-öø-ÿ]")
 _PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")

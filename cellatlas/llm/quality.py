@@ -22,7 +22,7 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 #: How much likelier each failure is in a bad document than in a good one; the last: that there is no failure.
 ODDS = {"base": 1e9, "symbols": 50.0, "dup_lines": 6.0, "word_length": 6.0, "none": 0.02}
-_WORDS = 1 << 19
+_WORDS = 1 << 16
 
 
 class _Codes(dict):

@@ -10,7 +10,7 @@ import xxhash
 SHINGLE = 5
 PERMUTATIONS, ROWS = 128, 8  # two values each; so many of them a band
 BANDS = 2 * PERMUTATIONS // ROWS
-_WORDS = 1 << 19
+_WORDS = 1 << 16
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _RNG = np.random.default_rng(20)
 _SCALE = _RNG.integers(1 << 63, size=PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -31,7 +31,7 @@ STEPS, RATE, MOMENTUM, SEED = 80, 1.5, 0.9, 7
 #: Weight of toxic texts in the last calibration; below a half, as clean texts are to be left alone.
 TOXIC_SHARE = 0.15
 _WORD = re.compile(r"[^\W\d_]+")
-_KNOWN = 1 << 19
+_KNOWN = 1 << 17
 
 
 class Model(NamedTuple):
