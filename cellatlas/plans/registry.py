@@ -156,8 +156,8 @@ def cosine_topk(a):
     return rounded(rank.semantic_ranking(a.vector_queries, a.vectors, 5))
 
 
-TEXTS = [(1, "cells of the united states"), (2, "saudi arabia and germany tissue"), (3, "fra"), (4, "")]
-TEXT_SQL = "texts AS (SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'cells of the united states'), (2, 'saudi arabia and germany tissue'), (3, 'fra'), (4, '')) t(qid, text))"
+TEXTS = [(1, "cells of the nation"), (2, "state and germany tissue"), (3, "fra"), (4, "")]
+TEXT_SQL = "texts AS (SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'cells of the nation'), (2, 'state and germany tissue'), (3, 'fra'), (4, '')) t(qid, text))"
 BOOSTS = """names AS (SELECT cluster_id, list_filter(regexp_split_to_array(replace(replace(lower(cluster_id), '-', ' '), '_', ' '), '\\s+'), lambda p: length(p) > 3) AS parts FROM clusters),
 nb AS (SELECT qid, cluster_id, len(list_filter(parts, lambda p: contains(lower(text), p))) / greatest(len(parts), 1) AS ratio FROM texts CROSS JOIN names)"""
 
@@ -193,8 +193,8 @@ def rrf_fusion(a):
     return rounded(rank.fused([(x, 3.0), (y, 1.0)], top=10))
 
 
-TERMS = [("state", "UNITED STATES"), ("germany", "GERMANY"), ("fra", "FRANCE"), ("saudi", "NOWHERE")]
-TERM_SQL = "terms AS (SELECT * FROM (VALUES ('state', 'UNITED STATES'), ('germany', 'GERMANY'), ('fra', 'FRANCE'), ('saudi', 'NOWHERE')) t(term, cluster_id))"
+TERMS = [("state", "NATION_7"), ("germany", "NATION_3"), ("fra", "NATION_5"), ("tissue", "NOWHERE")]
+TERM_SQL = "terms AS (SELECT * FROM (VALUES ('state', 'NATION_7'), ('germany', 'NATION_3'), ('fra', 'NATION_5'), ('tissue', 'NOWHERE')) t(term, cluster_id))"
 
 
 @query(
@@ -249,7 +249,7 @@ def route_gene_list(a):
     return _routed(a, "gene_list")
 
 
-SYN = ", hit AS (SELECT CAST(1 AS BIGINT) AS qid, cluster_id, 0.1 AS b FROM (VALUES ('UNITED STATES'), ('GERMANY')) t(cluster_id)) SELECT qid, cluster_id, round(score, 6) AS score, rank FROM (SELECT qid, cluster_id, score, row_number() OVER (ORDER BY score DESC, cluster_ord) AS rank FROM (SELECT qid, cluster_id, coalesce(score, 0) + coalesce(b, 0) AS score FROM {0} FULL JOIN hit USING (qid, cluster_id)) JOIN clusters USING (cluster_id)) WHERE rank <= 5"
+SYN = ", hit AS (SELECT CAST(1 AS BIGINT) AS qid, cluster_id, 0.1 AS b FROM (VALUES ('NATION_7'), ('NATION_3')) t(cluster_id)) SELECT qid, cluster_id, round(score, 6) AS score, rank FROM (SELECT qid, cluster_id, score, row_number() OVER (ORDER BY score DESC, cluster_ord) AS rank FROM (SELECT qid, cluster_id, coalesce(score, 0) + coalesce(b, 0) AS score FROM {0} FULL JOIN hit USING (qid, cluster_id)) JOIN clusters USING (cluster_id)) WHERE rank <= 5"
 
 
 @query(SYN.format("(SELECT qid, cluster_id, 1.0 / rank AS score FROM ss)"), CELLS, DENSE, TWO, ROUTED)
@@ -320,9 +320,9 @@ def regex_genes(a):
     return a.table("documents").select("doc_id", F.explode(T.mentioned(F.col("text"), "[A-Z][A-Z0-9]{2,9}")).alias("gene"))
 
 
-@query("SELECT cluster_id, CASE WHEN length(cluster_id) > 8 THEN substr(cluster_id, 1, 7) || '.' ELSE cluster_id END AS short, lower(cluster_id) LIKE '%united%' AS named FROM clusters WHERE lower(cluster_id) LIKE '%united%' OR NOT EXISTS (SELECT 1 FROM clusters WHERE lower(cluster_id) LIKE '%united%')", CELLS)
+@query("SELECT cluster_id, CASE WHEN length(cluster_id) > 8 THEN substr(cluster_id, 1, 7) || '.' ELSE cluster_id END AS short, lower(cluster_id) LIKE '%nation_1%' AS named FROM clusters WHERE lower(cluster_id) LIKE '%nation_1%' OR NOT EXISTS (SELECT 1 FROM clusters WHERE lower(cluster_id) LIKE '%nation_1%')", CELLS)
 def named_clusters(a):
-    return interact.named_clusters(a.clusters, "United").select("cluster_id", T.short_name(F.col("cluster_id"), 8).alias("short"), F.lower("cluster_id").contains("united").alias("named"))
+    return interact.named_clusters(a.clusters, "Nation_1").select("cluster_id", T.short_name(F.col("cluster_id"), 8).alias("short"), F.lower("cluster_id").contains("nation_1").alias("named"))
 
 
 # Interactions
@@ -351,7 +351,7 @@ def lr_by_pair(a):
 
 @query("SELECT count(*) AS n, avg(CASE WHEN EXISTS (SELECT 1 FROM lr WHERE lr.ligand = t.ligand AND lr.receptor = t.receptor) THEN 1.0 ELSE 0.0 END) AS lr_rate FROM pairs t", CELLS, SPARSE, STATS, PAIRS, LR)
 def lr_recovery(a):
-    truth = a.pairs.select("ligand", "receptor", F.lit("GERMANY").alias("source"), F.lit("FRANCE").alias("target"))
+    truth = a.pairs.select("ligand", "receptor", F.lit("NATION_3").alias("source"), F.lit("NATION_5").alias("target"))
     return evalkit.recovered(truth, _lr(a)).select("n", "lr_rate")
 
 
@@ -535,7 +535,7 @@ def gene_on_cells(a):
     return rounded(profile.gene_on_cells(a.sparse, a.cells, "G1"))
 
 
-PIVOT = ["GERMANY", "FRANCE", "CHINA"]
+PIVOT = ["NATION_3", "NATION_5", "NATION_7"]
 
 
 @query(", best AS (SELECT gene FROM stats GROUP BY 1 ORDER BY max(round(logfc, 9)) DESC, gene LIMIT 20) SELECT gene, " + ", ".join(f"round(coalesce(max(CASE WHEN cluster_id = '{c}' THEN logfc END), 0), 6) AS \"{c}\"" for c in PIVOT) + " FROM stats JOIN best USING (gene) GROUP BY 1", CELLS, DENSE, STATS)
