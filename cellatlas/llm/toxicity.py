@@ -26,12 +26,13 @@ from .labelled import held_out, lowest, sampled
 #: of a text, and of a clean one.
 ROWS, IDS, WINDOWS, CLEAN_WINDOWS = 2000, 6000, 96, 24
 WINDOW = 8
-BUCKETS, DIM, GRAMS = 1 << 17, 4, (3, 4, 5)
+BUCKETS, DIM, GRAMS = 1 << 17, 4, (3, 5)  # n-grams from three characters to five
+_BITS32, _SPREAD, _SHIFT = 0xFFFFFFFF, 0x9E3779B1, 15
 STEPS, RATE, MOMENTUM, SEED = 80, 1.5, 0.9, 7
 #: Weight of toxic texts in the last calibration; below a half, as clean texts are to be left alone.
 TOXIC_SHARE = 0.15
 _WORD = re.compile(r"[^\W\d_]+")
-_KNOWN = 1 << 17
+_KNOWN = 1 << 18
 
 
 class Model(NamedTuple):
@@ -46,11 +47,23 @@ def words(text: str) -> list[str]:
 
 
 def features(word: str) -> list[int]:
-    """Buckets of the word itself and of its n-grams, its ends marked; of a long word too, all of them."""
-    w = f"<{word}>"
-    out = [zlib.crc32(w.encode()) % BUCKETS]
-    for n in GRAMS:
-        out += [zlib.crc32(w[i : i + n].encode(), n) % BUCKETS for i in range(len(w) - n + 1)]
+    """Buckets of the word itself and of its n-grams, its ends marked; of a long word too, all of them.
+
+    The hash of an n-gram goes on from that of the shorter one with the same beginning.
+    """
+    codes = [60, *map(ord, word), 62]
+    n = len(codes)
+    h = 0
+    for c in codes:
+        h = (h * 0x01000193 ^ c) & _BITS32
+    out = [(h * _SPREAD & _BITS32) >> _SHIFT]
+    add = out.append
+    for i in range(n - 2):
+        h = ((codes[i] * 0x01000193 ^ codes[i + 1]) * 0x01000193 ^ codes[i + 2]) & _BITS32
+        add((h * _SPREAD & _BITS32) >> _SHIFT)
+        for j in range(i + GRAMS[0], min(i + GRAMS[1], n)):
+            h = (h * 0x01000193 ^ codes[j]) & _BITS32
+            add((h * _SPREAD & _BITS32) >> _SHIFT)
     return out
 
 
@@ -161,27 +174,29 @@ def calibrated(model: Model, rows: list[tuple[int, float, int]]) -> Model:
     return model._replace(scale=(float(own[0]), float(own[1]), float(w[2] - (own * middle)[:2].sum())))
 
 
-class Scorer:
-    """A fitted model in a worker process; keeps the logits of words it has met, within a bound."""
+class Scorer(dict):
+    """A fitted model in a worker process: the logits of words it has met, within a bound."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.line = model.vectors @ (model.weights[:, 1] - model.weights[:, 0])
+        self.line = (model.vectors @ (model.weights[:, 1] - model.weights[:, 0])).tolist()
         self.bias = float(model.bias[1] - model.bias[0])
-        self.known: dict[str, float] = {}
 
-    def logit(self, word: str) -> float:
-        if len(self.known) >= _KNOWN:
-            self.known.clear()
-        x = self.known[word] = float(self.line[features(word)].mean())
+    def __missing__(self, word: str) -> float:
+        if len(self) >= _KNOWN:
+            self.clear()
+        line, own = self.line, features(word)
+        x = sum([line[i] for i in own]) / len(own)
+        if len(word) < 64:
+            self[word] = x
         return x
 
     def worst(self, text: str) -> tuple[float, int]:
-        known, new = self.known, self.logit
-        own = [known[w] if w in known else new(w) for w in words(text)]
+        own = list(map(self.__getitem__, words(text)))
         if not own:
             return 0.0, 0
-        total = np.r_[0.0, np.cumsum(own)]
+        total = np.zeros(len(own) + 1)
+        np.cumsum(own, out=total[1:])
         start, end = bounds(len(own))
         return float(((total[end] - total[start]) / (end - start)).max()) + self.bias, len(start)
 
