@@ -8,16 +8,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import text as T
 from ..operators import evalkit, genesets, interact, meta, profile, rank
 from ..operators.encode import TextEncoder
 from ..sources import catalog
 
-# Names that mark a column as a condition, in this order, and such that never do.
-CONDITION_WORDS = ("condition", "disease", "treatment", "status", "diagnosis", "group")
-NO_CONDITION = ("sex", "gender", "batch", "donor", "cluster", "cell")
-
-
 @dataclass
 class Engine:
     """Frames of an atlas; optional ones may be None. `encoder` makes query vectors of the clusters' kind."""
@@ -36,8 +32,8 @@ class Engine:
     weights: tuple[float, float] = (1.0, 1.0)
     name_boost: float = 0.15
     synonym_boost: float = 0.10
-    prefixes: Sequence[str] = ()
-    ordinary: Sequence[str] = ()
+    prefixes: Sequence[str] = fixed.GENE_PREFIXES
+    ordinary: Sequence[str] = fixed.ORDINARY_WORDS
     log: list[dict] = field(default_factory=list)
 
     @classmethod
@@ -82,8 +78,8 @@ class Engine:
         if self.encoder is None:
             out = by_genes.filter(F.col("rank") <= top)
         else:
-            none = self.spark.createDataFrame([], "term string, cluster_id string")
-            out = rank.route(mode, by_genes, self.by_meaning(text, 2 * top), self.by_meaning(text, 2 * top, False), self._texts(text), self.synonyms or none, self.clusters, top, self.k, self.weights)
+            usual = self.spark.createDataFrame([(t, c) for t, of in fixed.QUERY_SYNONYMS.items() for c in of], "term string, cluster_id string")
+            out = rank.route(mode, by_genes, self.by_meaning(text, 2 * top), self.by_meaning(text, 2 * top, False), self._texts(text), usual if self.synonyms is None else self.synonyms, self.clusters, top, self.k, self.weights)
         self.log.append({"query": text, "mode": mode})
         return rank.with_genes(out, self.stats, genes)
 
@@ -101,8 +97,8 @@ class Engine:
         return meta.composition(self.cells) if column is None else meta.fold_changes(meta.condition_composition(self.meta, column))
 
     def conditions(self) -> DataFrame:
-        words = self.spark.createDataFrame(list(enumerate(CONDITION_WORDS)), "kw_ord int, kw string")
-        return meta.detect_condition(self.meta, words, NO_CONDITION)
+        words = self.spark.createDataFrame(list(enumerate(fixed.CONDITION_WORDS)), "kw_ord int, kw string")
+        return meta.detect_condition(self.meta, words, fixed.NO_CONDITION_WORDS)
 
     def compare(self, a: str, b: str, genes: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
         """The biased clusters' genes, and those enriched on each side; groups are found in any column, whatever their case."""
@@ -118,6 +114,10 @@ class Engine:
         sets = self.sets if name is None else self.sets.join(genesets.resolved_set(self.sets, name).select("set_name"), "set_name", "left_semi")
         return genesets.set_scores(self.stats, sets, self.clusters, metric)
 
+    def cell_cycle(self, metric: str = "pct_in") -> DataFrame:
+        rows = [(n, g) for n, own in (("S", fixed.S_PHASE), ("G2M", fixed.G2M_PHASE)) for g in own]
+        return genesets.cell_cycle(self.stats, self.spark.createDataFrame(rows, "set_name string, gene string"), self.clusters, "S", "G2M", metric)
+
     def specificity(self, top: int = 20) -> DataFrame:
         return profile.top_specific(profile.marker_specificity(self.stats), top)
 

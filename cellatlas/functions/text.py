@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# They decide which tokens count as genes or as ordinary words, and so must be these.
-GENE_PATTERN = r"^[A-Z][A-Z0-9]{1,14}(?:-[A-Z0-9]{1,6})?$"
+from .fixed import CLUSTER_ALIASES, GENE_PATTERN, GENE_PREFIXES, ORDINARY_WORDS
+
+# What is stripped off a token, and the shares of a query's tokens that decide its mode.
 TOKEN_EDGES = ".,;:()"
 GENE_SHARE, MIXED_SHARE = 0.6, 0.2
 
@@ -28,7 +29,7 @@ def n_tokens(text: Column) -> Column:
     return F.size(F.filter(F.split(trimmed(text), r"\s+"), lambda t: t != ""))
 
 
-def gene_like(token: Column, prefixes: Sequence[str]) -> Column:
+def gene_like(token: Column, prefixes: Sequence[str] = GENE_PREFIXES) -> Column:
     """By its form: the pattern, and a known prefix or a digit in three characters or more."""
     prefix = F.lit(False)
     for p in prefixes:
@@ -36,7 +37,7 @@ def gene_like(token: Column, prefixes: Sequence[str]) -> Column:
     return token.rlike(GENE_PATTERN) & (prefix | (token.rlike("[0-9]") & (F.length(token) >= 3)))
 
 
-def query_mode(text: Column, universe: Column, prefixes: Sequence[str], ordinary: Sequence[str]) -> Column:
+def query_mode(text: Column, universe: Column, prefixes: Sequence[str] = GENE_PREFIXES, ordinary: Sequence[str] = ORDINARY_WORDS) -> Column:
     """gene_list, mixed or ontology, by the shares of gene tokens and ordinary words among all tokens.
 
     universe: an array of gene names in upper case, of the size of a gene list.
@@ -50,7 +51,7 @@ def query_mode(text: Column, universe: Column, prefixes: Sequence[str], ordinary
     return F.when(share(genes) >= GENE_SHARE, "gene_list").when((share(genes) >= MIXED_SHARE) & (share(plain) >= MIXED_SHARE), "mixed").otherwise("ontology")
 
 
-def gene_names(text: Column, universe: Column, ordinary: Sequence[str]) -> Column:
+def gene_names(text: Column, universe: Column, ordinary: Sequence[str] = ORDINARY_WORDS) -> Column:
     """Tokens of the universe, or of a gene's form and no ordinary word; in order, repeats kept."""
     words = F.array(*[F.lit(w.upper()) for w in ordinary]) if ordinary else F.array().cast("array<string>")
     return F.filter(tokens(text), lambda t: F.array_contains(universe, t) | (t.rlike(GENE_PATTERN) & ~F.array_contains(words, t)))
@@ -104,10 +105,12 @@ def short_name(x: Column, most: int = 25) -> Column:
     return F.when(F.length(x) > most, F.concat(F.substring(x, 1, most - 1), F.lit("."))).otherwise(x)
 
 
-def synonyms(cluster: Column, rules: Column) -> Column:
-    """The rules' names and what stands before the first comma, each once, the name itself left out."""
-    before = trimmed(F.split(cluster, ",")[0])
-    return F.array_sort(F.array_distinct(F.filter(F.concat(F.coalesce(rules, F.array().cast("array<string>")), F.array(before)), lambda s: (s != cluster) & (s != ""))))
+def synonyms(cluster: Column, rules: Mapping[str, Sequence[str]] = CLUSTER_ALIASES) -> Column:
+    """The name, its rule's names and what stands before its first comma, each once, sorted."""
+    own = F.array().cast("array<string>")
+    for name, others in rules.items():
+        own = F.when(cluster == name, F.array(*[F.lit(x) for x in others])).otherwise(own)
+    return F.array_sort(F.array_distinct(F.filter(F.concat(F.array(cluster, trimmed(F.split(cluster, ",")[0])), own), lambda s: s != "")))
 
 
 def base_id(ensembl: Column) -> Column:

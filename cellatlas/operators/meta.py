@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fixed import ANNOTATION_KEYS, CLUSTERING_KEYS
+
 
 def long_form(cells: DataFrame, columns: Sequence[str]) -> DataFrame:
     """cell_id, cluster_id, col_ord, col, value: a row for each column of a cell; a missing value is the text nan."""
@@ -20,7 +22,7 @@ def chosen_columns(cells: DataFrame, columns: Sequence[str], most_values: int =
     return [c for c in columns if 1 < n[c] <= most_values][:most_columns]
 
 
-def cluster_key(cells: DataFrame, candidates: Sequence[str], least: int = 2, most: int = 200) -> str | None:
+def cluster_key(cells: DataFrame, candidates: Sequence[str] = (*ANNOTATION_KEYS, *CLUSTERING_KEYS), least: int = 2, most: int = 200) -> str | None:
     """The first candidate of the table that has `least` to `most` values."""
     there = [c for c in candidates if c in cells.columns]
     if not there:

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.fixed import SYMBOL_COLUMNS
 from ..functions.text import base_id
 
 TABLES = ("clusters", "gene_stats", "cluster_meta", "terms", "synonyms", "cells", "expr", "manifest")
@@ -68,6 +69,13 @@ def unique_symbols(genes: DataFrame) -> DataFrame:
     return genes.withColumn("_r", r).withColumn("symbol", F.when(F.col("_r") > 0, F.concat_ws("-", "symbol", F.col("_r").cast("string"))).otherwise(F.col("symbol"))).drop("_r")
 
 
+def symbol_column(genes: DataFrame, names: Sequence[str] = SYMBOL_COLUMNS) -> str | None:
+    """The first known column whose first value is no Ensembl id."""
+    there = [c for c in names if c in genes.columns]
+    first = genes.orderBy("gene_idx").select(*there).first() if there else None
+    return next((c for c in there if first is not None and not str(first[c]).startswith("ENSG")), None)
+
+
 def looks_ensembl(genes: DataFrame, column: str = "symbol", first: int = 10, least: int = 5) -> bool:
     rows = genes.orderBy("gene_idx").limit(first).agg(F.sum(F.col(column).startswith("ENSG").cast("int"))).first()
     return (rows[0] or 0) >= least

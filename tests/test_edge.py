@@ -53,6 +53,11 @@ def test_compare(engine):
         engine.compare("nobody", "noone")
 
 
+def test_phases_and_conditions(engine):
+    assert {r["phase"] for r in engine.cell_cycle().collect()} == {"G1"}
+    assert engine.conditions().first()["col"] == "balance"
+
+
 def test_report_and_payload(engine, tmp_path):
     text = report.markdown("Title", [("Clusters", "All of them.", {"info": engine.info()})], rows=3)
     assert text.count("\n| ") == 4 and report.written(text, str(tmp_path / "r.md")).endswith("r.md")
@@ -92,6 +97,8 @@ def test_gene_maps(spark, tmp_path):
     genes = spark.createDataFrame([(0, "ENSG1.9"), (1, "ENSG2"), (2, "ENSG3.1")], "gene_idx int, ensembl_id string")
     named = catalog.unique_symbols(catalog.mapped_genes(genes, catalog.gene_map(spark, str(path))))
     assert [r["symbol"] for r in named.orderBy("gene_idx").collect()] == ["B", "B-1", "ENSG3"]
+    columns = genes.selectExpr("gene_idx", "ensembl_id AS symbol", "'A' AS gene")
+    assert catalog.symbol_column(columns) == "gene" and catalog.symbol_column(genes) is None
     assert catalog.looks_ensembl(genes, "ensembl_id", least=3) and not catalog.looks_ensembl(genes, "ensembl_id")
 
 

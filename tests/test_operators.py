@@ -80,7 +80,8 @@ def test_names(spark):
     alike = lambda a, b: one(spark, T.alike(F.col("a"), F.col("b")), a=a, b=b)
     assert alike("T cell", "t cell memory") and alike("a b", "b c d a") and not alike("a b", "c d") and not alike("", "x")
     assert one(spark, T.short_name(F.col("a")), a="x" * 30) == "x" * 24 + "."
-    assert one(spark, T.synonyms(F.col("a"), F.array(F.lit("s"))), a="T cell, memory") == ["T cell", "s"]
+    assert one(spark, T.synonyms(F.col("a")), a="T cell, memory") == ["T cell", "T cell, memory"]
+    assert one(spark, T.synonyms(F.col("a")), a="natural killer cell") == ["NK", "NK cell", "natural killer cell"]
     assert one(spark, T.base_id(F.col("a")), a="ENSG01.5") == "ENSG01"
 
 
