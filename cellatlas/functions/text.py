@@ -122,3 +122,32 @@ def percent_text(value: Column, share: Column) -> Column:
     return F.format_string("%s (%.0f%%)", value, share * 100)
 
 
+
+
+def _any_of(pairs: Mapping[str, Sequence[str]], is_key, hit) -> Column:
+    found = F.lit(False)
+    for name, others in pairs.items():
+        for other in others:
+            found = found | (is_key(name) & hit(other))
+    return found
+
+
+def pathways_alike(a: Column, b: Column, aliases: Mapping[str, Sequence[str]] | None = None) -> Column:
+    """One name holds the other, they share two words, or a holds a name of `aliases` and b one of its other forms."""
+    x, y = F.translate(F.lower(a), "-/", "  "), F.translate(F.lower(b), "-/", "  ")
+    other = _any_of(aliases or {}, lambda name: x.contains(name.lower()), lambda form: y.contains(form.lower()))
+    return (trimmed(x) != "") & (trimmed(y) != "") & (x.contains(y) | y.contains(x) | (F.size(F.array_intersect(words(x), words(y))) >= 2) | other)
+
+
+def clusters_alike(a: Column, b: Column, aliases: Mapping[str, Sequence[str]] | None = None, common: Sequence[str] = ("like", "cells", "cell", "type", "the", "and", "of")) -> Column:
+    """One name (or one of a's aliases) holds the other, or they share a word that isn't common."""
+    x, y = trimmed(F.lower(a)), trimmed(F.lower(b))
+    other = _any_of(aliases or {}, lambda name: a == name, lambda form: y.contains(form.lower()) | F.lit(form.lower()).contains(y))
+    split = lambda n: words(F.translate(n, "-+_", "   "))
+    shared = F.array_except(F.array_intersect(split(x), split(y)), F.array(*[F.lit(w) for w in common]))
+    return (x != "") & (y != "") & (x.contains(y) | y.contains(x) | other | (F.size(shared) > 0))
+
+
+def digits_first(x: Column) -> list[Column]:
+    """An order in which names of digits only come first; each part by its characters."""
+    return [~x.rlike("^[0-9]+$"), x]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, normalized
-from .stats import specificity
+from .stats import clustered, specificity
 
 
 def marker_specificity(stats: DataFrame, genes: DataFrame | None = None) -> DataFrame:
@@ -80,7 +80,7 @@ def dotplot(expr: DataFrame, cells: DataFrame, genes: DataFrame) -> DataFrame:
     """cluster_id, gene, pct, mean, z for each cluster and each asked gene; z over the clusters, 0 for a constant gene."""
     sizes = cells.groupBy("cluster_id").agg(F.count("*").alias("n"))
     asked = genes.select("gene").distinct()
-    own = expr.join(asked, "gene", "left_semi").join(cells.select("cell_id", "cluster_id"), "cell_id").groupBy("cluster_id", "gene").agg(F.count("*").alias("k"), F.sum("value").alias("s"))
+    own = clustered(expr.join(asked, "gene", "left_semi"), cells).groupBy("cluster_id", "gene").agg(F.count("*").alias("k"), F.sum("value").alias("s"))
     every = sizes.join(asked, F.lit(True)).join(own, ["cluster_id", "gene"], "left")
     found = every.select("cluster_id", "gene", (F.coalesce("k", F.lit(0)) / F.col("n")).alias("pct"), (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("mean"))
     at = Window.partitionBy("gene")

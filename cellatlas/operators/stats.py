@@ -23,6 +23,11 @@ def log_normalized(expr: DataFrame, target: float = 1e4, over: float = 50.0) ->
     return expr.withColumn("value", F.when(raw, F.log1p(F.col("value") * target / total)).otherwise(F.col("value")))
 
 
+def clustered(expr: DataFrame, cells: DataFrame) -> DataFrame:
+    """expr with cluster_id. Where it was stored with it, as a large atlas should be, nothing is joined."""
+    return expr if "cluster_id" in expr.columns else expr.join(cells.select("cell_id", "cluster_id"), "cell_id")
+
+
 def cluster_sizes(cells: DataFrame) -> DataFrame:
     """cluster_id, n_in, and n_all on each row. One row a cluster, so the window over all of them is small."""
     return cells.groupBy("cluster_id").agg(F.count("*").alias("n_in")).withColumn("n_all", F.sum("n_in").over(Window.partitionBy(F.lit(1))))
@@ -34,7 +39,7 @@ def gene_stats(expr: DataFrame, cells: DataFrame) -> DataFrame:
     One pass: what lies outside a cluster is the gene's total less what lies inside. Cells without a value count.
     Shuffles carry partial sums by (cluster, gene), not cells, once each cell has its cluster.
     """
-    summed = expr.join(cells.select("cell_id", "cluster_id"), "cell_id").groupBy("cluster_id", "gene").agg(F.count("*").alias("nnz"), F.sum(F.expm1("value")).alias("s"))
+    summed = clustered(expr, cells).groupBy("cluster_id", "gene").agg(F.count("*").alias("nnz"), F.sum(F.expm1("value")).alias("s"))
     gene = Window.partitionBy("gene")
     both = summed.withColumn("nnz_all", F.sum("nnz").over(gene)).withColumn("s_all", F.sum("s").over(gene)).join(cluster_sizes(cells), "cluster_id")
     n_out = F.col("n_all") - F.col("n_in")
@@ -51,19 +56,21 @@ def gene_stats(expr: DataFrame, cells: DataFrame) -> DataFrame:
     )
 
 
-def rank_sums(expr: DataFrame, cells: DataFrame) -> DataFrame:
+def rank_sums(expr: DataFrame, cells: DataFrame, grid: int = 32) -> DataFrame:
     """cluster_id, gene, z of the rank-sum test of the cluster's cells against all others, for each expressing cluster.
 
     Equal values share their mean rank. Zeros are one block below all values: n0 of them, of mean rank (n0 + 1) / 2.
-    Ranks run over (gene, value) counts, so ties shrink what a gene's window sorts.
+    Ranks run over (gene, value) counts, and inside steps of 1 / grid of the value: the steps of a gene are few, so no
+    task orders all cells of a gene.
     """
-    joined = expr.join(cells.select("cell_id", "cluster_id"), "cell_id")
-    tied = joined.groupBy("gene", "value", "cluster_id").agg(F.count("*").alias("k"))
-    at = Window.partitionBy("gene", "value")
-    each = tied.withColumn("ties", F.sum("k").over(at))
-    values = each.select("gene", "value", "ties").distinct()
-    below = Window.partitionBy("gene").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = values.select("gene", "value", (F.coalesce(F.sum("ties").over(below), F.lit(0)) + (F.col("ties") + 1) / 2).alias("r"))
+    step = F.floor(F.col("value") * grid)
+    tied = clustered(expr, cells).groupBy("gene", "value", "cluster_id").agg(F.count("*").alias("k")).withColumn("step", step)
+    values = tied.groupBy("gene", "step", "value").agg(F.sum("k").alias("ties"))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    base = values.groupBy("gene", "step").agg(F.sum("ties").alias("n")).select("gene", "step", F.coalesce(F.sum("n").over(before("gene").orderBy("step")), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("ties").over(before("gene", "step").orderBy("value")), F.lit(0)) + (F.col("ties") + 1) / 2
+    ranks = values.withColumn("inside", inside).join(base, ["gene", "step"]).select("gene", "value", (F.col("base") + F.col("inside")).alias("r"))
+    each = tied
     summed = each.join(ranks, ["gene", "value"]).groupBy("cluster_id", "gene").agg(F.sum("k").alias("nnz"), F.sum(F.col("k") * F.col("r")).alias("r"))
     both = summed.withColumn("nnz_all", F.sum("nnz").over(Window.partitionBy("gene"))).join(cluster_sizes(cells), "cluster_id")
     n1, n, n0 = F.col("n_in"), F.col("n_all"), F.col("n_all") - F.col("nnz_all")

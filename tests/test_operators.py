@@ -225,3 +225,12 @@ def test_encoder_and_tokens(spark):
     assert encode.cell_tokens(expr, vocabulary, 3).first()["tokens"] == [0, 2, 3]
     out = encode.model_vectors(encode.cell_tokens(expr, vocabulary), lambda: lambda batch: [[float(len(t))] for t in batch])
     assert out.first()["vec"] == [4.0]
+
+
+def test_further_matches(spark):
+    paths = lambda a, b: one(spark, T.pathways_alike(F.col("a"), F.col("b"), {"x stress": ["upr"]}), a=a, b=b)
+    assert paths("Cell-cycle", "the cell cycle") and paths("a b c", "c z b") and paths("ER x stress response", "UPR genes") and not paths("a b", "b c") and not paths("", "a")
+    names = lambda a, b: one(spark, T.clusters_alike(F.col("a"), F.col("b"), {"A-like": ["alpha"]}), a=a, b=b)
+    assert names("A-like", "alpha cells") and names("big T-cell", "T_x") and not names("b cell", "t cell")
+    rows = spark.createDataFrame([("b",), ("10",), ("2",)], "x string").orderBy(*T.digits_first(F.col("x"))).collect()
+    assert [r[0] for r in rows] == ["10", "2", "b"]
