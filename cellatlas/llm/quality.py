@@ -21,7 +21,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 #: How much likelier each failure is in a bad document than in a good one; the last: that there is no failure.
-ODDS = {"base": 1e9, "symbols": 50.0, "dup_lines": 6.0, "word_length": 6.0, "none": 0.02}
+ODDS = {"base": 1e9, "symbols": 50.0, "dup_lines": 3.0, "word_length": 6.0, "none": 0.02}
 _WORDS = 1 << 16
 
 
@@ -85,7 +85,7 @@ def rules() -> dict[str, Column]:
     """Each rule's failure, from COUNTS."""
     return {
         "base": base_failed(),
-        "symbols": 10 * F.col("n_symbols") > F.col("word_chars"),
+        "symbols": 20 * F.col("n_symbols") > F.col("word_chars"),
         "dup_lines": 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
         "word_length": (F.col("word_chars") > 15 * F.col("n_words")) | (F.col("word_chars") < 2 * F.col("n_words")),
     }

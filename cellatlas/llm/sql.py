@@ -12,7 +12,7 @@ SPACE = r"[\x20\x09-\x0D]"
 
 _FAILED = {
     "base": "n_words < 50 OR 100 * n_repeat_words > 50 * n_words",
-    "symbols": "10 * n_symbols > word_chars",
+    "symbols": "20 * n_symbols > word_chars",
     "dup_lines": "10 * n_dup_lines > 3 * n_lines",
     "word_length": "word_chars > 15 * n_words OR word_chars < 2 * n_words",
 }
