@@ -31,7 +31,7 @@ meta AS (SELECT cluster_id, n_cells, col_ord, col, value, n, n / n_cells AS frac
 SETS = """sets AS (SELECT p_type AS set_name, dense_rank() OVER (ORDER BY p_type) AS set_ord, p_partkey AS gene_ord, 'G' || p_partkey AS gene FROM part),
 nsets AS (SELECT split_part(p_name, ' ', 2) AS set_name, p_name AS gene FROM part GROUP BY 1, 2)"""
 PAIRS = """pairs AS (SELECT a.p_partkey AS lr_ord, 'G' || a.p_partkey AS ligand, 'G' || b.p_partkey AS receptor, a.p_type AS pathway FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 AND a.p_type = b.p_type)"""
-QUERIES = """queries AS (SELECT CAST(g % 5 AS BIGINT) AS qid, 'G' || g AS gene_u FROM range(1, 16) t(g) UNION ALL SELECT 0, 'NONE')"""
+ASKED = """queries AS (SELECT CAST(g % 5 AS BIGINT) AS qid, 'G' || g AS gene_u FROM range(1, 16) t(g) UNION ALL SELECT 0, 'NONE')"""
 VECTORS = """unnested AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 means AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM unnested GROUP BY 1, 2),
 lengths AS (SELECT label, sqrt(sum(m * m)) AS len FROM means GROUP BY 1),

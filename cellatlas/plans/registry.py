@@ -9,39 +9,20 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evalkit, genesets, interact, meta, profile, rank, stats
-from .fixture import CELLS, DENSE, META, PAIRS, QUERIES, SETS, SPARSE, STATS, VECTORS, Atlas
-
-_QUERIES: dict[str, Callable[[Atlas], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str, *ctes: str):
-    """Registers the function under its name; `ctes` go before the SQL."""
-
-    def register(f: Callable[[Atlas], DataFrame]):
-        _QUERIES[f.__name__] = f
-        _SQL[f.__name__] = (f"WITH {', '.join(ctes)} " if ctes else "") + sql
-        return f
-
-    return register
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, whole numbers as long: what a comparison by value can hold."""
-    kinds = {"double": lambda c: F.round(c, digits), "float": lambda c: F.round(c.cast("double"), digits), "int": lambda c: c.cast("long")}
-    return df.select(*[kinds[t](F.col(c)).alias(c) if t in kinds else F.col(c) for c, t in df.dtypes])
-
+from . import more  # noqa: F401  registers its queries
+from .base import QUERIES, SQL, query, rounded, unchecked
+from .fixture import ASKED, CELLS, DENSE, META, PAIRS, SETS, SPARSE, STATS, VECTORS, Atlas
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marker_score_weighted(Atlas(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, f=f: f(Atlas(spark, sf_dir))) for name, f in _QUERIES.items()}
+    return {name: (lambda spark, sf_dir, f=f: f(Atlas(spark, sf_dir))) for name, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
 
 
 # Statistics
@@ -131,17 +112,17 @@ def _marker(a, mode):
     return rounded(rank.marker_scores(a.gene_queries, a.sparse_stats, a.clusters, mode))
 
 
-@query(_marker_sql("1.0", True), CELLS, SPARSE, STATS, QUERIES)
+@query(_marker_sql("1.0", True), CELLS, SPARSE, STATS, ASKED)
 def marker_score_simple(a):
     return _marker(a, "simple")
 
 
-@query(_marker_sql(WEIGHTED), CELLS, SPARSE, STATS, QUERIES)
+@query(_marker_sql(WEIGHTED), CELLS, SPARSE, STATS, ASKED)
 def marker_score_weighted(a):
     return _marker(a, "weighted")
 
 
-@query(_marker_sql(FULL), CELLS, SPARSE, STATS, QUERIES)
+@query(_marker_sql(FULL), CELLS, SPARSE, STATS, ASKED)
 def marker_score_full(a):
     return _marker(a, "full")
 
@@ -658,12 +639,7 @@ def composite_score(a):
     return rounded(a.meta.filter("col = 'balance' AND value = 'pos'").select("cluster_id", score.alias("score")))
 
 
-# Without SQL: what it can't express, or what it has no function for
-
-
-def unchecked(f):
-    _QUERIES[f.__name__] = f
-    return f
+# Without SQL
 
 
 @unchecked
