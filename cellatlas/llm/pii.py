@@ -15,7 +15,6 @@ from .common import appended, documents, slices, texts
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
-_MAIL_LEFT = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _MAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _MAIL_RIGHT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
@@ -24,6 +23,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _DIGITS = re.compile(r"[0-9]")
+_GROUP = re.compile(r"[0-9]+")
 #: Words that speak for a kind, within CONTEXT characters before a span or behind it.
 WORDS = {
     "email": re.compile(r"mail|contact|write|kontakt|correo|courriel", re.I),
@@ -45,6 +45,7 @@ class Span(NamedTuple):
     start: int
     end: int
     score: float
+    base: bool = True
 
 
 def luhn(digits: str) -> bool:
@@ -112,6 +113,41 @@ def ssns(text: str) -> Iterator[tuple[int, int]]:
             yield m.span()
 
 
+def inner_cards(text: str) -> Iterator[tuple[int, int]]:
+    """In runs of more than 19 digits, whole groups of four digits or more that together pass as a card."""
+    for m in _CARD.finditer(text):
+        if m.end() - m.start() < 33:
+            continue
+        groups = list(_GROUP.finditer(text, m.start(), m.end()))
+        i = 0
+        while i < len(groups):
+            digits, j = "", i
+            while j < len(groups) and len(groups[j][0]) >= 4 and len(digits) + len(groups[j][0]) <= 19:
+                digits += groups[j][0]
+                j += 1
+                if len(digits) >= 16 and luhn(digits):
+                    yield groups[i].start(), groups[j - 1].end()
+                    i = j - 1
+                    break
+            i += 1
+
+
+def inner_phones(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """In matches of more than 15 digits, the longest beginning of 8 to 15 that ends with a group and touches no other span."""
+    for m in _PHONE.finditer(text) if "+" in text else ():
+        digits, best = 0, None
+        if len(_DIGITS.findall(m[0])) <= 15:
+            continue
+        for g in _GROUP.finditer(text, m.start(), m.end()):
+            digits += len(g[0])
+            if digits > 15 or any(a < g.end() and m.start() < b for a, b in taken):
+                break
+            if digits >= 8:
+                best = g.end()
+        if best:
+            yield m.start(), best
+
+
 _FIND = dict(zip(KINDS, (emails, ips, cards, phones, ibans, ssns), strict=True))
 
 
@@ -125,18 +161,24 @@ def score(text: str, kind: str, start: int, end: int) -> float:
 def spans(text: str, more: bool = True) -> list[Span]:
     """The spans of a text, by kind and then by start, in code points; end is exclusive.
 
-    The four base kinds keep each span that passes its own check, whatever its score. The further kinds (with `more`)
-    pass a checksum or range check, need a score of LEAST, and give way where they touch a base span.
+    The four base kinds keep each span that passes its own check, whatever its score. With `more` there are further
+    ones, which give way where they touch a base span: cards and phones inside runs that are too long to be one, and
+    kinds that pass a checksum or range check and need a score of LEAST.
     """
-    found, taken = [], []
     if not (_DIGITS.search(text) or "@" in text):
-        return found
-    for kind in KINDS if more else BASE:
-        for start, end in _FIND[kind](text):
-            s = score(text, kind, start, end)
-            if kind in BASE or s >= LEAST and not any(a < end and start < b for a, b in taken):
-                found.append(Span(kind, start, end, s))
-                taken.append((start, end))
+        return []
+    found = [Span(kind, start, end, score(text, kind, start, end)) for kind in BASE for start, end in _FIND[kind](text)]
+    if more:
+        taken = [(x.start, x.end) for x in found]
+        free = lambda start, end: not any(a < end and start < b for a, b in taken)
+        extra = [("card", inner_cards(text)), *((k, _FIND[k](text)) for k in KINDS[len(BASE) :])]
+        for kind, places in [*extra, ("phone", inner_phones(text, taken))]:
+            for start, end in places:
+                s = score(text, kind, start, end)
+                if free(start, end) and (kind in BASE or s >= LEAST):
+                    found.append(Span(kind, start, end, s, False))
+                    taken.append((start, end))
+        found.sort(key=lambda x: (KINDS.index(x.kind), x.start))
     return found
 
 
@@ -165,7 +207,7 @@ def with_spans(df: DataFrame, text: str = "text") -> DataFrame:
         for batch in slices(batches, column=text):
             own = batch.column(batch.schema.get_field_index(text)).to_pylist()
             all_found = [spans(x or "") for x in own]
-            yield appended(batch, {"pii": pa.array([[x._asdict() for x in s] for s in all_found], pa.list_(item)), "masked": pa.array([x and masked(x, s) for x, s in zip(own, all_found, strict=True)], pa.string())})
+            yield appended(batch, {"pii": pa.array([[{k: v for k, v in x._asdict().items() if k != "base"} for x in s] for s in all_found], pa.list_(item)), "masked": pa.array([x and masked(x, s) for x, s in zip(own, all_found, strict=True)], pa.string())})
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in ("pii", "masked"))
     return df.mapInArrow(find, f"{kept}, pii array<struct<kind:string,start:bigint,end:bigint,score:double>>, masked string")
@@ -179,7 +221,7 @@ def op5_pii(spark, sf_dir: str) -> DataFrame:
             n, digest, every = {k: [] for k in BASE}, [], []
             for text in texts(batch):
                 found = spans(text)
-                base = [x for x in found if x.kind in BASE]
+                base = [x for x in found if x.base]
                 for k in BASE:
                     n[k].append(sum(x.kind == k for x in base))
                 digest.append(hashlib.sha256(joined(base).encode()).hexdigest())
