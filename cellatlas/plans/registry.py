@@ -112,7 +112,7 @@ def _marker(a, mode):
     return rounded(rank.marker_scores(a.gene_queries, a.sparse_stats, a.clusters, mode))
 
 
-@query(_marker_sql("1.0", True), CELLS, SPARSE, STATS, ASKED)
+@query(_marker_sql("CAST(1 AS DOUBLE)", True), CELLS, SPARSE, STATS, ASKED)
 def marker_score_simple(a):
     return _marker(a, "simple")
 
