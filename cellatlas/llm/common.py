@@ -63,6 +63,7 @@ def slices(batches: Iterator[pa.RecordBatch], chars: int = 1 << 20, column: str
             size += n
         if batch.num_rows > start:
             yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # a worker process lives on after its task
 
 
 def appended(batch: pa.RecordBatch, columns: dict[str, pa.Array], drop: tuple[str, ...] = ()) -> pa.RecordBatch:

@@ -11,6 +11,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -26,26 +27,32 @@ VOCABULARY = "word_bpe_49k.json"
 LENGTH, END = 4096, 2
 HASHED, DIMS, BITS, SEED = 256, 3, 13, 11
 WEIGHT = 1024  # tokens for which a document counts once where ranges are made even
-_KNOWN = 1 << 17
+KNOWN = 1 << 18  # parts whose ids a worker process keeps, twice at most
 #: Texts of these characters only have tokens that a plain pattern finds, and lower case letter by letter.
 _UNUSUAL = re.compile(r"[^\n\t\x20-\x7eÀ-ÖØ-öø-ÿ]")
 _PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
 
 class Words(dict):
-    """The ids (16 bits each, as they lie in memory) of the parts that a text falls into; emptied when it is large."""
+    """The ids (16 bits each, as they lie in memory) of the parts that a text falls into.
 
-    def __init__(self, path: str):
+    When it is full it becomes the older half, and what is met again comes over from there.
+    """
+
+    def __init__(self, path: str, known: int = KNOWN):
+        self.known = known
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
         self.model, self.chars = self.tokenizer.model, byte_characters()
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) >= _KNOWN:
+        if len(self) >= self.known:
+            self.older = dict(self)
             self.clear()
-        ids = array("H", [t.id for t in self.model.tokenize("".join(map(self.chars.__getitem__, part.encode())))]).tobytes()
+        ids = self.older.get(part) or array("H", [t.id for t in self.model.tokenize(part if part.isascii() else "".join(map(self.chars.__getitem__, part.encode())))]).tobytes()
         if len(part) < 64:
             self[part] = ids
         return ids
@@ -56,10 +63,10 @@ class Words(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, _PARTS.findall(text.lower()))), np.uint16)
 
 
-def _words(path: str, known: dict[str, Words] = {}) -> Words:  # noqa: B006  one for each worker process
-    if path not in known:
-        known[path] = Words(path)
-    return known[path]
+@cache
+def _words(path: str, known: int) -> Words:
+    """One for each worker process."""
+    return Words(path, known)
 
 
 def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
@@ -89,6 +96,7 @@ def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+@cache
 def _directions() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
     cell = ((np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.int64) % HASHED
@@ -105,20 +113,20 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
     return hilbert(grid, BITS)
 
 
-def packed(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
+def packed(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, length: int = LENGTH, end: int = END, known: int = KNOWN) -> DataFrame:
     """One row for each piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (array<int>).
 
     A document is its ids and then `end`; null texts count as empty, so they are one id. Ranges of the curve go to one
     partition each; the low bits of the sort key are a hash of `key`, so equal documents, however many, are spread over
     ranges too. A narrow sum gives where in the stream each range begins. Repeated rows are packed as often as they
-    occur; an empty table gives no piece.
+    occur; an empty table gives no piece. `known` bounds the memory of words that a worker process has met.
     """
     spark = df.sparkSession
     kind = dict(df.dtypes)[key]
     source = df.select(F.col(key).alias("key"), F.shiftrightunsigned(F.xxhash64(key), 40).alias("tie"), F.col(text).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(path or public_tokenizers.path(VOCABULARY))
+        words = _words(path or public_tokenizers.path(VOCABULARY), known)
         for batch in slices(batches):
             ids = [np.append(words.encode(x), np.uint16(end)) for x in texts(batch)]
             place = curve_keys(ids) << 24 | batch.column(1).to_numpy()
@@ -168,5 +176,8 @@ def op9_packing(spark, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, without their ids: those follow from text, start and length."""
-    return packed(docs).drop("ids")
+    """The pieces of all documents, without their ids: those follow from text, start and length.
+
+    Its worker processes have served the stages before, so they keep fewer words than in the query.
+    """
+    return packed(docs, known=KNOWN // 4).drop("ids")
