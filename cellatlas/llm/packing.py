@@ -113,8 +113,8 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
     return hilbert(grid, BITS)
 
 
-def packed(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, length: int = LENGTH, end: int = END, known: int = KNOWN) -> DataFrame:
-    """One row for each piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (array<int>).
+def packed(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, length: int = LENGTH, end: int = END, known: int = KNOWN, with_ids: bool = True) -> DataFrame:
+    """One row for each piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with `with_ids` ids (array<int>).
 
     A document is its ids and then `end`; null texts count as empty, so they are one id. Ranges of the curve go to one
     partition each; the low bits of the sort key are a hash of `key`, so equal documents, however many, are spread over
@@ -149,6 +149,8 @@ def packed(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
         begin[r["part"]] = total
         total += r["n"]
 
+    names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = None, 0
         for batch in batches:
@@ -161,18 +163,18 @@ def packed(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
                 while start < n:
                     size = min(n - start, length - at % length)
                     piece = ids[start : start + size]
-                    out.append((k, start, size, zlib.crc32(piece.tobytes()), n, at // length, at % length, piece.astype(np.int32)))
+                    out.append((k, start, size, zlib.crc32(piece.tobytes()), n, at // length, at % length, *([piece.astype(np.int32)] if with_ids else ())))
                     start, at = start + size, at + size
-            columns = list(zip(*out, strict=True)) if out else [()] * 8
-            kinds = [batch.schema.field("key").type, *[pa.int64()] * 6, pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+            kinds = [batch.schema.field("key").type, *[pa.int64()] * 6, *[pa.list_(pa.int32())] * with_ids]
+            columns = list(zip(*out, strict=True)) if out else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[key, *names])
 
     dealt = rows.mapInArrow(ranged, f"key {kind}, place bigint, n bigint, ids binary, part int").repartitionById(p, "part")
-    return dealt.sortWithinPartitions("part", "place", "key", "n").mapInArrow(cut, f"`{key}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids array<int>")
+    return dealt.sortWithinPartitions("part", "place", "key", "n").mapInArrow(cut, ", ".join([f"`{key}` {kind}", *(f"{n} {'array<int>' if n == 'ids' else 'bigint'}" for n in names)]))
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
-    return packed(documents(spark, sf_dir)).drop("ids")
+    return packed(documents(spark, sf_dir), with_ids=False)
 
 
 def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -180,4 +182,4 @@ def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Its worker processes have served the stages before, so they keep fewer words than in the query.
     """
-    return packed(docs, known=KNOWN // 4).drop("ids")
+    return packed(docs, known=KNOWN // 4, with_ids=False)
