@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, partitions, slices, texts, written
-from .shingles import Words, bands, set_key, shingle_set, signature
+from .shingles import Words, band_rows, bands, set_key, shingle_set, signature
 
 PERCENT = 85
 BLOCK = 256  # classes compared with each other at once
@@ -24,9 +24,9 @@ _COLUMNS = 1 << 14
 _BITS = 1 << 26
 
 
-def signed(df: DataFrame, key: str, text: str) -> DataFrame:
+def signed(df: DataFrame, key: str, text: str, percent: int = PERCENT) -> DataFrame:
     """key, n (size of the set), set_key and bands (null for an empty set) of each whole text; written."""
-    kind = dict(df.dtypes)[key]
+    kind, size = dict(df.dtypes)[key], band_rows(percent)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, last = Words(), {}
@@ -38,7 +38,7 @@ def signed(df: DataFrame, key: str, text: str) -> DataFrame:
                 if k not in last:  # copies often follow each other
                     if len(last) > 4096:
                         last.clear()
-                    last[k] = bands(signature(own)).view(np.int64) if len(own) else None
+                    last[k] = bands(signature(own), size).view(np.int64) if len(own) else None
                 n.append(len(own))
                 keys.append(k)
                 rows.append(last[k])
@@ -223,7 +223,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     component is its own key. Rows with a null key get the component of their set's other rows, or null, and are not
     kept. An empty table gives an empty one.
     """
-    signs = signed(df, key, text)
+    signs = signed(df, key, text, percent)
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     classes = written(signs.filter("n > 0 AND key IS NOT NULL").groupBy("set_key").agg(F.min("key").cast("long").alias("id"), F.any_value("bands").alias("bands")), "classes")
     labels = components(links(docs, classes, percent))
@@ -238,7 +238,7 @@ def op7_neardup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
-def neardup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+def neardup_stage(spark, docs: DataFrame, sf_dir: str, percent: int = PERCENT) -> DataFrame:
     """One document of each group: that with the least id. Documents without a word and such without an id stay."""
-    gone = written(near_duplicates(docs).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "gone")
+    gone = written(near_duplicates(docs, percent=percent).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

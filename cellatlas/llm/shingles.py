@@ -8,8 +8,8 @@ import numpy as np
 import xxhash
 
 SHINGLE = 5
-PERMUTATIONS, ROWS = 128, 8  # two values each; so many of them a band
-BANDS = 2 * PERMUTATIONS // ROWS
+PERMUTATIONS, ROWS = 128, 8  # two values each; so many of them a band at most
+MISSED = 1e-4  # of pairs that are just similar, this share at most has no band in common
 _WORDS = 1 << 16
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _RNG = np.random.default_rng(20)
@@ -61,11 +61,17 @@ def signature(own: np.ndarray) -> np.ndarray:
     return np.stack([low, high], 1).reshape(-1)
 
 
-def bands(sig: np.ndarray) -> np.ndarray:
-    """A 64-bit number for each band."""
-    x = sig.reshape(BANDS, ROWS)
+def band_rows(percent: int) -> int:
+    """The most values a band can have if pairs of this similarity are to be found: 8 at 85 (32 bands), 6 at 80 (42)."""
+    return next((r for r in range(ROWS, 1, -1) if (1 - (percent / 100) ** r) ** (2 * PERMUTATIONS // r) <= MISSED), 1)
+
+
+def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """A 64-bit number for each band of `rows` values."""
+    n = len(sig) // rows
+    x = sig[: n * rows].reshape(n, rows)
     h = x[:, 0]
-    for k in range(1, ROWS):
+    for k in range(1, rows):
         h = mixed(h) + x[:, k] * np.uint64(0x9E3779B97F4A7C15)
     return mixed(h)
 

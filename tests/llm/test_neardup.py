@@ -78,3 +78,25 @@ def test_stage(spark):
     rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, None), (4, "A B c d e f"), (5, "another text of six words")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert sorted(r["doc_id"] for r in N.neardup_stage(spark, docs, "").collect()) == [1, 3, 5]
+
+
+def test_stage_at_80(spark):
+    words = [f"w{i}" for i in range(104)]  # 100 shingles
+    near = words[:-10] + [f"e{i}" for i in range(10)]  # 90 of them in common: 90 of 110, 0.82
+    far = [f"f{i}" for i in range(12)] + words[12:]  # 88 of 112, 0.79
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in ((1, words), (2, near), (3, far))], "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in N.neardup_stage(spark, docs, "", percent=80).collect()) == [1, 3]
+    assert sorted(r["doc_id"] for r in N.neardup_stage(spark, docs, "").collect()) == [1, 2, 3]
+
+
+def test_bands_fit_the_similarity():
+    """Of 3000 pairs of 0.8 all share a band; with bands of 8 values some did not."""
+    rng = np.random.default_rng(3)
+    missed = {8: 0, H.band_rows(80): 0}
+    for _ in range(3000):
+        x = rng.integers(1 << 63, size=110, dtype=np.uint64)  # 100 and 98 of 110, 88 in common
+        a, b = H.signature(x[:100]), H.signature(x[12:])
+        for rows in missed:
+            missed[rows] += not (H.bands(a, rows) == H.bands(b, rows)).any()
+    assert H.band_rows(85) == 8 and H.band_rows(80) == 6
+    assert missed[6] == 0 < missed[8], missed
