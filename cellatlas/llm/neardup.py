@@ -144,13 +144,13 @@ def compared(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """id and set (sorted 64-bit numbers) of the members, read from their texts once more.
+    """id and set (sorted 64-bit numbers) of the members (id, key, set_key), read from their texts once more.
 
-    A Bloom filter of the ids, of bounded size, spares all other texts a shuffle; the join drops what it let through
-    by mistake.
+    A Bloom filter of the keys, of bounded size, spares all other texts a shuffle; the join by set_key drops what it let
+    through by mistake, and tells apart the texts of rows that repeat a key.
     """
     bits = min(_BITS, max(1 << 12, 1 << (16 * max(1, members.count())).bit_length()))
-    hashes = (F.xxhash64("id", F.lit(1)), F.xxhash64("id", F.lit(2)))
+    hashes = (F.xxhash64("key", F.lit(1)), F.xxhash64("key", F.lit(2)))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(bits // 64, np.uint64)
@@ -174,11 +174,11 @@ def _sets_of(docs: DataFrame, members: DataFrame) -> DataFrame:
                 p = batch.column(c).to_numpy().view(np.uint64) & np.uint64(bits - 1)
                 keep &= (own[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)) == 1
             some = batch.filter(pa.array(keep))
-            found = [shingle_set(x, known).tobytes() for x in texts(some)]
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(found, pa.binary())], names=["id", "set"])
+            found = [shingle_set(x, known) for x in texts(some)]
+            yield pa.RecordBatch.from_arrays([pa.array(map(set_key, found), pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], names=["set_key", "set"])
 
-    each = docs.filter("id IS NOT NULL").select("id", "text", *hashes).toDF("id", "text", "x", "y").mapInArrow(sets, "id bigint, set binary").filter("length(set) > 0")
-    return written(each.join(members, "id", "left_semi").dropDuplicates(["id"]), "sets")
+    each = docs.filter("key IS NOT NULL").select("key", "text", *hashes).toDF("key", "text", "x", "y").mapInArrow(sets, "set_key binary, set binary").filter("length(set) > 0")
+    return written(each.join(members.select("set_key", "id"), "set_key").select("id", "set").dropDuplicates(["id"]), "sets")
 
 
 def _blocks(n: str) -> str:
@@ -186,13 +186,13 @@ def _blocks(n: str) -> str:
 
 
 def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) that join all similar classes (id, bands); docs: id, text."""
+    """Links (a, b) that join all similar classes (id, key, set_key, bands); docs: key, text."""
     rows = classes.select("id", F.posexplode("bands").alias("band", "h"))
     buckets = rows.groupBy("band", "h").agg(F.min("id").alias("first"), F.count("*").alias("m")).filter("m > 1").drop("m")
     near = written(rows.join(buckets, ["band", "h"]).filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "near")
     clusters = components(near)
     sizes = written(clusters.groupBy("label").agg(F.count("*").alias("m")), "sizes")
-    sets = _sets_of(docs, clusters.select("id"))
+    sets = _sets_of(docs, written(clusters.select("id").join(classes.select("id", "key", "set_key"), "id"), "members"))
     members = clusters.join(sizes, "label")
     one = members.filter(f"m <= {BLOCK}").select("id", F.concat_ws(".", F.lit("c"), "label").alias("g"), F.lit(0).alias("side"))
     many = written(members.filter(f"m > {BLOCK}"), "many")
@@ -218,16 +218,19 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFr
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """key, n_shingles, component_id (the least key that links reach, itself included) and kept (key = component_id).
 
-    key is a whole number that names a document; rows that repeat it with other texts link what these texts link, and
-    each row gets its own text's component. A text without a word has an empty set and is linked with nothing: its
-    component is its own key. Rows with a null key get the component of their set's other rows, or null, and are not
-    kept. An empty table gives an empty one.
+    key is a whole number that names a document; a row that repeats it with another text links what that text links,
+    and gets that text's component. A text without a word has an empty set and is linked with nothing: its component is
+    its own key. Rows with a null key get the component of their set's other rows, or null, and are not kept. An empty
+    table gives an empty one.
     """
     signs = signed(df, key, text, percent)
-    docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    classes = written(signs.filter("n > 0 AND key IS NOT NULL").groupBy("set_key").agg(F.min("key").cast("long").alias("id"), F.any_value("bands").alias("bands")), "classes")
-    labels = components(links(docs, classes, percent))
-    where = classes.select("set_key", "id").join(labels, "id", "left").select("set_key", F.coalesce("label", "id").alias("component"))
+    docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    # a class has an id of its own until labels are made, as classes of different texts may have the same least key
+    each = signs.filter("n > 0 AND key IS NOT NULL").groupBy("set_key").agg(F.min("key").cast("long").alias("key"), F.any_value("bands").alias("bands"))
+    classes = written(each.withColumn("id", F.monotonically_increasing_id()), "classes")
+    linked = written(classes.select("id", "set_key", "key").join(components(links(docs, classes, percent)), "id"), "linked")
+    least = linked.groupBy("label").agg(F.min("key").alias("component"))
+    where = classes.select("set_key", "key").join(linked.join(least, "label").select("set_key", "component"), "set_key", "left").select("set_key", F.coalesce("component", "key").alias("component"))
     found = signs.select("key", "n", "set_key").join(where, "set_key", "left")
     kind = dict(df.dtypes)[key]
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).cast(kind)
@@ -239,6 +242,10 @@ def op7_neardup(spark, sf_dir: str) -> DataFrame:
 
 
 def neardup_stage(spark, docs: DataFrame, sf_dir: str, percent: int = PERCENT) -> DataFrame:
-    """One document of each group: that with the least id. Documents without a word and such without an id stay."""
-    gone = written(near_duplicates(docs, percent=percent).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "gone")
+    """One document of each group: that with the least id. Documents without a word and such without an id stay.
+
+    An id that repeats with other texts stays with all its rows if one of them is kept, so each group keeps a text.
+    """
+    found = near_duplicates(docs, percent=percent).filter("doc_id IS NOT NULL")
+    gone = written(found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).filter("NOT kept").select("doc_id"), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

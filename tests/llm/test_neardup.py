@@ -100,3 +100,17 @@ def test_bands_fit_the_similarity():
             missed[rows] += not (H.bands(a, rows) == H.bands(b, rows)).any()
     assert H.band_rows(85) == 8 and H.band_rows(80) == 6
     assert missed[6] == 0 < missed[8], missed
+
+
+def test_repeated_ids_with_other_texts(spark):
+    """Each text of a repeated id is compared, whichever row comes first; no text is lost in the stage."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(104)) for x in "abc")
+    near = lambda t: t.rsplit(" ", 2)[0] + " e f"
+    rows = [(1, a), (1, b), (2, near(b)), (3, near(a)), (9, c), (9, a), (9, b), (7, near(c))]
+    rows += [(50, " ".join(f"h{k}x{i}" for i in range(60))) for k in range(30)] + [(60 + k, near(" ".join(f"h{k}x{i}" for i in range(60)))) for k in range(30)]
+    for own in (rows, rows[::-1]):
+        docs = spark.createDataFrame(own, "doc_id bigint, text string").coalesce(1)
+        found = sorted((r["doc_id"], r["component_id"]) for r in N.near_duplicates(docs).collect())
+        assert found == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (9, 1), (9, 1), (9, 7), (7, 7)] + [(50, 50)] * 30 + [(60 + k, 50) for k in range(30)])
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (3, near(b))], "doc_id bigint, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in N.neardup_stage(spark, docs, "").collect()) == [(1, a), (2, a), (2, b)]
