@@ -100,12 +100,22 @@ def nearest_vectors(a):
     return rounded(graph.neighbours(a.table("embeddings"), 3, "vec_id", "embedding"), 5)
 
 
+def _token_order(a, **limit):
+    words = a.dense.select("gene").distinct().select("gene", F.col("gene").alias("token")).unionByName(a.spark.createDataFrame([("<cls>", "<cls>")], "gene string, token string"))
+    own = encode.cell_tokens(a.dense, words, **limit).select("cell_id", F.posexplode("tokens").alias("pos", "gene"))
+    return rounded(own.filter("pos > 0"))
+
+
 @query("SELECT cell_id, gene, CAST(rank AS BIGINT) AS pos FROM (SELECT cell_id, gene, row_number() OVER (PARTITION BY cell_id ORDER BY value DESC, gene) AS rank FROM expr) WHERE rank <= 4", CELLS, DENSE)
 def cell_token_order(a):
     """The first genes of each cell's token sequence; a token is a gene's name here."""
-    words = a.dense.select("gene").distinct().select("gene", F.col("gene").alias("token")).unionByName(a.spark.createDataFrame([("<cls>", "<cls>")], "gene string, token string"))
-    own = encode.cell_tokens(a.dense, words, 5).select("cell_id", F.posexplode("tokens").alias("pos", "gene"))
-    return rounded(own.filter("pos > 0"))
+    return _token_order(a, most=5)
+
+
+@query("SELECT cell_id, gene, CAST(rank AS BIGINT) AS pos FROM (SELECT cell_id, gene, row_number() OVER (PARTITION BY cell_id ORDER BY value DESC, gene) AS rank FROM expr) WHERE rank <= 2999", CELLS, DENSE)
+def cell_token_sequences(a):
+    """Each cell's whole token sequence, up to the operator's own limit of 3000; cell_token_order has its beginning."""
+    return _token_order(a)
 
 
 @query("SELECT cell_id, gene, CAST(least(CAST(trunc(value * 10) AS INT), 50) AS BIGINT) AS bin FROM expr", CELLS, DENSE)

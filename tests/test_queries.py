@@ -4,6 +4,7 @@ import pytest
 
 import oracle
 from cellatlas.plans import registry
+from cellatlas.plans.fixture import Atlas
 
 SF = "/root/testdata/sf0.001"
 SQL = registry.oracle_sql()
@@ -21,3 +22,9 @@ def test_query(spark, con, name):
         assert oracle.differ(df, con, SQL[name]) == ""
     else:
         assert df.count() > 0
+
+
+def test_token_sequences_are_whole(spark):
+    found = registry.queries()["cell_token_sequences"](spark, SF)
+    expr = Atlas(spark, SF).dense
+    assert found.count() == expr.count() > registry.queries()["cell_token_order"](spark, SF).count()
