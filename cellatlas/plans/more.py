@@ -80,6 +80,15 @@ def cluster_summaries(a):
     return encode.summaries(a.clusters, rank.top_genes(a.dense_stats.withColumn("logfc", F.round("logfc", 9)), 5))
 
 
+SUMMARY_DEFAULT = SUMMARY.replace("r <= 5 ", "r <= 400 ")
+
+
+@query("SELECT cluster_id, cluster_id || ' cell type' AS identity_text, 'Cluster ' || cluster_id || '. Marker genes: ' || genes AS context_text FROM tg", CELLS, DENSE, STATS, META, SUMMARY_DEFAULT)
+def cluster_summaries_default(a):
+    """With the operator's own number of genes."""
+    return encode.summaries(a.clusters, rank.top_genes(a.dense_stats.withColumn("logfc", F.round("logfc", 9)), 400))
+
+
 @query("SELECT DISTINCT a.p_type AS a, b.p_type AS b FROM part a CROSS JOIN (SELECT DISTINCT p_type FROM part) b WHERE contains(lower(a.p_type), lower(b.p_type)) OR contains(lower(b.p_type), lower(a.p_type)) OR len(list_intersect(string_split(lower(a.p_type), ' '), string_split(lower(b.p_type), ' '))) >= 2")
 def pathway_name_join(a):
     own = a.table("part").select(F.col("p_type").alias("a")).distinct()

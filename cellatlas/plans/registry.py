@@ -92,6 +92,11 @@ def variable_genes(a):
     return rounded(stats.variable_genes(a.dense, a.cells, 20))
 
 
+@query("SELECT gene, round(s / n, 6) AS mean, round(q / n - (s / n) * (s / n), 6) AS variance, round((q / n - (s / n) * (s / n)) / (s / n), 6) AS dispersion FROM (SELECT gene, sum(value) AS s, sum(value * value) AS q, (SELECT count(*) FROM cells) AS n FROM expr GROUP BY gene) ORDER BY (q / n - (s / n) * (s / n)) / (s / n) DESC, gene LIMIT 3000", CELLS, DENSE)
+def variable_genes_default(a):
+    return rounded(stats.variable_genes(a.dense, a.cells))
+
+
 # Rankings
 
 
@@ -611,6 +616,30 @@ def session_evidence(a):
     return evalkit.evidence(a=found, b=a.table("part").select(F.upper("p_name").alias("gene_u")))
 
 
+# The same with the operators' own numbers of genes
+
+TOPG_DEFAULT = TOPG.replace("r <= 10)", "r <= 500)")
+
+
+@query("SELECT qid, round(avg(CASE WHEN (qid, gene_u) IN (SELECT (qid, gene_u) FROM tg) THEN 1.0 ELSE 0 END), 6) AS gene_recall FROM eg GROUP BY 1", CELLS, DENSE, STATS, TWO, TOPG_DEFAULT)
+def gene_recall_default(a):
+    found = evalkit.genes_of_clusters(_two(a)[0], a.dense_stats.withColumn("logfc", F.round("logfc", 9)), 3)
+    expected = a.table("part").select(F.lit(1).cast("long").alias("qid"), F.upper("p_name").alias("gene_u"))
+    return rounded(evalkit.gene_recall(expected, found))
+
+
+@query("SELECT count(*) AS n_expected, CAST(sum(h) AS BIGINT) AS n_found, CAST(sum(1 - h) AS BIGINT) AS n_missed, round(avg(h), 6) AS recall FROM (SELECT gene_u, CASE WHEN gene_u IN (SELECT gene_u FROM tg) THEN 1 ELSE 0 END AS h FROM eg)", CELLS, DENSE, STATS, TWO, TOPG_DEFAULT)
+def compare_recall_default(a):
+    found = evalkit.genes_of_clusters(_two(a)[0], a.dense_stats.withColumn("logfc", F.round("logfc", 9)), 3)
+    return rounded(evalkit.overlap_recall(a.table("part").select(F.upper("p_name").alias("gene_u")), found, "gene_u"))
+
+
+@query("SELECT gene_u, count(DISTINCT part) AS n_parts FROM (SELECT gene_u, 'a' AS part FROM tg UNION ALL SELECT gene_u, 'b' FROM eg) GROUP BY 1", CELLS, DENSE, STATS, TWO, TOPG_DEFAULT)
+def session_evidence_default(a):
+    found = evalkit.genes_of_clusters(_two(a)[0], a.dense_stats.withColumn("logfc", F.round("logfc", 9)), 3)
+    return evalkit.evidence(a=found, b=a.table("part").select(F.upper("p_name").alias("gene_u")))
+
+
 LIKE = "EXISTS (SELECT 1 FROM clusters d WHERE {0} AND (contains(lower(d.cluster_id), lower(c.cluster_id)) OR contains(lower(c.cluster_id), lower(d.cluster_id))))"
 
 
