@@ -55,7 +55,7 @@ WITH t AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS ro
 {_found("hex", S.HEX, "hex", 2, 0)},
 {_found("cand", S.CANDIDATE, "entropy", 3, 0)},
 base AS (SELECT * FROM assign WHERE length(g) >= 6 UNION ALL SELECT * FROM access UNION ALL SELECT * FROM hex),
-strings AS (SELECT DISTINCT g FROM cand WHERE regexp_matches(g, '[0-9]') AND regexp_matches(g, '[A-Za-z]') AND NOT regexp_matches(g, '{S.ALLOWED}')),
+strings AS (SELECT DISTINCT g FROM cand WHERE regexp_matches(g, '[0-9]') AND regexp_matches(g, '[A-Za-z]') AND NOT regexp_matches(g, '{S.ALLOWED}') AND NOT (contains(g, '/') AND NOT contains(g, '//') AND regexp_matches(g, '{S.PATH}'))),
 windows AS (SELECT g, k, substr(g, k, {S.WINDOW}) AS x FROM (SELECT g, unnest(range(1, length(g) - {S.WINDOW} + 2)) AS k FROM strings)),
 letters AS (SELECT g, k, c, count(*) AS n FROM (SELECT g, k, unnest(string_split(x, '')) AS c FROM windows) GROUP BY ALL),
 entropy AS (SELECT g, max(h) AS h FROM (SELECT g, k, {math.log2(S.WINDOW)!r} - sum(n * log2(n)) / {S.WINDOW} AS h FROM letters GROUP BY 1, 2) GROUP BY 1),
