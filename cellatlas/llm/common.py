@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,14 +30,46 @@ def checkpoint_root(spark: SparkSession) -> str:
     return f"file://{_OWN_ROOT[0]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read again: its lineage is cut, and a lost executor costs no recomputation."""
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df as a table in the shared folder, read again: its lineage is cut, and a lost executor costs no recomputation.
+
+    Inside `scratch` the table is deleted at its end; with `keep`, at the end of the scratch around that, if any.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    within = _OPEN.get()[: -1 if keep else None]
+    if within:
+        within[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables written inside, but for the kept ones. No lazy result may read the others."""
+    own: list[str] = []
+    token = _OPEN.set((*_OPEN.get(), own))
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for x in own:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

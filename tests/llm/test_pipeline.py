@@ -21,7 +21,7 @@ def test_stages(spark):
     assert text[1] == {i: t for i, t in text[0].items() if verdicts[i]}
     model = langid.Languages(langid.fit(sample(out[1].filter(~langid.held_out()), "lang", "text", langid.ROWS, langid.LANGUAGES)))
     assert text[2] == {i: t for i, t in text[1].items() if model.guess(t).accepted}
-    parts = brute(list(text[2].items()))
+    parts = brute(list(text[2].items()), 80)
     assert text[3] == {i: t for i, t in text[2].items() if parts[i][1] == i}
     assert text[4] == {i: pii.masked(t, pii.spans(t)) for i, t in text[3].items()}
     lengths = defaultdict(int)
