@@ -25,7 +25,7 @@ from .common import documents, partitions, slices, written
 
 LEAST, MASK, MOST = 512, 0xFFE00000, 8192  # bytes of a chunk, and the hash bits that are zero at a cut: one in 2048
 UNIT = 192
-MAGIC = b"GEARCHNK"
+ENTRY = 36  # bytes of a recipe for one chunk
 BLOOM_BITS = 1 << 26
 _SEEN = 1 << 16
 #: The gear of each byte, by a rule that any implementation can follow.
@@ -104,7 +104,12 @@ def bloom(digests: DataFrame, n: int) -> Bloom:
 
 
 class Store(NamedTuple):
-    """recipes: key, media, recipe (digests, joined), lengths, own (a frame of the bodies that lie here), n_shared; shared: digest, body."""
+    """recipes: key, n_bytes, media, recipe, lengths, own, n_shared; shared: digest, body.
+
+    recipe: for each chunk its length (32 bits, little-endian; below 0 if it lies in `shared`) and its digest; lengths:
+    the lengths once more, as Spark reads them; own: a zstandard frame of the bodies that lie here, null if none does;
+    body: a frame of one chunk.
+    """
 
     recipes: DataFrame
     shared: DataFrame
@@ -147,7 +152,7 @@ def store(df: DataFrame, key: str, text: str, payload: Callable[[str | None], by
                     else:
                         lengths.append(len(c.body))
                         own.append(c.body)
-                rows.append((k, len((x or "").encode()), hashlib.sha256(whole).digest(), b"".join(c.digest for c in found), lengths, press.compress(b"".join(own)) if own else None, n_shared))
+                rows.append((k, len((x or "").encode()), hashlib.sha256(whole).digest(), b"".join(struct.pack("<i", n) + c.digest for n, c in zip(lengths, found, strict=True)), lengths, press.compress(b"".join(own)) if own else None, n_shared))
             n, m = len(rows), len(bodies)
             columns = list(zip(*rows, strict=True)) if rows else [()] * 7
             kinds = (batch.schema.field(0).type, pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.int32())
@@ -173,11 +178,13 @@ def store(df: DataFrame, key: str, text: str, payload: Callable[[str | None], by
 
 class Rebuilt(NamedTuple):
     payload: bytes
-    recipe: bytes
-    lengths: list[int]
+    stored: bytes  # as they were read back: the recipe, the own frame, and the frames of shared chunks in their order
+    n_chunks: int
 
 
 def _joined(recipe: bytes, lengths: list[int], own: bytes | None, shared: dict[int, bytes], media: bytes) -> Rebuilt:
+    if struct.unpack(f"<{len(lengths)}i", b"".join(recipe[i : i + 4] for i in range(0, len(recipe), ENTRY))) != tuple(lengths):
+        raise ValueError(f"media {media.hex()} has a recipe that differs from its lengths")
     press = zstandard.ZstdDecompressor()
     private = press.decompress(own, max_output_size=sum(x for x in lengths if x > 0)) if own else b""
     parts, at = [], 0
@@ -190,7 +197,7 @@ def _joined(recipe: bytes, lengths: list[int], own: bytes | None, shared: dict[i
     payload = b"".join(parts)
     if hashlib.sha256(payload).digest() != media:
         raise ValueError(f"media {media.hex()} was not rebuilt as it was stored")
-    return Rebuilt(payload, recipe, [abs(n) for n in lengths])
+    return Rebuilt(payload, b"".join([recipe, own or b"", *(shared[i] for i, n in enumerate(lengths) if n < 0)]), len(lengths))
 
 
 def rebuilt(kept: Store, of: Callable[[Rebuilt], tuple], fields: str, kinds: list[pa.DataType]) -> DataFrame:
@@ -234,7 +241,7 @@ def rebuilt(kept: Store, of: Callable[[Rebuilt], tuple], fields: str, kinds: lis
 
     schema = "media binary, recipe binary, lengths array<int>, own binary"
     heads = written(heads.mapInArrow(once, schema).dropDuplicates(["media"]), "heads")
-    needed = heads.select("media", F.posexplode("lengths").alias("at", "n"), "recipe").filter("n < 0").select("media", "at", F.expr("substring(recipe, at * 32 + 1, 32)").alias("digest"))
+    needed = heads.select("media", F.posexplode("lengths").alias("at", "n"), "recipe").filter("n < 0").select("media", "at", F.expr(f"substring(recipe, at * {ENTRY} + 5, 32)").alias("digest"))
     parts = needed.join(kept.shared, "digest").select("media", "at", "body", F.lit(None).cast("binary").alias("recipe"), F.lit(None).cast("array<int>").alias("lengths"), F.lit(None).cast("binary").alias("own"))
     rows = parts.unionByName(heads.select("media", F.lit(-1).alias("at"), F.lit(None).cast("binary").alias("body"), "recipe", "lengths", "own"))
 
@@ -261,22 +268,23 @@ def rebuilt(kept: Store, of: Callable[[Rebuilt], tuple], fields: str, kinds: lis
     return single.unionByName(mixed.select("key", "n_bytes", "media").join(media, "media").select("key", "n_bytes", "media", *names))
 
 
-def stored_form(x: Rebuilt) -> bytes:
-    """The medium as a file: magic, number of chunks, length and digest of each, and the bodies as 8-bit samples."""
-    n = len(x.lengths)
-    return b"".join([MAGIC, struct.pack("<I", n), *(struct.pack("<I", x.lengths[i]) + x.recipe[32 * i : 32 * i + 32] for i in range(n)), x.payload])
-
-
 def described(x: Rebuilt) -> tuple:
-    form = stored_form(x)
+    """Size, digest and tail of the payload, size and digest of what is stored for it, and features of its bytes."""
     counts = np.bincount(np.frombuffer(x.payload, np.uint8), minlength=256)
     share = counts[counts > 0] / len(x.payload)
     mean = float((counts * np.arange(256)).sum() / len(x.payload))
-    feature = f"chunks={len(x.lengths)};mean={mean:.4f};entropy={float(-(share * np.log2(share)).sum()) + 0:.4f}"
-    return len(x.payload), hashlib.sha256(x.payload).hexdigest(), zlib.crc32(x.payload[-16:]), len(form), hashlib.sha256(form).hexdigest(), feature
+    feature = f"chunks={x.n_chunks};mean={mean:.4f};entropy={float(-(share * np.log2(share)).sum()) + 0:.4f}"
+    return len(x.payload), hashlib.sha256(x.payload).hexdigest(), zlib.crc32(x.payload[-16:]), len(x.stored), hashlib.sha256(x.stored).hexdigest(), feature
 
 
 def op4_chunks(spark, sf_dir: str) -> DataFrame:
+    """Every whole text of documents stored as chunks of bytes, read back and described, a row for a row.
+
+    The stored form of a payload is its recipe, its own frame and the frames of its shared chunks. Null and empty texts
+    have one payload, 192 spaces; long ones are chunked whole. Equal texts have equal values, whichever row comes first,
+    and are stored once where their chunks are shared; repeated rows are repeated. An empty table gives an empty result;
+    of other columns none is read.
+    """
     fields = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     found = rebuilt(store(documents(spark, sf_dir), "doc_id", "text"), described, fields, kinds)

@@ -1,8 +1,10 @@
 import hashlib
+import struct
 import zlib
 
 import numpy as np
 import pytest
+import zstandard
 
 from cellatlas.llm import chunks as C
 from llm.conftest import SF
@@ -67,3 +69,28 @@ def test_shared_chunks_are_kept_once(spark):
     digests = [bytes(r["digest"]) for r in kept.shared.collect()]
     assert len(digests) == len(set(digests)) > 5
     assert kept.recipes.filter("n_shared > 0").count() == 6
+
+
+def test_stored_bytes(spark, texts):
+    """media_bytes and media_sha256 are of bytes that lie in the store: opened here, they give the payload again."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = C.store(docs, "doc_id", "text")
+    frames = {bytes(r["digest"]): bytes(r["body"]) for r in kept.shared.collect()}
+    fields = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    kinds = [C.pa.int64(), C.pa.string(), C.pa.int64(), C.pa.int64(), C.pa.string(), C.pa.string()]
+    told = {r["key"]: r for r in C.rebuilt(kept, C.described, fields, kinds).collect()}
+    press, mixed = zstandard.ZstdDecompressor(), 0
+    for r in kept.recipes.collect():
+        recipe, own = bytes(r["recipe"]), bytes(r["own"] or b"")
+        entries = [(struct.unpack_from("<i", recipe, i)[0], recipe[i + 4 : i + 36]) for i in range(0, len(recipe), 36)]
+        stored = recipe + own + b"".join(frames[d] for n, d in entries if n < 0)
+        assert (told[r["key"]]["media_bytes"], told[r["key"]]["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        private, payload = press.decompress(own, max_output_size=1 << 24) if own else b"", b""
+        for n, d in entries:
+            body = press.decompress(frames[d], max_output_size=-n) if n < 0 else private[:n]
+            private = private if n < 0 else private[n:]
+            assert hashlib.sha256(body).digest() == d
+            payload += body
+        assert payload == C.payload_of(texts[r["key"]]) and private == b""
+        mixed += any(n < 0 for n, _ in entries)
+    assert mixed and len(told) == len(texts)
