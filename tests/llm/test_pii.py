@@ -1,4 +1,5 @@
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -68,7 +69,7 @@ def test_masked():
 
 
 def test_stage(spark, odd):
-    docs = odd.unionByName(odd.limit(1).selectExpr("99L AS doc_id", "'write to a@b.cd' AS text", "lang", "source", "5L AS n_chars", "media", "shard"))
+    docs = odd.unionByName(odd.limit(1).withColumns({"doc_id": P.F.lit(99).cast("long"), "text": P.F.lit("write to a@b.cd"), "n_chars": P.F.lit(5).cast("long")}))
     out = P.pii_stage(spark, docs, "")
     assert out.columns == docs.columns and out.count() == docs.count()
     row = out.filter("doc_id = 99").first()
@@ -77,4 +78,47 @@ def test_stage(spark, odd):
 
 
 def test_long_runs_are_linear():
+    began = time.monotonic()
+    for text in ("a" * 10**6 + "@", "1" * 10**6, "1." * 500_000, "+" * 10**6, "+1(" * 300_000, "a@" * 500_000, "a@b." * 250_000, "AA11" * 250_000, "1 " * 500_000, "1-" * 500_000, "@" + "a." * 500_000):
+        P.masked(text, P.spans(text))
+    assert time.monotonic() - began < 60
     assert P.spans("a" * 200_000 + "@") == [] and P.spans("1" * 100_000) == []
+
+
+def test_context_decides_further_spans():
+    """A word against it takes each further kind away, a word for it brings it back; base spans stay."""
+    kinds = lambda t: [(s.kind, s.base) for s in P.spans(t)]
+    iban, run = "DE89 3704 0044 0532 0130 00", "4111 1111 1111 1111 9807 9157 6280 4490"
+    assert kinds(f"see {iban}") == [("iban", False)] == kinds(f"invoice, bank account {iban}") and kinds(f"invoice {iban}") == []
+    assert kinds(f"see {run}") == [("card", False)] == kinds(f"serial of a visa: {run}") and kinds(f"serial {run}") == []
+    long = "+1 (826) 555-4081 97.51.17.19.5"
+    assert kinds(f"at {long}")[-1] == ("phone", False) and ("phone", False) not in kinds(f"release {long}")
+    assert kinds("release 10.0.0.1") == [("ip", True)]
+
+
+def test_scores_stand_beside_spans(spark, texts):
+    n = 0
+    for r in P.op5_pii(spark, SF).collect():
+        found = P.spans(texts[r["doc_id"]] or "")
+        assert r["scores"] == ",".join(f"{x.score:.2f}" for x in found) and len(r["scores"].split(",")) == len(r["spans"].split(","))
+        assert all(x.base or x.score >= P.LEAST for x in found)
+        n += len(found)
+    assert n > 10
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 9))), st.lists(st.tuples(st.integers(0, 60), st.integers(1, 9))))
+def test_taken_places(base, more):
+    places = [(a, a + n) for a, n in base]
+    taken = P.Taken(places)
+    for a, n in more:
+        free = not any(x < a + n and a < y for x, y in places)
+        assert taken.add(a, a + n) == free
+        places += [(a, a + n)] * free
+
+
+def test_many_spans_are_quick():
+    began = time.monotonic()
+    assert len(P.spans("a@b.cd 10.0.0.1 " * 18_000)) == 36_000
+    assert len(P.spans("DE89370400440532013000 10.0.0.1 " * 18_000)) == 36_000
+    assert time.monotonic() - began < 30
