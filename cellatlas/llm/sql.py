@@ -34,8 +34,8 @@ m AS (SELECT (sum(failed) + 0.5) / (sum(n) + 1) AS mean, avg(failed / n) AS plai
 s AS (SELECT mean, square - plain * plain - plain * (1 - plain) * inverse AS spread FROM m),
 p AS (SELECT mean, CASE WHEN spread > 0 THEN least(greatest(mean * (1 - mean) / spread - 1, 0.5), 1e6) ELSE 1e6 END AS strength FROM s),
 r AS (SELECT host, (failed + mean * strength) / (n + strength) AS rate FROM h, p)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f_base AS base_failed,
-  NOT f_base AND {" * ".join(f"(CASE WHEN f_{k} THEN {Q.ODDS[k]} ELSE 1 END)" for k in _FAILED)} * (CASE WHEN any_failed THEN 1 ELSE {Q.ODDS["none"]} END) * rate < 1 - rate AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f_base AS base_failed, round(rate, 6) AS host_rate, {Q.ODDS["none"]} * rate < 1 - rate AS host_kept,
+  NOT f_base AND {Q.ODDS["none"]} * rate < 1 - rate AND (NOT any_failed OR {" * ".join(f"(CASE WHEN f_{k} THEN {Q.ODDS[k]} ELSE 1 END)" for k in _FAILED)} * rate < 1 - rate) AS kept
 FROM a JOIN r ON source IS NOT DISTINCT FROM host"""
 
 _ASSIGN = S.ASSIGN.replace("'", "''")

@@ -39,3 +39,15 @@ def test_hosts_shrink_and_decide(spark):
 def test_stage(spark, odd):
     out = Q.quality_stage(spark, odd, "")
     assert out.columns == odd.columns and out.count() == 0
+
+
+def test_host_verdict(spark):
+    """A host that nearly always fails is rejected with its clean documents; own columns stay."""
+    good, junk = " ".join(f"word{i}" for i in range(60)), " ".join(f"w#{i}|{i}" for i in range(60))
+    rows = [(i, junk, "bad", "x") for i in range(900)] + [(901, good, "bad", "x")] + [(1000 + i, good, f"good{i % 3}", "x") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _host string")
+    found = {r["doc_id"]: r for r in Q.quality(df).collect()}
+    assert not found[901]["host_kept"] and not found[901]["kept"] and not found[901]["base_failed"] and found[901]["host_rate"] > 0.98
+    assert all(found[1000 + i]["host_kept"] and found[1000 + i]["kept"] for i in range(300))
+    assert {r["_host"] for r in found.values()} == {"x"}
+    assert sorted(r["doc_id"] for r in Q.quality_stage(spark, df.withColumn("kept", Q.F.lit(7)), "").filter("kept = 7").collect()) == [1000 + i for i in range(300)]
