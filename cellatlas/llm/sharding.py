@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, partitions
+from .common import documents, fresh, partitions
 
 
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
@@ -31,21 +31,28 @@ def shard(df: DataFrame, key: str = "doc_id", weights: Sequence[float] = (1.0,)
 
     Slots are dealt in `slices` slices of a shard (as many as Spark's shuffle partitions by default), by a hash of the
     key: a narrow count of each slice gives where it begins, so no task orders a whole shard. Rows of one key lie in
-    one slice; repeated rows get a slot each, null keys too. An empty table gives an empty one. Columns named shard or
-    slot give way.
+    one slice; repeated rows get a slot each, null keys too; of rows that tie in key and whole numbers, either may come
+    first. An empty table gives an empty one. Columns named shard or slot give way; the others stay as they are, in
+    front, whatever their names. Texts are not read.
     """
     slices = slices or max(64, partitions(df.sparkSession))
-    own = df.drop("shard", "slot").withColumn("shard", rendezvous(F.col(key), weights)).withColumn("_slice", F.pmod(F.xxhash64(F.col(key), F.lit("slice")), F.lit(slices)).cast("int"))
-    before = Window.partitionBy("shard").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.drop("shard", "slot")
+    part, at, first = (fresh(rows, c) for c in ("slice", "at", "first"))
+    own = rows.withColumn("shard", rendezvous(F.col(key), weights)).withColumn(part, F.pmod(F.xxhash64(F.col(key), F.lit("slice")), F.lit(slices)).cast("int"))
+    before = Window.partitionBy("shard").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     # len(weights) * slices rows at most, whatever the input
-    starts = own.groupBy("shard", "_slice").count().select("shard", "_slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("shard", "_slice").orderBy(*[F.col(c) for c, t in own.dtypes if c not in ("shard", "_slice") and (c == key or t in ("bigint", "int"))])
-    placed = own.withColumn("_at", F.row_number().over(within))
-    return placed.join(F.broadcast(starts), ["shard", "_slice"]).withColumn("slot", F.col("_start") + F.col("_at") - 1).drop("_start", "_at", "_slice")
+    starts = own.groupBy("shard", part).agg(F.count("*").alias(first)).select("shard", part, F.coalesce(F.sum(first).over(before), F.lit(0)).alias(first))
+    within = Window.partitionBy("shard", part).orderBy(*[F.col(f"`{c}`") for c, t in rows.dtypes if c == key or t in ("bigint", "int")])
+    placed = own.withColumn(at, F.row_number().over(within)).join(F.broadcast(starts), ["shard", part])
+    return placed.select(*[F.col(f"`{c}`") for c in rows.columns], "shard", (F.col(first) + F.col(at) - 1).alias("slot"))
 
 
 def op1_sharding(spark, sf_dir: str, shards: int = 16) -> DataFrame:
-    """All documents in `shards` shards of equal weight. Null texts count as empty ones."""
+    """All documents in `shards` shards of equal weight, a row for a row, by the law `key`.
+
+    Null texts count as empty ones; long texts only give their size and checksum. Null and repeated doc_ids, ties and
+    empty tables as shard states; of other columns none is read.
+    """
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     rows = documents(spark, sf_dir).select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"))
     grown = rendezvous(F.col("doc_id"), (1.0,) * (shards + 1))

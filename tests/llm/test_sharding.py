@@ -1,7 +1,10 @@
+import math
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from cellatlas.llm.sharding import op1_sharding, rendezvous, shard
@@ -47,3 +50,27 @@ def test_repeated_and_null_keys(spark):
 def test_no_weight():
     with pytest.raises(ValueError):
         rendezvous(None, (0.0,))
+
+
+def test_as_plain(spark):
+    """The shard of each document by its own waits, hashed here as Spark does."""
+
+    def plain(key, weights):
+        best = None
+        for i, w in enumerate(weights):
+            h = xxhash.xxh64(struct.pack("<i", i), xxhash.xxh64(struct.pack("<q", key), 42).intdigest()).intdigest()
+            wait = -math.log(((h >> 11) + 0.5) * 2.0**-53) / w
+            best = min(best or (wait, i), (wait, i))
+        return best[1]
+
+    for r in op1_sharding(spark, SF).collect():
+        assert (r["shard"], r["grown_shard"]) == (plain(r["doc_id"], [1.0] * 16), plain(r["doc_id"], [1.0] * 17))
+    weights = [0.5, 3.0, 1.0]
+    for r in spark.range(300).select("id", rendezvous(F.col("id"), weights).alias("s")).collect():
+        assert r["s"] == plain(r["id"], weights)
+
+
+def test_own_columns_stay(spark, odd):
+    out = shard(odd)
+    assert out.columns == [*(c for c in odd.columns if c not in ("shard", "slot")), "shard", "slot"]
+    assert {(r["_slice"], r["_at"], r["slice"]) for r in out.collect()} == {(r["_slice"], r["_at"], r["slice"]) for r in odd.collect()}
