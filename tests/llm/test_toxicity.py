@@ -1,3 +1,5 @@
+import functools
+
 import numpy as np
 
 from cellatlas.llm import toxicity as X
@@ -35,3 +37,29 @@ def test_windows_cover_all_words():
 
 def test_held_out_is_not_learned(spark):
     assert spark.range(1000).withColumnRenamed("id", "doc_id").filter(held_out()).count() in range(150, 250)
+
+
+def test_as_plain(spark):
+    """Scores once more from the model's arrays: mean of subword vectors, mean of a window, softmax, logistic."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = X.learned(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    found = {r["doc_id"]: r["toxicity"] for r in X.with_toxicity(docs.limit(150), model).collect()}
+    a, b, c = model.scale
+    for r in docs.limit(150).collect():
+        own = X.words(r["text"] or "")
+        if not own:
+            assert found[r["doc_id"]] == 0
+            continue
+        vectors = [model.vectors[X.features(w)].astype(float).mean(0) for w in own]
+        worst = max(float(z[1] - z[0]) for z in (np.mean(vectors[i : i + X.WINDOW], 0) @ model.weights + model.bias for i in range(0, max(1, len(own) - X.WINDOW // 2), X.WINDOW // 2)))
+        n = len(range(0, max(1, len(own) - X.WINDOW // 2), X.WINDOW // 2))
+        assert abs(found[r["doc_id"]] - 1 / (1 + np.exp(-np.clip(a * worst + b * np.log(n) + c, -30, 30)))) < 1e-4
+
+
+def test_ngram_hash_goes_on_from_the_shorter_one():
+    for word in ("a", "ab", "abcdef", "naïveté"):
+        codes = [60, *map(ord, word), 62]
+        plain = [codes] + [codes[i:j] for i in range(len(codes)) for j in range(i + X.GRAMS[0], min(i + X.GRAMS[1], len(codes)) + 1)]
+        bucket = lambda x: ((functools.reduce(lambda h, y: (h * 0x01000193 ^ y) & 0xFFFFFFFF, x, 0)) * 0x9E3779B1 & 0xFFFFFFFF) >> 15
+        assert sorted(X.features(word)) == sorted(map(bucket, plain))
