@@ -3,6 +3,9 @@
 Each byte becomes one character, so a piece is a string of such characters; its score is its rank, negated, and
 sentencepiece merges what has the highest score first: the merges that the ranks stand for. Ids are the ranks. The
 unknown piece, which the format asks for, stands behind them all and can't occur, as all 256 bytes are pieces.
+
+A pre-token that is an entry of the vocabulary is one piece, the entry itself: its id is read from the ranks, without
+the model, which gives the same for each of the entries (tested for all). All others go through the model.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from .common import appended, documents, slices, texts
 
 RANKS = "byte_bpe_50k.tiktoken"
-_PRETOKENS, _CHUNKS = 1 << 17, 1 << 19
+_PRETOKENS, _CHUNKS = 1 << 16, 1 << 18  # in each half
 
 
 class _Spaces(Exception):
@@ -80,6 +83,26 @@ def serialised(tokens: list[bytes]) -> bytes:
     return b"".join([*pieces, unknown, trainer, normaliser])
 
 
+class Recent(dict):
+    """What was met lately: when it is full it becomes the older half, and what is met again comes over from there."""
+
+    def __init__(self, most: int):
+        self.most, self.older = most, {}
+
+    def again(self, key: str) -> bytes | None:
+        x = self.older.get(key)
+        if x is not None:
+            self.put(key, x)
+        return x
+
+    def put(self, key: str, x: bytes) -> None:
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        if len(key) < 64:
+            self[key] = x
+
+
 class Codec:
     """Encodes and decodes texts; keeps the ids of pre-tokens it has met, within a bound."""
 
@@ -91,20 +114,18 @@ class Codec:
         self.space = regex.compile(r"\s").match
         self.chars = [byte_characters()[b] for b in range(256)]
         self.whole = {t: struct.pack("<I", i) for i, t in enumerate(self.tokens)}
-        self.met: dict[str, bytes] = {}
-        self.met_chunks: dict[str, bytes] = {}
+        self.met, self.met_chunks = Recent(_PRETOKENS), Recent(_CHUNKS)
         back = {c: bytes([b]) for b, c in enumerate(self.chars)}
         self.pieces = [b"".join(back[c] for c in self.model.IdToPiece(i)) for i in range(len(self.tokens))]
 
     def pretoken(self, word: str) -> bytes:
+        if (ids := self.met.again(word)) is not None:
+            return ids
         raw = word.encode("utf-8")
         ids = self.whole.get(raw)
         if ids is None:
             ids = np.asarray(self.model.EncodeAsIds("".join(map(self.chars.__getitem__, raw))), "<u4").tobytes()
-        if len(self.met) >= _PRETOKENS:
-            self.met.clear()
-        if len(word) < 64:
-            self.met[word] = ids
+        self.met.put(word, ids)
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -124,11 +145,10 @@ class Codec:
         """What follows a space, up to the next one: no match spans its ends, unless white space meets the space there."""
         if not chunk or self.space(chunk[0]) or self.space(chunk[-1]):
             raise _Spaces
-        ids = self.pretokens(f" {chunk}")
-        if len(self.met_chunks) >= _CHUNKS:
-            self.met_chunks.clear()
-        if len(chunk) < 64:
-            self.met_chunks[chunk] = ids
+        ids = self.met_chunks.again(chunk)
+        if ids is None:
+            ids = self.pretokens(f" {chunk}")
+            self.met_chunks.put(chunk, ids)
         return ids
 
     def decode(self, ids: bytes) -> bytes:
@@ -142,10 +162,11 @@ def _codec(path: str, known: dict[str, Codec] = {}) -> Codec:  # noqa: B006  one
 
 
 def encoded(df: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
-    """df with ids (array<int>) and decoded (binary, by way of the ids). Null texts count as empty: no ids, no bytes.
+    """df with ids (array<int>) and decoded (binary, by way of the ids). Null and empty texts have no ids and no bytes.
 
     The vocabulary is read on each executor from `path`; public_tokenizers gives it by default. Columns of these
-    names give way. A text is encoded whole, however long it is.
+    names give way, others stay. A text is encoded whole, however long it is; merges that tie go from the left. Repeated
+    rows get the same each, an empty table gives an empty one.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,6 +180,10 @@ def encoded(df: DataFrame, path: str | None = None, text: str = "text") -> DataF
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:
+    """Number and digests of the ids of every whole text of documents, and of what they decode to, a row for a row.
+
+    Nulls, empty and long texts, ties, repeated rows and empty tables as encoded states; of other columns none is read.
+    """
     out = StructType([StructField("doc_id", LongType()), StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

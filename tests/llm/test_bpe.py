@@ -45,5 +45,23 @@ def test_query(spark, texts, both):
 
 def test_operator_keeps_columns(spark, odd):
     out = B.encoded(odd)
-    assert out.columns == [*odd.columns, "ids", "decoded"]
+    assert out.columns == [*(c for c in odd.columns if c not in ("ids", "decoded")), "ids", "decoded"]
     assert all(bytes(r["decoded"]) == (r["text"] or "").encode() for r in out.collect())
+
+
+def test_model_gives_each_entry_itself(both):
+    """What is read from the ranks is what the model says, for every entry of the vocabulary."""
+    codec, _ = both
+    pieces = ["".join(map(codec.chars.__getitem__, t)) for t in codec.tokens]
+    assert [codec.model.EncodeAsIds(p) for p in pieces] == [[i] for i in range(len(pieces))]
+
+
+def test_small_caches_change_nothing(both):
+    codec, other = both
+    few = B.Codec(PATH)
+    few.met, few.met_chunks = B.Recent(7), B.Recent(5)
+    rng = random.Random(2)
+    for _ in range(300):
+        text = " ".join(rng.choice(["alpha", "beta!", "gamma-ray", "δέλτα", "x1", "", "\n"]) + str(rng.randrange(9)) for _ in range(20))
+        assert few.encode(text) == codec.encode(text) == np.array(other.encode_ordinary(text), "<u4").tobytes()
+    assert len(few.met) <= 7 and len(few.met.older) <= 7
