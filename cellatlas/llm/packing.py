@@ -7,6 +7,7 @@ whole corpus in that order is one stream of tokens, cut every `length` tokens: o
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -28,6 +29,10 @@ LENGTH, END = 4096, 2
 HASHED, DIMS, BITS, SEED = 256, 3, 13, 11
 WEIGHT = 1024  # tokens for which a document counts once where ranges are made even
 KNOWN = 1 << 18  # parts whose ids a worker process keeps, twice at most
+#: What the plain pattern below stands for: a file with these settings is read that way, any other by the library alone.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [SPLIT, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 #: Texts of these characters only have tokens that a plain pattern finds, and lower case letter by letter.
 _UNUSUAL = re.compile(r"[^\n\t\x20-\x7eÀ-ÖØ-öø-ÿ]")
 _PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
@@ -45,6 +50,9 @@ class Words(dict):
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
+        with open(path, encoding="utf-8") as file:
+            how = json.load(file)
+        self.plain = how["normalizer"] == NORMALIZER and how["pre_tokenizer"] == PRE_TOKENIZER and how["model"]["type"] == "BPE"
         self.model, self.chars = self.tokenizer.model, byte_characters()
         self.older: dict[str, bytes] = {}
 
@@ -58,7 +66,7 @@ class Words(dict):
         return ids
 
     def encode(self, text: str) -> np.ndarray:
-        if _UNUSUAL.search(text):
+        if not self.plain or _UNUSUAL.search(text):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
         return np.frombuffer(b"".join(map(self.__getitem__, _PARTS.findall(text.lower()))), np.uint16)
 
@@ -116,10 +124,12 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
 def packed(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, length: int = LENGTH, end: int = END, known: int = KNOWN, with_ids: bool = True) -> DataFrame:
     """One row for each piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with `with_ids` ids (array<int>).
 
-    A document is its ids and then `end`; null texts count as empty, so they are one id. Ranges of the curve go to one
-    partition each; the low bits of the sort key are a hash of `key`, so equal documents, however many, are spread over
-    ranges too. A narrow sum gives where in the stream each range begins. Repeated rows are packed as often as they
-    occur; an empty table gives no piece. `known` bounds the memory of words that a worker process has met.
+    A document is its ids and then `end`; null and empty texts are one id, and long ones are cut into as many pieces as
+    they need. Ranges of the curve go to one partition each; the low bits of the sort key are a hash of `key`, so equal
+    documents, however many, are spread over ranges too, and what ties in both goes by key and size. A narrow sum gives
+    where in the stream each range begins. Repeated rows are packed as often as they occur; an empty table gives no
+    piece; other columns are not read. `path` names a tokenizer file of the tokenizers library with at most 2^16 ids.
+    `known` bounds the memory of words that a worker process has met.
     """
     spark = df.sparkSession
     kind = dict(df.dtypes)[key]
@@ -174,12 +184,16 @@ def packed(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, without their ids, which the query is not asked for.
+
+    Nulls, empty and long texts, ties, repeated rows, empty tables and other columns as packed states.
+    """
     return packed(documents(spark, sf_dir), with_ids=False)
 
 
 def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, without their ids: those follow from text, start and length.
+    """The pieces of all documents with their ids, so the result is the training sequences themselves.
 
     Its worker processes have served the stages before, so they keep fewer words than in the query.
     """
-    return packed(docs, known=KNOWN // 4, with_ids=False)
+    return packed(docs, known=KNOWN // 4)

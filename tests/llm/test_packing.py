@@ -1,3 +1,4 @@
+import json
 import zlib
 from collections import defaultdict
 
@@ -58,3 +59,32 @@ def test_copies_are_neighbours_and_ranges_even(spark):
     rows = K.packed(spark.createDataFrame(docs, "doc_id bigint, text string"), length=64).orderBy("sequence_id", "offset").collect()
     same = [r["doc_id"] % 2 for r in rows]
     assert sum(a != b for a, b in zip(same, same[1:], strict=False)) <= 6
+
+
+def test_another_tokenizer_file(tmp_path):
+    """Files with other settings are read by the library alone."""
+    how = json.load(open(public_tokenizers.path(K.VOCABULARY), encoding="utf-8"))
+    how["normalizer"] = {"type": "NFC"}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(how), encoding="utf-8")
+    t = Tokenizer.from_file(str(path))
+    t.encode_special_tokens = True
+    words = K.Words(str(path))
+    assert not words.plain and K.Words(public_tokenizers.path(K.VOCABULARY)).plain
+    assert words.encode("Some Text it's").tolist() == t.encode("Some Text it's", add_special_tokens=False).ids
+
+
+def test_order_along_the_curve(spark, texts):
+    """The sequences follow the Hilbert keys of the documents, as projected once more here."""
+    words = K.Words(public_tokenizers.path(K.VOCABULARY))
+    key = {i: int(K.curve_keys([np.append(words.encode(t or ""), np.uint16(2))])[0]) for i, t in texts.items()}
+    rows = K.op9_packing(spark, SF).orderBy("sequence_id", "offset").collect()
+    order = [key[r["doc_id"]] for r in rows]
+    assert order == sorted(order) and len(set(order)) > 50
+    directions = np.random.default_rng(K.SEED).standard_normal((K.HASHED, K.DIMS))
+    ids = words.encode(texts[rows[0]["doc_id"]] or "")
+    counts = np.zeros(K.HASHED)
+    for x in [*ids.tolist(), 2]:
+        counts[(x * 0x9E3779B97F4A7C15 % 2**64 >> 56) % K.HASHED] += 1
+    grid = np.clip((counts @ directions / max(1, np.sqrt((counts**2).sum())) + 3) / 6 * (1 << K.BITS), 0, (1 << K.BITS) - 1)
+    assert int(K.hilbert(grid[None, :], K.BITS)[0]) == order[0]
