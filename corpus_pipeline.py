@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellatlas.llm.common import documents, written
+from cellatlas.llm.common import documents, scratch, written
 from cellatlas.llm.langid import langid_stage
 from cellatlas.llm.neardup import neardup_stage
 from cellatlas.llm.packing import packing_stage
@@ -27,8 +27,26 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+def run_stages(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """What each stage gives, by its name; all but the last are written tables in the shared folder.
+
+    What a stage wrote besides is deleted when its result is there. A caller that needs the sequences only may delete
+    the other tables (inputFiles names them) after having read them.
+    """
+    docs, found = documents(spark, sf_dir), {}
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with scratch(spark):
+            docs = found[name] = written(stage(spark, docs, sf_dir), name, keep=True)
+    name, stage = STAGES[-1]
+    return found | {name: stage(spark, docs, sf_dir)}
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all that is kept of documents, with their token ids: doc_id, start, length, ids_crc32, doc_tokens,
+    sequence_id, offset, ids.
+
+    Null, empty and blank texts and texts without a letter go in the first two stages; long texts are read whole; of
+    rows that repeat an id and a text one stays, of near-duplicates the one with the least id; ties are as the stages
+    state. An empty table gives no piece. Columns that clash with an operator's own are passed through unread.
+    """
+    return run_stages(spark, sf_dir)[STAGES[-1][0]]
