@@ -251,9 +251,9 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) that join all similar classes (id, key, set_key, bands) which hang together by bands; docs: key, text."""
-    rows = classes.select("id", F.posexplode("bands").alias("band", "h"))
-    buckets = rows.groupBy("band", "h").agg(F.min("id").alias("first"), F.count("*").alias("m")).filter("m > 1")
-    near = written(rows.join(buckets.drop("m"), ["band", "h"]).filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "near")
+    rows = classes.select("id", F.explode("bands").alias("h"))
+    buckets = rows.groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    near = written(rows.join(buckets, "h").filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "near")
     clusters = written(components(near), "clusters")
     large = written(clusters.groupBy("label").agg(F.count("*").alias("m")).filter(f"m > {BLOCK}"), "large")
     sets = _sets_of(docs, written(clusters.select("id").join(classes.select("id", "key", "set_key"), "id"), "members"))
@@ -263,8 +263,9 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFr
     if many.isEmpty():
         return written(compared(one, sets, percent), "links")
     blocks = [many.select("id", F.explode(F.array(*[F.concat_ws(".", F.lit(f"d{s}"), "label", F.expr(f"pmod(xxhash64(id, {s}), {_blocks('m')})")) for s in (1, 2)])).alias("g"))]
-    chosen = rows.filter(F.col("band").isin(0, 1)).join(many.select("id"), "id", "left_semi").join(buckets.drop("first"), ["band", "h"])
-    blocks.append(chosen.select("id", F.concat_ws(".", F.lit("b"), "band", "h", F.expr(f"pmod(xxhash64(id, 3), {_blocks('m')})")).alias("g")))
+    two = classes.join(many.select("id"), "id", "left_semi").select("id", F.explode(F.slice("bands", 1, 2)).alias("h"))
+    sizes = two.groupBy("h").agg(F.count("*").alias("m"))
+    blocks.append(two.join(sizes, "h").select("id", F.concat_ws(".", F.lit("b"), "h", F.expr(f"pmod(xxhash64(id, 3), {_blocks('m')})")).alias("g")))
     first = written(compared(one.unionByName(blocks[0]).unionByName(blocks[1]), sets, percent), "links")
     joined = components(first.join(many.select(F.col("id").alias("a")), "a", "left_semi"))
     parts = written(many.select("id").join(joined.withColumnRenamed("label", "part"), "id", "left").select("id", F.coalesce("part", "id").alias("part")), "parts")

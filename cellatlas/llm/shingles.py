@@ -67,13 +67,13 @@ def band_rows(percent: int) -> int:
 
 
 def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    """A 64-bit number for each band of `rows` values."""
+    """A 64-bit number for each band of `rows` values; it tells the band too, so numbers of different bands don't meet."""
     n = len(sig) // rows
     x = sig[: n * rows].reshape(n, rows)
     h = x[:, 0]
     for k in range(1, rows):
         h = mixed(h) + x[:, k] * np.uint64(0x9E3779B97F4A7C15)
-    return mixed(h)
+    return mixed(mixed(h) + np.arange(n, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def set_key(own: np.ndarray) -> bytes:
