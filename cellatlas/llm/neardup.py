@@ -150,11 +150,12 @@ def compared(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.repartition(partitions(rows.sparkSession), "g").sortWithinPartitions("g", "id").mapInArrow(compare, "a bigint, b bigint")
 
 
-def _sets_of(docs: DataFrame, members: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, members: DataFrame, once: bool) -> DataFrame:
     """id and set (sorted 64-bit numbers) of the members (id, key, set_key), read from their texts once more.
 
     A Bloom filter of the keys, of bounded size, spares all other texts a shuffle; the join by set_key drops what it let
-    through by mistake, and tells apart the texts of rows that repeat a key.
+    through by mistake, and tells apart the texts of rows that repeat a key. If no key repeats (`once`), each set comes
+    once by itself and need not be shuffled for that.
     """
     bits = min(_BITS, max(1 << 12, 1 << (16 * max(1, members.count())).bit_length()))
     hashes = (F.xxhash64("key", F.lit(1)), F.xxhash64("key", F.lit(2)))
@@ -185,7 +186,8 @@ def _sets_of(docs: DataFrame, members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(map(set_key, found), pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], names=["set_key", "set"])
 
     each = docs.filter("key IS NOT NULL").select("key", "text", *hashes).toDF("key", "text", "x", "y").mapInArrow(sets, "set_key binary, set binary").filter("length(set) > 0")
-    return written(each.join(members.select("set_key", "id"), "set_key").select("id", "set").dropDuplicates(["id"]), "sets")
+    found = each.join(members.select("set_key", "id"), "set_key").select("id", "set")
+    return written(found if once else found.dropDuplicates(["id"]), "sets")
 
 
 def _blocks(n: str) -> str:
@@ -249,14 +251,17 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
 
 
-def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) that join all similar classes (id, key, set_key, bands) which hang together by bands; docs: key, text."""
+def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, once: bool = False) -> DataFrame:
+    """Links (a, b) that join all similar classes (id, key, set_key, bands) which hang together by bands.
+
+    docs: key, text; `once` says that no key repeats there.
+    """
     rows = classes.select("id", F.explode("bands").alias("h"))
     buckets = rows.groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("m")).filter("m > 1").drop("m")
     near = written(rows.join(buckets, "h").filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "near")
     clusters = written(components(near), "clusters")
     large = written(clusters.groupBy("label").agg(F.count("*").alias("m")).filter(f"m > {BLOCK}"), "large")
-    sets = _sets_of(docs, written(clusters.select("id").join(classes.select("id", "key", "set_key"), "id"), "members"))
+    sets = _sets_of(docs, written(clusters.select("id").join(classes.select("id", "key", "set_key"), "id"), "members"), once)
     dealt = written(by_label(clusters, large, "left"), "dealt")
     one = dealt.filter("m IS NULL").select("id", F.concat_ws(".", F.lit("c"), "label").alias("g"))
     many = dealt.filter("m IS NOT NULL")
@@ -284,7 +289,8 @@ def grouped(df: DataFrame, key: str, text: str, percent: int) -> DataFrame:
         # a class has an id of its own until labels are made, as classes of different texts may have the same least key
         each = signs.filter("n > 0 AND key IS NOT NULL").groupBy("set_key").agg(F.min("key").cast("long").alias("key"), F.any_value("bands").alias("bands"))
         classes = written(each.withColumn("id", F.monotonically_increasing_id()), "classes")
-        linked = written(classes.select("id", "set_key", "key").join(components(links(docs, classes, percent)), "id"), "linked")
+        once = signs.groupBy("key").count().filter("count > 1").isEmpty()
+        linked = written(classes.select("id", "set_key", "key").join(components(links(docs, classes, percent, once)), "id"), "linked")
         least = linked.groupBy("label").agg(F.min("key").alias("component"))
         named = by_label(linked, least).select("set_key", "component", "label")
         where = written(classes.select("set_key", "id", "key").join(named, "set_key", "left").select("set_key", F.coalesce("component", "key").cast(kind).alias("component"), F.coalesce("label", "id").alias("group")), "components", keep=True)
