@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,15 +151,9 @@ def compared(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.repartition(partitions(rows.sparkSession), "g").sortWithinPartitions("g", "id").mapInArrow(compare, "a bigint, b bigint")
 
 
-def _sets_of(docs: DataFrame, members: DataFrame, once: bool) -> DataFrame:
-    """id and set (sorted 64-bit numbers) of the members (id, key, set_key), read from their texts once more.
-
-    A Bloom filter of the keys, of bounded size, spares all other texts a shuffle; the join by set_key drops what it let
-    through by mistake, and tells apart the texts of rows that repeat a key. If no key repeats (`once`), each set comes
-    once by itself and need not be shuffled for that.
-    """
-    bits = min(_BITS, max(1 << 12, 1 << (16 * max(1, members.count())).bit_length()))
-    hashes = (F.xxhash64("key", F.lit(1)), F.xxhash64("key", F.lit(2)))
+def bloom_filter(hashes: DataFrame) -> np.ndarray:
+    """A Bloom filter, of bounded size, of rows of two 64-bit hashes; its words are put together on the executors."""
+    bits = min(_BITS, max(1 << 12, 1 << (16 * max(1, hashes.count())).bit_length()))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(bits // 64, np.uint64)
@@ -169,19 +164,35 @@ def _sets_of(docs: DataFrame, members: DataFrame, once: bool) -> DataFrame:
         at = np.flatnonzero(own)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(own[at].view(np.int64))], names=["at", "word"])
 
-    found = members.select(*hashes).toDF("x", "y").mapInArrow(words, "at int, word bigint").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
-    bloom = np.zeros(bits // 64, np.uint64)
-    bloom[found["at"].to_numpy()] = found["word"].to_numpy().view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(bloom)
+    found = hashes.toDF("x", "y").mapInArrow(words, "at int, word bigint").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[found["at"].to_numpy()] = found["word"].to_numpy().view(np.uint64)
+    return out
+
+
+def let_through(bloom: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs of hashes the filter lets through: all that it was made of, and a few others."""
+    keep = np.ones(len(x), bool)
+    for h in (x, y):
+        p = h.view(np.uint64) & np.uint64(64 * len(bloom) - 1)
+        keep &= (bloom[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)) == 1
+    return keep
+
+
+def _sets_of(docs: DataFrame, members: DataFrame, once: bool) -> DataFrame:
+    """id and set (sorted 64-bit numbers) of the members (id, key, set_key), read from their texts once more.
+
+    A Bloom filter of the keys spares all other texts a shuffle; the join by set_key drops what it let through by
+    mistake, and tells apart the texts of rows that repeat a key. If no key repeats (`once`), each set comes once by
+    itself and need not be shuffled for that.
+    """
+    hashes = (F.xxhash64("key", F.lit(1)), F.xxhash64("key", F.lit(2)))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom_filter(members.select(*hashes)))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = shared.value, Words()
+        known = Words()
         for batch in slices(batches):
-            keep = np.ones(batch.num_rows, bool)
-            for c in (2, 3):
-                p = batch.column(c).to_numpy().view(np.uint64) & np.uint64(bits - 1)
-                keep &= (own[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)) == 1
-            some = batch.filter(pa.array(keep))
+            some = batch.filter(pa.array(let_through(shared.value, batch.column(2).to_numpy(), batch.column(3).to_numpy())))
             found = [shingle_set(x, known) for x in texts(some)]
             yield pa.RecordBatch.from_arrays([pa.array(map(set_key, found), pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], names=["set_key", "set"])
 
@@ -190,6 +201,23 @@ def _sets_of(docs: DataFrame, members: DataFrame, once: bool) -> DataFrame:
     return written(found if once else found.dropDuplicates(["id"]), "sets")
 
 
+def in_buckets(classes: DataFrame, buckets: DataFrame) -> DataFrame:
+    """id and h: the bands (h) of the classes (id, bands) that are among the buckets (h), and a few others.
+
+    Most bands are of one class alone; a Bloom filter of the buckets spares them the shuffle to the join.
+    """
+    shared = classes.sparkSession.sparkContext.broadcast(bloom_filter(buckets.select("h", F.shiftright("h", 32))))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(1).flatten().to_numpy()
+            keep = let_through(shared.value, h, h >> 32)
+            ids = np.repeat(batch.column(0).to_numpy(), pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(h[keep])], names=["id", "h"])
+
+    return classes.select("id", "bands").mapInArrow(some, "id bigint, h bigint")
+
+
 def _blocks(n: str) -> str:
     return f"CAST(ceil({n} / {BLOCK}) AS int)"
 
@@ -247,7 +275,9 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    ids = written(pairs.select("a").union(pairs.select("b")).toDF("id").distinct(), "ids")
+    few = sets.join(ids, "id", "left_semi")  # all other sets stay where they are
+    both = pairs.join(few.toDF("a", "x"), "a").join(few.toDF("b", "y"), "b")
     return both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
 
 
@@ -257,8 +287,8 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, once: boo
     docs: key, text; `once` says that no key repeats there.
     """
     rows = classes.select("id", F.explode("bands").alias("h"))
-    buckets = rows.groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    near = written(rows.join(buckets, "h").filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "near")
+    buckets = written(rows.groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("m")).filter("m > 1").drop("m"), "buckets")
+    near = written(in_buckets(classes, buckets).join(buckets, "h").filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "near")
     clusters = written(components(near), "clusters")
     large = written(clusters.groupBy("label").agg(F.count("*").alias("m")).filter(f"m > {BLOCK}"), "large")
     sets = _sets_of(docs, written(clusters.select("id").join(classes.select("id", "key", "set_key"), "id"), "members"), once)
@@ -271,7 +301,8 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, once: boo
     two = classes.join(many.select("id"), "id", "left_semi").select("id", F.explode(F.slice("bands", 1, 2)).alias("h"))
     sizes = two.groupBy("h").agg(F.count("*").alias("m"))
     blocks.append(two.join(sizes, "h").select("id", F.concat_ws(".", F.lit("b"), "h", F.expr(f"pmod(xxhash64(id, 3), {_blocks('m')})")).alias("g")))
-    first = written(compared(one.unionByName(blocks[0]).unionByName(blocks[1]), sets, percent), "links")
+    groups = written(one.unionByName(blocks[0]).unionByName(blocks[1]), "groups")  # narrow: its size says how to join
+    first = written(compared(groups, sets, percent), "links")
     joined = components(first.join(many.select(F.col("id").alias("a")), "a", "left_semi"))
     parts = written(many.select("id").join(joined.withColumnRenamed("label", "part"), "id", "left").select("id", F.coalesce("part", "id").alias("part")), "parts")
     pairs = written(prefix_pairs(elements(parts, sets), percent), "pairs")
