@@ -91,10 +91,10 @@ class Engine:
         return rank.with_genes(self.by_meaning(text, top), self.stats)
 
     def interactions(self, source: str | None = None, target: str | None = None, **limits) -> DataFrame:
-        return interact.interactions(self.stats, self.pairs, interact.named_clusters(self.clusters, source), interact.named_clusters(self.clusters, target), **limits)
+        return interact.interactions(self.stats, self.pairs, interact.named_clusters(self.clusters, source), interact.named_clusters(self.clusters, target), **limits).orderBy(F.desc(F.round(F.round("score", 9), 4)), "lr_ord", "source", "target")
 
     def proportions(self, column: str | None = None) -> DataFrame:
-        return meta.composition(self.cells) if column is None else meta.fold_changes(meta.condition_composition(self.meta, column))
+        return meta.composition(self.cells) if column is None else meta.changes_in_order(meta.fold_changes(meta.condition_composition(self.meta, column))).orderBy("place").drop("place")
 
     def conditions(self) -> DataFrame:
         words = self.spark.createDataFrame(list(enumerate(fixed.CONDITION_WORDS)), "kw_ord int, kw string")
@@ -116,7 +116,8 @@ class Engine:
 
     def cell_cycle(self, metric: str = "pct_in") -> DataFrame:
         rows = [(n, g) for n, own in (("S", fixed.S_PHASE), ("G2M", fixed.G2M_PHASE)) for g in own]
-        return genesets.cell_cycle(self.stats, self.spark.createDataFrame(rows, "set_name string, gene string"), self.clusters, "S", "G2M", metric)
+        found = genesets.cell_cycle(self.stats, self.spark.createDataFrame(rows, "set_name string, gene string"), self.clusters, "S", "G2M", metric)
+        return genesets.phases_in_order(found).orderBy("place").drop("place")
 
     def specificity(self, top: int = 20) -> DataFrame:
         return profile.top_specific(profile.marker_specificity(self.stats), top)

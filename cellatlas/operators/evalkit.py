@@ -87,6 +87,19 @@ def recovered(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     return each.agg(F.count("*").alias("n"), F.avg("lr").alias("lr_rate"), F.avg("full").alias("full_rate"))
 
 
+def paper_interactions(truth: DataFrame, predicted: DataFrame) -> DataFrame:
+    """One row: n, n_found and rate of the truth's pairs of cluster names (source, target) that a predicted pair matches.
+
+    Names match, whatever their case, if either holds the other. Predicted pairs are made distinct before they meet.
+    """
+    p = predicted.select(F.lower("source").alias("_s"), F.lower("target").alias("_t")).distinct()
+    holds = lambda a, b: F.lower(a).contains(F.col(b)) | F.col(b).contains(F.lower(a))
+    t = truth.select("source", "target").withColumn("_id", F.monotonically_increasing_id())
+    hit = t.join(p, holds("source", "_s") & holds("target", "_t"), "left_semi").select("_id", F.lit(1).alias("_hit"))
+    n = F.coalesce("_hit", F.lit(0))
+    return t.join(hit, "_id", "left").agg(F.count("*").alias("n"), F.coalesce(F.sum(n), F.lit(0)).alias("n_found"), F.coalesce(F.avg(n), F.lit(0.0)).alias("rate"))
+
+
 def pathway_alignment(truth: DataFrame, best: DataFrame) -> DataFrame:
     """pathway and score: the best score of a computed set (set_name, score) whose name holds it or is held by it; null if none."""
     a, b = F.lower("pathway"), F.lower("set_name")

@@ -47,6 +47,19 @@ def best_cluster_of_set(scores: DataFrame) -> DataFrame:
     return scores.withColumn("_r", r).filter("_r = 1").select("set_name", "cluster_id", "score")
 
 
+def sets_in_order(scores: DataFrame) -> DataFrame:
+    """set_name, cluster_id, score, place: sets by the score of their best cluster; ties by set_ord. A row for each set."""
+    best = best_cluster_of_set(scores).join(scores.groupBy("set_name").agg(F.min("set_ord").alias("set_ord")), "set_name")
+    place = F.row_number().over(Window.orderBy(F.desc("score"), "set_ord"))
+    return best.select("set_name", "cluster_id", "score", place.cast("long").alias("place"))
+
+
+def phases_in_order(phases: DataFrame) -> DataFrame:
+    """What cell_cycle gives, and place: clusters by the sum of both scores, each at four digits; ties by name."""
+    both = F.round(F.round("s_score", 4) + F.round("g2m_score", 4), 4)
+    return phases.withColumn("place", F.row_number().over(Window.orderBy(F.desc(both), "cluster_id")).cast("long"))
+
+
 def best_set_of_cluster(scores: DataFrame) -> DataFrame:
     r = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("score"), "set_ord"))
     return scores.withColumn("_r", r).filter("_r = 1").select("cluster_id", "set_name", "score")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,19 @@ def interactions(stats: DataFrame, pairs: DataFrame, sources: DataFrame | None =
     return both.filter(F.col("source") != F.col("target")).select("source", "target", "ligand", "receptor", "pathway", "lr_ord", "ligand_pct", "receptor_pct", (F.col("ligand_pct") * F.col("receptor_pct")).alias("score"))
 
 
+def in_order(found: DataFrame, clusters: DataFrame) -> DataFrame:
+    """found with its score at four digits and its place by it; ties by lr_ord, then the clusters' ordinals.
+
+    Places come from how many rows each of the 10001 scores has, so no task orders all rows.
+    """
+    ordinal = lambda side: clusters.select(F.col("cluster_id").alias(side), F.col("cluster_ord").alias(f"_{side}"))
+    own = found.withColumn("score", F.round(F.round("score", 9), 4)).join(ordinal("source"), "source").join(ordinal("target"), "target")
+    above = F.sum("_n").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1))
+    counts = own.groupBy("score").agg(F.count("*").alias("_n")).select("score", F.coalesce(above, F.lit(0)).alias("_above"))
+    r = F.row_number().over(Window.partitionBy("score").orderBy("lr_ord", "_source", "_target"))
+    return own.join(counts, "score").withColumn("place", F.col("_above") + r).drop("_above", "_source", "_target")
+
+
 def by_pathway(found: DataFrame) -> DataFrame:
     return found.groupBy("pathway").agg(F.count("*").alias("n"))
 

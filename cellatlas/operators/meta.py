@@ -68,6 +68,12 @@ def fold_changes(shares: DataFrame) -> DataFrame:
     return both.withColumn("is_inf", is_inf).withColumn("fold_change", F.when(F.col("fb") > 0.001, F.col("fa") / F.when(F.col("fb") > 0.001, F.col("fb"))).when(~is_inf, F.lit(1.0)))
 
 
+def changes_in_order(changes: DataFrame) -> DataFrame:
+    """What fold_changes gives, and place: by the change at three digits, an infinite one as 999; ties by cluster."""
+    size = F.when(F.col("is_inf"), 999.0).otherwise(F.round("fold_change", 3))
+    return changes.withColumn("place", F.row_number().over(Window.orderBy(F.desc(size), "cluster_id")).cast("long"))
+
+
 def detect_condition(meta: DataFrame, keywords: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
     """One row at most: col and how it was found.
 

@@ -76,6 +76,17 @@ def vector_spread(vectors: DataFrame, vec: str = "vec") -> DataFrame:
     return vectors.select(F.posexplode(vec).alias("i", "x")).groupBy("i").agg(F.var_pop(F.col("x").cast("double")).alias("v")).agg(F.avg("v").alias("mean_variance"))
 
 
+def pairwise_cosines(vectors: DataFrame, key: str, vec: str = "vec", sample: int = 500) -> DataFrame:
+    """One row: n pairs, and the mean, least and highest cosine of each two of `sample` vectors, drawn by a hash of their key.
+
+    A vector of zeros has the cosine 0 with all. The sample is bounded, and so are its pairs.
+    """
+    own = vectors.select(F.col(key).alias("k"), normalized(F.col(vec)).alias("v")).orderBy(F.md5(F.col("k").cast("string")), "k").limit(sample)
+    a, b = own.toDF("a", "va"), own.toDF("b", "vb")
+    pairs = a.join(b, F.col("a") < F.col("b")).select(F.coalesce(cosine(F.col("va"), F.col("vb"), 0.0), F.lit(0.0)).alias("c"))
+    return pairs.agg(F.count("*").alias("n"), F.avg("c").alias("mean"), F.min("c").alias("least"), F.max("c").alias("highest"))
+
+
 def dotplot(expr: DataFrame, cells: DataFrame, genes: DataFrame) -> DataFrame:
     """cluster_id, gene, pct, mean, z for each cluster and each asked gene; z over the clusters, 0 for a constant gene."""
     sizes = cells.groupBy("cluster_id").agg(F.count("*").alias("n"))

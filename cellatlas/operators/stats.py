@@ -130,3 +130,8 @@ def variable_genes(expr: DataFrame, cells: DataFrame, genes: int = 3000) -> Data
     mean = F.col("s") / F.col("n")
     found = found.select("gene", mean.alias("mean"), (F.col("q") / F.col("n") - mean * mean).alias("variance"))
     return found.withColumn("dispersion", F.col("variance") / F.col("mean")).orderBy(F.desc("dispersion"), "gene").limit(genes)
+
+
+def guarded(stats: DataFrame) -> DataFrame:
+    """stats with 0 for a logfc, and 1 for a pval_adj, that is no number."""
+    return stats.withColumns({c: F.nanvl(c, F.lit(x)) for c, x in (("logfc", 0.0), ("pval_adj", 1.0))})

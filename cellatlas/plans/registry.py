@@ -341,6 +341,35 @@ def lr_recovery(a):
     return evalkit.recovered(truth, _lr(a)).select("n", "lr_rate")
 
 
+@query("SELECT source, target, ligand, receptor, CAST(score AS DOUBLE) AS score, row_number() OVER (ORDER BY score DESC, lr_ord, s, t) AS place FROM (SELECT source, target, ligand, receptor, round(CAST(ligand_pct * receptor_pct AS DECIMAL(18, 9)), 4) AS score, lr_ord, a.cluster_ord AS s, b.cluster_ord AS t FROM lr JOIN pairs USING (ligand, receptor) JOIN clusters a ON a.cluster_id = source JOIN clusters b ON b.cluster_id = target)", CELLS, SPARSE, STATS, PAIRS, LR)
+def lr_in_order(a):
+    return interact.in_order(_lr(a), a.clusters).select("source", "target", "ligand", "receptor", "score", "place")
+
+
+@query("SELECT count(*) AS n, CAST(sum(hit) AS BIGINT) AS n_found, round(avg(hit), 6) AS rate FROM (SELECT CASE WHEN EXISTS (SELECT 1 FROM lr WHERE (contains(lower(lr.source), lower(t.source)) OR contains(lower(t.source), lower(lr.source))) AND (contains(lower(lr.target), lower(t.target)) OR contains(lower(t.target), lower(lr.target)))) THEN 1 ELSE 0 END AS hit FROM (SELECT lower(n_name) AS source, r_name || CASE WHEN n_nationkey % 2 = 0 THEN ' ' || n_name ELSE '' END AS target FROM nation JOIN region ON r_regionkey = n_regionkey) t)", CELLS, SPARSE, STATS, PAIRS, LR)
+def paper_interactions(a):
+    """Half of the targets hold a cluster's name, the others none."""
+    own = a.table("nation").join(a.table("region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    target = F.concat("r_name", F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit(" "), "n_name")).otherwise(""))
+    return rounded(evalkit.paper_interactions(own.select(F.lower("n_name").alias("source"), target.alias("target")), _lr(a)))
+
+
+@query("SELECT cluster_id, gene, round(CASE WHEN nnz % 2 = 0 THEN 0 ELSE logfc END, 6) AS logfc, round(CASE WHEN nnz % 3 = 0 THEN 1 ELSE pval_adj END, 6) AS pval_adj FROM stats", CELLS, DENSE, STATS)
+def guarded_stats(a):
+    nan = F.lit(float("nan"))
+    own = a.dense_stats.withColumns({c: F.when(F.col("nnz") % m == 0, nan).otherwise(F.col(c)) for c, m in (("logfc", 2), ("pval_adj", 3))})
+    return rounded(stats.guarded(own).select("cluster_id", "gene", "logfc", "pval_adj"))
+
+
+@query("SELECT k, v FROM (SELECT p_partkey AS k, p_name AS v FROM part WHERE p_partkey % 3 > 0 UNION ALL SELECT p_partkey, p_brand FROM part WHERE p_partkey % 3 = 0) ")
+def merged_definitions(a):
+    """Every third part is defined by both, most others by the first alone."""
+    from ..sources import catalog
+
+    part = a.table("part")
+    return catalog.merged(part.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("v")), part.filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("v")), "k")
+
+
 # Gene sets
 
 SET_SCORES = """ss AS (SELECT set_name, min(set_ord) AS set_ord, count(*) AS n_genes FROM sets GROUP BY 1),
@@ -362,6 +391,11 @@ def top_cluster_per_set(a):
     return rounded(genesets.best_cluster_of_set(_set_scores(a)))
 
 
+@query("SELECT set_name, cluster_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, set_ord) AS place FROM (SELECT *, row_number() OVER (PARTITION BY set_name ORDER BY round(score, 9) DESC, cluster_id) AS r FROM scored) WHERE r = 1", CELLS, SPARSE, STATS, SETS, SET_SCORES)
+def pathways_in_order(a):
+    return rounded(genesets.sets_in_order(_set_scores(a)))
+
+
 @query("SELECT cluster_id, set_name, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY round(score, 9) DESC, set_ord) AS r FROM scored) WHERE r = 1", CELLS, SPARSE, STATS, SETS, SET_SCORES)
 def top_set_per_cluster(a):
     return rounded(genesets.best_set_of_cluster(_set_scores(a)))
@@ -392,6 +426,18 @@ def cell_cycle_phase(a):
     return rounded(genesets.cell_cycle(a.dense_stats, sets, a.clusters, "s1", "s2"))
 
 
+@query(
+    """, own AS (SELECT cluster_id, avg(CASE WHEN g < 'm' THEN pct_in END) AS s, avg(CASE WHEN g >= 'm' THEN pct_in END) AS g FROM (SELECT DISTINCT p_name AS gene, p_name AS g FROM part) q JOIN stats USING (gene) GROUP BY 1), f AS (SELECT cluster_id, coalesce(s, 0) AS s, coalesce(g, 0) AS g FROM clusters LEFT JOIN own USING (cluster_id))
+SELECT cluster_id, round(s, 6) AS s_score, round(g, 6) AS g2m_score, row_number() OVER (ORDER BY round(round(s, 4) + round(g, 4), 4) DESC, cluster_id) AS place FROM f""",
+    CELLS,
+    DENSE,
+    STATS,
+)
+def phases_in_order(a):
+    sets = a.table("part").select(F.when(F.col("p_name") < "m", "s").otherwise("g").alias("set_name"), F.col("p_name").alias("gene")).distinct()
+    return rounded(genesets.phases_in_order(genesets.cell_cycle(a.dense_stats, sets, a.clusters, "s", "g")).drop("phase"))
+
+
 # Metadata
 
 
@@ -418,6 +464,13 @@ def proportion_fold_change(a):
     return rounded(meta.fold_changes(meta.condition_composition(a.meta, "balance")))
 
 
+@query("SELECT cluster_id, round(fold_change, 6) AS fold_change, row_number() OVER (ORDER BY CASE WHEN fb <= 0.001 AND fa > 0.001 THEN 999 ELSE round(fold_change, 3) END DESC, cluster_id) AS place FROM (SELECT *, CASE WHEN fb > 0.001 THEN fa / fb WHEN fa > 0.001 THEN NULL ELSE 1 END AS fold_change FROM (SELECT cluster_id, sum(CASE WHEN condition = 'neg' THEN round(f, 4) ELSE 0 END) AS fa, sum(CASE WHEN condition = 'pos' THEN round(f, 4) ELSE 0 END) AS fb FROM share WHERE NOT (condition = 'pos' AND cluster_id = 'NATION_3') GROUP BY 1))", CELLS, META, COND)
+def fold_changes_in_order(a):
+    """One cluster lacks the second condition, so that its change is infinite where it has the first."""
+    shares = meta.condition_composition(a.meta, "balance").filter("NOT (condition = 'pos' AND cluster_id = 'NATION_3')")
+    return rounded(meta.changes_in_order(meta.fold_changes(shares)).select("cluster_id", "fold_change", "place"))
+
+
 @query("SELECT 'segment' AS col, 'keyword' AS how")
 def detect_condition(a):
     return meta.detect_condition(a.meta, a.spark.createDataFrame([(0, "disease"), (1, "market segment")], "kw_ord int, kw string"), ["batch"])
@@ -496,6 +549,14 @@ def similarity_matrix(a):
     return rounded(profile.similarities(a.vectors))
 
 
+@query(
+    """, drawn AS (SELECT vec_id AS k, embedding FROM embeddings ORDER BY md5(CAST(vec_id AS VARCHAR)), k LIMIT 500), x AS (SELECT k, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM drawn), l AS (SELECT k, sqrt(sum(x * x)) AS len FROM x GROUP BY 1), u AS (SELECT k, i, x / len AS x FROM x JOIN l USING (k)), c AS (SELECT a.k, b.k AS other, sum(a.x * b.x) AS c FROM u a JOIN u b ON a.i = b.i AND a.k < b.k GROUP BY 1, 2)
+SELECT count(*) AS n, round(avg(c), 6) AS mean, round(min(c), 6) AS least, round(max(c), 6) AS highest FROM c""".replace(", drawn AS", "WITH drawn AS", 1),
+)
+def embedding_cosines(a):
+    return rounded(profile.pairwise_cosines(a.table("embeddings"), "vec_id", "embedding"))
+
+
 @query("SELECT round(avg(v), 9) AS mean_variance FROM (SELECT i, var_pop(CAST(x AS DOUBLE)) AS v FROM unnested GROUP BY i)", VECTORS)
 def embedding_spread(a):
     return rounded(profile.vector_spread(a.table("embeddings"), "embedding"), 9)

@@ -131,3 +131,8 @@ def read_gmt(spark: SparkSession, path: str, collection: str) -> DataFrame:
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """lr_ord, ligand, receptor, pathway from a CSV with these last three columns; repeats stay."""
     return spark.read.csv(path, header=True).select(F.monotonically_increasing_id().alias("lr_ord"), "ligand", "receptor", "pathway")
+
+
+def merged(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """Rows of both by key, of the same columns; where both have a key, the second's."""
+    return second.unionByName(first.join(second.select(key), key, "left_anti"))
