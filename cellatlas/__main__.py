@@ -24,6 +24,9 @@ def main() -> None:
     engine = Engine.load(spark, a.catalog, scoring=a.scoring_mode, weights=(a.gene_weight, a.semantic_weight), encoder=hashing_encoder(a.dims))
     for line in a.command:
         out = run(engine, line)
+        if isinstance(out, str):
+            print(out)
+            continue
         for df in out if isinstance(out, tuple) else [out] if out is not None else []:
             df.show(50, truncate=60)
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from typing import Any, NamedTuple
 
+from pyspark.sql import DataFrame
+
+from . import report
 from .engine import Engine
 
 VERBS = ("info", "semantic", "hybrid", "discover", "compare", "interactions", "proportions", "pathway", "genes", "metadata", "cells", "specificity", "coexpression", "report", "export", "quit")
@@ -40,8 +43,24 @@ def parse(line: str) -> Command:
 
 
 def run(engine: Engine, line: str) -> Any:
-    """What the engine gives for a line: a DataFrame, for compare two of them; None for report, export and quit."""
+    """What the engine gives for a line: a DataFrame, for compare two of them; None for quit.
+
+    report and export write what the lines before them gave, as Markdown (or Word) and as JSON; they give the file's path.
+    """
     c = parse(line)
+    if c.verb == "report":
+        entries = [(said, "", parts) for said, parts in engine.results]
+        return report.written(report.markdown("Report", entries), c.text or "report.md")
+    if c.verb == "export":
+        return report.exported(engine.results, c.text or "session.json")
+    out = _answer(engine, c)
+    frames = out if isinstance(out, tuple) else (out,) if isinstance(out, DataFrame) else ()
+    if frames:
+        engine.results.append((line.strip(), {f"table {i}": df for i, df in enumerate(frames, 1)}))
+    return out
+
+
+def _answer(engine: Engine, c: Command) -> Any:
     match c.verb:
         case "info":
             return engine.info()

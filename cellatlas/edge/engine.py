@@ -35,6 +35,7 @@ class Engine:
     prefixes: Sequence[str] = fixed.GENE_PREFIXES
     ordinary: Sequence[str] = fixed.ORDINARY_WORDS
     log: list[dict] = field(default_factory=list)
+    results: list[tuple[str, dict[str, DataFrame]]] = field(default_factory=list)
 
     @classmethod
     def load(cls, spark: SparkSession, root: str, optional: Sequence[str] = ("meta", "cells"), **more) -> Engine:
@@ -49,13 +50,9 @@ class Engine:
     def _texts(self, text: str) -> DataFrame:
         return self.spark.createDataFrame([(1, text)], "qid bigint, text string")
 
-    def universe(self):
-        return self.stats.agg(F.collect_set("gene_u")).scalar()  # of a gene list's size
-
     def parsed(self, text: str) -> tuple[str, list[str]]:
         """The query's mode and its genes."""
-        own = self._texts(text).withColumn("u", self.universe())
-        row = own.select(T.query_mode(F.col("text"), F.col("u"), self.prefixes, self.ordinary).alias("mode"), T.gene_names(F.col("text"), F.col("u"), self.ordinary).alias("genes")).first()
+        row = T.parsed(self._texts(text), self.stats.select("gene_u"), self.prefixes, self.ordinary).first()
         return row["mode"], row["genes"]
 
     def by_genes(self, genes: Sequence[str], top: int = 10) -> DataFrame:

@@ -45,3 +45,10 @@ def written(report: str, path: str) -> str:
     out = out.with_suffix(".md")
     out.write_text(report)
     return str(out)
+
+
+def exported(results: list[tuple[str, Mapping[str, DataFrame]]], path: str, rows: int = 1000) -> str:
+    """Writes what each line gave as JSON, `rows` rows of each table at most; returns the path."""
+    own = [{"line": line, "tables": {name: [r.asDict(True) for r in df.limit(rows).collect()] for name, df in parts.items()}} for line, parts in results]
+    Path(path).write_text(json.dumps({"time": f"{datetime.now():%Y-%m-%dT%H:%M:%S}", "results": own}, default=str))
+    return path

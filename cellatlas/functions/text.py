@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fixed import CLUSTER_ALIASES, GENE_PATTERN, GENE_PREFIXES, ORDINARY_WORDS
@@ -57,6 +57,25 @@ def gene_names(text: Column, universe: Column, ordinary: Sequence[str] = ORDINAR
     return F.filter(tokens(text), lambda t: F.array_contains(universe, t) | (t.rlike(GENE_PATTERN) & ~F.array_contains(words, t)))
 
 
+def parsed(queries: DataFrame, universe: DataFrame, prefixes: Sequence[str] = GENE_PREFIXES, ordinary: Sequence[str] = ORDINARY_WORDS) -> DataFrame:
+    """qid, mode and genes of query texts (qid, text), as query_mode and gene_names define them; each qid is there once.
+
+    universe: gene_u, names in upper case, of any number; tokens meet them by a join. A text that is null or has no
+    token is an ontology query without genes.
+    """
+    known = universe.select(F.col("gene_u").alias("_t")).distinct().withColumn("_known", F.lit(True))
+    own = queries.select("qid", F.posexplode(tokens(F.col("text"))).alias("_i", "_t")).join(known, "_t", "left")
+    token, found = F.col("_t"), F.coalesce("_known", F.lit(False))
+    plain = token.isin([w.upper() for w in ordinary])
+    count = lambda x: F.sum(F.when(x, 1).otherwise(0))
+    named = F.when(found | (token.rlike(GENE_PATTERN) & ~plain), F.struct("_i", "_t"))
+    each = own.groupBy("qid").agg(count(~plain & (found | gene_like(token, prefixes))).alias("_g"), count(plain).alias("_l"), F.sort_array(F.collect_list(named)).alias("_n"))
+    share = lambda n: F.coalesce(n, F.lit(0)) / F.greatest(n_tokens(F.coalesce("text", F.lit(""))), F.lit(1))
+    mode = F.when(share("_g") >= GENE_SHARE, "gene_list").when((share("_g") >= MIXED_SHARE) & (share("_l") >= MIXED_SHARE), "mixed").otherwise("ontology")
+    genes = F.coalesce(F.transform("_n", lambda x: x["_t"]), F.array().cast("array<string>"))
+    return queries.select("qid", "text").join(each, "qid", "left").select("qid", mode.alias("mode"), genes.alias("genes"))
+
+
 def mentioned(text: Column, pattern: str) -> Column:
     """Distinct matches of a pattern, sorted."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))

@@ -48,6 +48,11 @@ def gene_prefix_search(a):
     return a.dense.filter(F.upper("gene").startswith("A")).select("gene").distinct()
 
 
+@query("SELECT DISTINCT gene FROM expr WHERE starts_with(upper(gene), 'G1')", CELLS, SPARSE)
+def gene_prefix_hits(a):
+    return a.sparse.filter(F.upper("gene").startswith("G1")).select("gene").distinct()
+
+
 @query("SELECT cell_id FROM cells WHERE cluster_id = 'NATION_3' ORDER BY cell_id LIMIT 20", CELLS)
 def cells_of_cluster(a):
     return a.cells.filter("cluster_id = 'NATION_3'").select("cell_id").orderBy("cell_id").limit(20)

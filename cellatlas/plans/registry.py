@@ -258,9 +258,9 @@ flags AS (SELECT qid, i, t, t IN ('THE', 'OF', 'AND', 'IN', 'TO', 'IS') AS nl, r
 marked AS (SELECT *, NOT nl AND form AND (starts_with(t, 'CD') OR starts_with(t, 'IL') OR starts_with(t, 'COL') OR (regexp_matches(t, '[0-9]') AND length(t) >= 3)) AS gene FROM flags)"""
 
 
-def _universe(a):
-    names = a.table("part").agg(F.collect_set(F.upper("p_name"))).scalar()  # of a gene list's size
-    return a.table("benchmark").select(F.col("item_id").alias("qid"), "text", names.alias("u"))
+def _parsed(a):
+    universe = a.table("part").select(F.upper("p_name").alias("gene_u"))
+    return T.parsed(a.table("benchmark").select(F.col("item_id").alias("qid"), "text"), universe, PREFIXES, ORDINARY)
 
 
 @query(
@@ -269,15 +269,40 @@ SELECT item_id AS qid, CASE WHEN g / n >= 0.6 THEN 'gene_list' WHEN g / n >= 0.2
     TOKENS,
 )
 def classify_query(a):
-    return _universe(a).select("qid", T.query_mode(F.col("text"), F.col("u"), PREFIXES, ORDINARY).alias("mode"))
+    return _parsed(a).select("qid", "mode")
 
 
 @query("SELECT qid, t AS gene, CAST(row_number() OVER (PARTITION BY qid ORDER BY i) AS BIGINT) AS pos FROM marked WHERE form AND NOT nl", TOKENS)
 def extract_genes(a):
-    found = _universe(a).select("qid", F.posexplode(T.gene_names(F.col("text"), F.col("u"), ORDINARY)).alias("pos", "gene"))
+    found = _parsed(a).select("qid", F.posexplode("genes").alias("pos", "gene"))
     return found.select("qid", "gene", (F.col("pos") + 1).cast("long").alias("pos"))
 
 
+KNOWN = """uni AS (SELECT 'P/' || p_partkey AS g FROM part WHERE p_partkey % 2 = 0),
+said AS (SELECT p_partkey AS qid, CASE WHEN p_partkey % 3 = 0 THEN ['P/' || p_partkey, 'P/' || (2 * p_partkey)] ELSE ['THE', 'CELLS', 'OF', 'P/' || p_partkey, 'AND', 'P/' || (2 * p_partkey), 'IN', 'IT'] END AS ts FROM part),
+tk AS (SELECT qid, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM said),
+fl AS (SELECT qid, i, t, t IN (SELECT g FROM uni) AS known, t IN ('THE', 'OF', 'AND', 'IN') AS plain, regexp_matches(t, '^[A-Z][A-Z0-9]{1,14}(?:-[A-Z0-9]{1,6})?$') AS form FROM tk)"""
+
+
+def _known(a):
+    """Texts of genes whose names have no gene's form: only the universe, every second part, tells them."""
+    part = a.table("part")
+    one, two = (F.concat(F.lit("p/"), (F.col("p_partkey") * k).cast("string")) for k in (1, 2))
+    text = F.when(F.col("p_partkey") % 3 == 0, F.concat_ws(" ", one, two)).otherwise(F.concat_ws(" ", F.lit("The cells of"), one, F.lit("and"), two, F.lit("in it.")))
+    universe = part.filter("p_partkey % 2 = 0").select(F.upper(one).alias("gene_u"))
+    return T.parsed(part.select(F.col("p_partkey").alias("qid"), text.alias("text")), universe, PREFIXES, ORDINARY)
+
+
+@query("SELECT qid, CASE WHEN g / n >= 0.6 THEN 'gene_list' WHEN g / n >= 0.2 AND l / n >= 0.2 THEN 'mixed' ELSE 'ontology' END AS mode FROM (SELECT qid, count(*) AS n, sum(CASE WHEN known THEN 1 ELSE 0 END) AS g, sum(CASE WHEN plain THEN 1 ELSE 0 END) AS l FROM fl GROUP BY 1)", KNOWN)
+def classify_known_genes(a):
+    return _known(a).select("qid", "mode")
+
+
+@query("SELECT qid, t AS gene, CAST(row_number() OVER (PARTITION BY qid ORDER BY i) AS BIGINT) AS pos FROM fl WHERE known OR (form AND NOT plain)", KNOWN)
+def extract_known_genes(a):
+    return _known(a).select("qid", F.posexplode("genes").alias("pos", "gene")).select("qid", "gene", (F.col("pos") + 1).cast("long").alias("pos"))
+
+
 WORD_SQL = "ws AS (SELECT p_name, list_distinct(string_split(lower(p_name), ' ')) AS w FROM (SELECT DISTINCT p_name FROM part)), jw AS (SELECT a.p_name AS a, b.p_name AS b, len(list_intersect(a.w, b.w)) AS k, len(list_distinct(list_concat(a.w, b.w))) AS u FROM ws a CROSS JOIN ws b)"
 
 
@@ -341,6 +366,16 @@ def lr_recovery(a):
     return evalkit.recovered(truth, _lr(a)).select("n", "lr_rate")
 
 
+LR_TRUTH = "truth AS (SELECT ligand, receptor, 'NATION_' || (lr_ord % 25) AS s, 'nation_' || (lr_ord % 7) AS t FROM pairs)"
+
+
+@query("SELECT count(*) AS n, round(avg(CASE WHEN lr THEN 1.0 ELSE 0 END), 6) AS lr_rate, round(avg(CASE WHEN f THEN 1.0 ELSE 0 END), 6) AS full_rate FROM (SELECT EXISTS (SELECT 1 FROM lr WHERE lr.ligand = u.ligand AND lr.receptor = u.receptor) AS lr, EXISTS (SELECT 1 FROM lr WHERE lr.ligand = u.ligand AND lr.receptor = u.receptor AND (contains(lower(source), lower(s)) OR contains(lower(s), lower(source))) AND (contains(lower(target), t) OR contains(t, lower(target)))) AS f FROM truth u)", CELLS, SPARSE, STATS, PAIRS, LR, LR_TRUTH)
+def lr_recovery_full(a):
+    """With the clusters' names too; a name that holds another counts."""
+    name = lambda x, k: F.concat(F.lit(x), (F.col("lr_ord") % k).cast("string"))
+    return rounded(evalkit.recovered(a.pairs.select("ligand", "receptor", name("NATION_", 25).alias("source"), name("nation_", 7).alias("target")), _lr(a)))
+
+
 @query("SELECT source, target, ligand, receptor, CAST(score AS DOUBLE) AS score, row_number() OVER (ORDER BY score DESC, lr_ord, s, t) AS place FROM (SELECT source, target, ligand, receptor, round(CAST(ligand_pct * receptor_pct AS DECIMAL(18, 9)), 4) AS score, lr_ord, a.cluster_ord AS s, b.cluster_ord AS t FROM lr JOIN pairs USING (ligand, receptor) JOIN clusters a ON a.cluster_id = source JOIN clusters b ON b.cluster_id = target)", CELLS, SPARSE, STATS, PAIRS, LR)
 def lr_in_order(a):
     return interact.in_order(_lr(a), a.clusters).select("source", "target", "ligand", "receptor", "score", "place")

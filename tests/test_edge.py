@@ -1,7 +1,10 @@
+import json
+
 import pytest
 
 from cellatlas.edge import commands, model, report
 from cellatlas.edge.engine import Engine
+from cellatlas.functions import text as T
 from cellatlas.operators.encode import hashing_encoder
 from cellatlas.plans.fixture import Atlas
 from cellatlas.sources import catalog
@@ -64,6 +67,23 @@ def test_report_and_payload(engine, tmp_path):
     assert len(report.payload({"info": engine.info()}, chars=200)) <= 200
 
 
+def test_report_and_export_verbs(engine, tmp_path):
+    engine.results.clear()
+    commands.run(engine, "cells: NATION_3")
+    commands.run(engine, "compare: building vs machinery")
+    made = commands.run(engine, f"report: {tmp_path}/r.md")
+    assert made.endswith("r.md") and "## cells: NATION_3" in open(made).read()
+    found = json.loads(open(commands.run(engine, f"export: {tmp_path}/s.json")).read())["results"]
+    assert [len(x["tables"]) for x in found] == [1, 2]
+    assert [r["cell_id"] for r in found[0]["tables"]["table 1"]] == [r["cell_id"] for r in engine.cells_of("NATION_3").collect()]
+
+
+def test_parsed(spark):
+    rows = [(1, "p/1 p/2"), (2, "the p/1 of it"), (3, None), (4, " .,; ")]
+    got = {r["qid"]: (r["mode"], r["genes"]) for r in T.parsed(spark.createDataFrame(rows, "qid int, text string"), spark.createDataFrame([("P/1",), ("P/2",), ("P/1",)], "gene_u string"), [], ["the", "of"]).collect()}
+    assert got == {1: ("gene_list", ["P/1", "P/2"]), 2: ("mixed", ["P/1", "IT"]), 3: ("ontology", []), 4: ("ontology", [])}
+
+
 def test_budget_and_retries():
     budget = model.Budget(cap=1.0, per_token_in=0.5)
     calls, waits = [], []
