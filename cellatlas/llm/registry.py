@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op8_bpe
 from .chunks import op4_chunks
+from .dialogue import op13_dialogue
 from .langid import op2_langid
 from .neardup import op7_neardup
 from .packing import op9_packing
@@ -25,6 +26,10 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
+    "op13_dialogue": op13_dialogue,
 }
 
+#: Queries over tables other than documents.
+OTHER_TABLES = ("op11_negatives", "op13_dialogue")
+
 SQL = {"op6_secrets": SECRETS, "op7_neardup": NEARDUP, "op10_quality": QUALITY}

@@ -12,7 +12,7 @@ def test_sql(spark, name):
     assert oracle.differ(registry.QUERIES[name](spark, SF), oracle.connect(SF), registry.SQL[name]) == ""
 
 
-@pytest.mark.parametrize("name", list(registry.QUERIES))
+@pytest.mark.parametrize("name", [n for n in registry.QUERIES if n not in registry.OTHER_TABLES])
 def test_odd_rows(spark, folder, name):
     rows = registry.QUERIES[name](spark, folder["odd"]).collect()
     if name == "op9_packing":
@@ -21,6 +21,6 @@ def test_odd_rows(spark, folder, name):
         assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(i) for i, _ in ODD)
 
 
-@pytest.mark.parametrize("name", list(registry.QUERIES))
+@pytest.mark.parametrize("name", [n for n in registry.QUERIES if n not in registry.OTHER_TABLES])
 def test_empty_table(spark, folder, name):
     assert registry.QUERIES[name](spark, folder["empty"]).collect() == []
