@@ -8,6 +8,7 @@ from .dialogue import op13_dialogue
 from .langid import op2_langid
 from .neardup import op7_neardup
 from .packing import op9_packing
+from .phrases import op12_phrases
 from .pii import op5_pii
 from .quality import op10_quality
 from .secrets import op6_secrets
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
+    "op12_phrases": op12_phrases,
     "op13_dialogue": op13_dialogue,
 }
 
