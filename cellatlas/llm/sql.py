@@ -75,3 +75,14 @@ e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1) USING (doc_id)"""
+
+NEGATIVES = """
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+q AS (SELECT row, i, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM (SELECT row, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM v)),
+s AS (SELECT a.row AS a, b.row AS b, CAST(sum(a.x * b.x) AS BIGINT) AS score FROM q a JOIN v ON v.row = a.row AND vec_id % 100 = 0 JOIN q b ON a.i = b.i AND a.row <> b.row GROUP BY 1, 2),
+t AS (SELECT s.*, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same FROM s JOIN v a ON a.row = s.a JOIN v b ON b.row = s.b),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id, b) AS r FROM t WHERE same) WHERE r <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, t.vec_id AS negative_id, p.score AS positive_score, t.score AS negative_score,
+  row_number() OVER (PARTITION BY p.a, p.b ORDER BY t.score DESC, t.vec_id, t.b) AS rank FROM p JOIN t ON t.a = p.a AND NOT t.same AND 80 * p.score <= 100 * t.score AND 100 * t.score <= 100 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
