@@ -2,48 +2,255 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot
+from ..sources.staged import Stages, stages
+
+SIZE, LISTS, SAMPLE = 256, 4096, 1 << 16  # rows wanted in a list; most lists; most rows that the centroids are fitted on
+TASK = 4096  # rows of a list, and visitors of it, that meet in one task
+
+
+def centroids(sample: np.ndarray, lists: int, steps: int = 6, seed: int = 3) -> np.ndarray:
+    """`lists` centres (fewer, if there are fewer different rows) by Lloyd's method; empty ones stay where they were."""
+    c = np.random.default_rng(seed).permutation(np.unique(sample, axis=0))[:lists].copy()
+    for _ in range(steps):
+        near = np.concatenate([_squares(sample[s : s + 4096], c).argmin(1) for s in range(0, len(sample), 4096)])
+        sums, n = np.zeros_like(c), np.bincount(near, minlength=len(c))
+        np.add.at(sums, near, sample)
+        c[n > 0] = sums[n > 0] / n[n > 0, None]
+    return c
+
+
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T), 0)
+
+
+def _rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    own = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(own.flatten(), np.float64).reshape(len(own), -1)
+
+
+def nearest_rows(x: np.ndarray, y: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, distance): for each row of x its k nearest of y, ties by `order`."""
+    found = []
+    for s in range(0, len(x), 512):
+        part = x[s : s + 512]
+        d = _squares(part, y)
+        slack = 1e-12 * ((part * part).sum(1).max(initial=0) + (y * y).sum(1).max(initial=0))
+        few = np.partition(d, k - 1, axis=1)[:, k - 1] if k < len(y) else np.full(len(part), np.inf)
+        i, j = np.nonzero(d <= few[:, None] + slack)
+        exact = np.concatenate([np.sqrt(((part[i[t : t + 65536]] - y[j[t : t + 65536]]) ** 2).sum(1)) for t in range(0, len(i), 65536)])
+        at = np.lexsort((order[j], exact, i))
+        i, j, exact = i[at], j[at], exact[at]
+        kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+        found.append((i[kept] + s, j[kept], exact[kept]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def neighbours(vectors: DataFrame, k: int = 15, key: str = "id", vec: str = "vec", bucket: float | None = None, tables: int = 8) -> DataFrame:
-    """id, other, distance: the k nearest by Euclidean distance.
+def _met(asks: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """ask, other, distance: for each ask (ask, v, list) the k nearest members (other, v, list) of each list it visits.
 
-    With `bucket` (a length), candidates come from random projections, which scales; without, each meets each, for
-    sets of the size of an atlas' clusters.
+    A list of many members, or with many visitors, is dealt over tasks by hashes: every part of the one meets every
+    part of the other, and no task gets more than about TASK of either.
     """
-    own = vectors.select(F.col(key).alias("id"), F.col(vec).alias("v"))
-    if bucket is None:
-        other = own.select(F.col("id").alias("other"), F.col("v").alias("w"))
-        d = F.sqrt(F.greatest(dot(F.col("v"), F.col("v")) + dot(F.col("w"), F.col("w")) - 2 * dot(F.col("v"), F.col("w")), F.lit(0.0)))
-        pairs = own.join(other, F.col("id") != F.col("other")).select("id", "other", d.alias("distance"))
-    else:
-        from pyspark.ml.feature import BucketedRandomProjectionLSH
-        from pyspark.ml.functions import array_to_vector
-
-        as_vector = own.select("id", array_to_vector(F.transform("v", lambda x: x.cast("double"))).alias("v"))
-        model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=1).fit(as_vector)
-        found = model.approxSimilarityJoin(as_vector, as_vector, float("inf"), "distance")
-        pairs = found.select(F.col("datasetA.id").alias("id"), F.col("datasetB.id").alias("other"), "distance").filter("id <> other")
-    r = F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))
+    kind, name = dict(members.dtypes)["other"], dict(asks.dtypes)["ask"]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, asked = right.column("other").combine_chunks(), left.column("ask").combine_chunks()
+        i = j = np.zeros(0, np.int64)
+        d = np.zeros(0)
+        if len(ids) and len(asked):
+            order = np.argsort(np.argsort(np.array(ids.to_pylist())))
+            i, j, d = nearest_rows(_rows(left.column("v")), _rows(right.column("w")), order, k)
+        return pa.table({"ask": asked.take(pa.array(i)), "other": ids.take(pa.array(j)), "distance": pa.array(d)})
+
+    pieces = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / TASK).cast("int").alias(name))  # noqa: E731  a row a list
+    sizes = pieces(members, "parts").join(pieces(asks, "blocks"), "list")
+    dealt = lambda df, own, n, other, m: df.join(sizes, "list").withColumn(own, F.pmod(F.xxhash64(df.columns[0]), F.col(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(m).cast("long") - 1)))
+    left = dealt(asks, "block", "blocks", "part", "parts").select("ask", "v", "list", "part", "block")
+    right = dealt(members, "part", "parts", "block", "blocks").select("other", F.col("v").alias("w"), F.col("list").alias("l"), F.col("part").alias("p"), F.col("block").alias("b"))
+    return left.groupBy("list", "part", "block").cogroup(right.groupBy("l", "p", "b")).applyInArrow(run, f"ask {name}, other {kind}, distance double")
+
+
+def _nearest(pairs: DataFrame, by: str, k: int) -> DataFrame:
+    r = F.row_number().over(Window.partitionBy(by).orderBy("distance", "other"))
     return pairs.withColumn("rank", r.cast("long")).filter(F.col("rank") <= k)
 
 
+def neighbours(vectors: DataFrame, k: int = 15, key: str = "id", vec: str = "vec", probes: int | None = None, size: int = SIZE, own: Stages | None = None) -> DataFrame:
+    """id, other, distance, rank: the k nearest other rows by Euclidean distance, ties by the smaller id.
+
+    Rows lie in inverted lists around centroids, which are fitted on SAMPLE rows at most. With `probes` a row looks into
+    that many lists, the nearest first: work in proportion to the rows, and some neighbours may be missed. Without, it
+    looks into its own list, and then into each one that can hold something nearer than what it has, by the distance
+    of the list's centre less the list's radius: exact, and as cheap as the vectors are clustered.
+
+    Ids are unique. Rows with a null vector are left out. Of equal vectors the first k + 1 ids can be anyone's
+    neighbours, so only these are looked at, and equal vectors search once. Fewer than k others give what there is.
+    """
+    spark = vectors.sparkSession
+    kind = dict(vectors.dtypes)[key]
+    with stages(spark) as st:
+        st = own or st
+        rows = vectors.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v")).filter("v IS NOT NULL")
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)))
+        first = lambda df, *by: df.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).filter(F.col("n") <= k + 1)
+        kept = st.table(first(first(salted, "v", "salt"), "v").select(F.col("id").alias("other"), "v", (F.col("n") == 1).alias("asks")), "kept")
+        n = kept.filter("asks").count()
+        lists = max(1, min(LISTS, -(-n // size)))
+        drawn = kept.filter("asks").select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(min(SAMPLE, 16 * max(lists, 16))).collect()
+        if not drawn:
+            return spark.createDataFrame([], f"id {kind}, other {kind}, distance double, rank long")
+        centres = centroids(np.array([r["v"] for r in drawn]), lists)
+
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                d = np.sqrt(_squares(_rows(b.column(1)), centres))
+                at = d.argmin(1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int32()), pa.array(d[np.arange(len(at)), at])], names=["other", "v", "asks", "list", "away"])
+
+        def visiting(batches: Iterator[pa.RecordBatch], radius: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for s in range(0, b.num_rows, 256):
+                    part = b.slice(s, 256)
+                    d = np.sqrt(_squares(_rows(part.column(1)), centres))
+                    if radius is None:
+                        few = np.argpartition(d, min(probes, d.shape[1]) - 1, axis=1)[:, :probes]
+                        i, j = np.repeat(np.arange(len(d)), few.shape[1]), few.reshape(-1)
+                    else:  # a little more, so that rounding loses nothing
+                        bound = np.asarray(part.column(3))[:, None] * (1 + 1e-9) + 1e-9
+                        i, j = np.nonzero((d - radius[None, :] <= bound) & (np.arange(d.shape[1])[None, :] != np.asarray(part.column(2))[:, None]))
+                    for t in range(0, len(i), 8192):  # a row may go to many lists
+                        yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(i[t : t + 8192])) for c in (0, 1)] + [pa.array(j[t : t + 8192], pa.int32())], names=["ask", "v", "list"])
+
+        members = st.table(kept.mapInArrow(placed, f"other {kind}, v array<double>, asks boolean, list int, away double"), "lists")
+        asks = members.filter("asks").select(F.col("other").alias("ask"), "v", "list")
+        visit = f"ask {kind}, v array<double>, list int"
+        if probes is not None:
+            found = _met(st.table(asks.mapInArrow(visiting, visit), "visits"), members, k + 1)
+        else:
+            home = st.table(_nearest(_met(asks, members, k + 1), "ask", k + 1).drop("rank"), "home")
+            radius = np.full(len(centres), -np.inf)
+            for r in members.groupBy("list").agg(F.max("away").alias("r")).collect():  # a row a list
+                radius[r["list"]] = r["r"]
+            bound = home.groupBy("ask").agg(F.when(F.count("*") > k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("bound"))
+            out = st.table(asks.join(bound, "ask", "left").select("ask", "v", "list", F.coalesce("bound", F.lit(float("inf"))).alias("bound")).mapInArrow(lambda x: visiting(x, radius), visit), "visits")
+            found = home.unionByName(_met(out, members, k + 1))
+        best = st.table(_nearest(found, "ask", k + 1).drop("rank"), "nearest")
+        copies = rows.join(asks.select("ask", "v"), "v").select("id", "ask")
+        return _nearest(copies.join(best, "ask").filter("id <> other").select("id", "other", "distance"), "id", k)
+
+
 def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """id, community of an undirected graph (id, other): each takes the most frequent label around it, the least of equal ones.
 
-    Labels are checkpointed after each round; it ends early when none changes. An approximation of modularity methods.
+    Labels are written after each round; it ends early when none changes. Quick and rough; see modular_communities.
+    """
+    with stages(edges.sparkSession) as st:
+        both = st.table(_both(edges).select("id", "other"), "edges")
+        labels = st.table(both.select("id").distinct().withColumn("community", F.col("id")), "labels")
+        for _ in range(rounds):
+            votes = both.join(labels.select(F.col("id").alias("other"), "community"), "other").unionByName(labels.select(F.col("id").alias("other"), "id", "community")).groupBy("id", "community").agg(F.count("*").alias("n"))
+            new = st.table(votes.groupBy("id").agg(F.min_by("community", F.struct(-F.col("n"), "community")).alias("community")), "labels")
+            changed = new.join(labels.withColumnRenamed("community", "_old"), "id").filter("community <> _old").limit(1).count()
+            labels = new
+            if not changed:
+                break
+        st.drop(labels)
+        return labels
+
+
+# Communities by modularity
+
+
+def _both(edges: DataFrame) -> DataFrame:
+    """id, other, w in both directions; an edge that comes twice, or in both directions, counts once. No loops."""
+    own = edges.select("id", "other")
+    return own.unionByName(own.select(F.col("other").alias("id"), F.col("id").alias("other"))).filter("id <> other").distinct().withColumn("w", F.lit(1).cast("long"))
+
+
+def eligible(t: int) -> Column:
+    """Whether a node may move in round t: a hash of both tells, so that neighbours don't keep changing places."""
+    return F.substring(F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit(str(t)))), 1, 1) < "8"
+
+
+def _wishes(both: DataFrame, nodes: DataFrame, total: int, resolution: float) -> DataFrame:
+    """id, c, k and `to`: the community around a node that adds most to modularity, its own if none adds more.
+
+    What node i in community C adds is total * (weight from i to C) - resolution * k_i * (degrees of C without i); of
+    equal ones the smaller name wins.
     """
-    both = edges.select("id", "other").unionByName(edges.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct().persist()
-    labels = both.select("id").distinct().withColumn("community", F.col("id"))
-    for _ in range(rounds):
-        votes = both.join(labels.select(F.col("id").alias("other"), "community"), "other").unionByName(labels.select(F.col("id").alias("other"), "id", "community")).groupBy("id", "community").agg(F.count("*").alias("n"))
-        new = votes.groupBy("id").agg(F.min_by("community", F.struct(-F.col("n"), "community")).alias("community"))
-        new = new.checkpoint() if both.sparkSession.sparkContext.getCheckpointDir() else new.persist()
-        changed = new.join(labels.withColumnRenamed("community", "_old"), "id").filter("community <> _old").limit(1).count()
-        labels = new
-        if not changed:
+    links = both.filter("id <> other").join(nodes.select(F.col("id").alias("other"), "c"), "other").groupBy("id", "c").agg(F.sum("w").alias("w"))
+    near = links.unionByName(nodes.select("id", "c", F.lit(0).cast("long").alias("w"))).groupBy("id", "c").agg(F.sum("w").alias("w"))
+    sums = nodes.groupBy("c").agg(F.sum("k").alias("sum"))
+    own = near.join(sums, "c").join(nodes.select("id", "k", F.col("c").alias("mine")), "id")
+    rest = F.col("sum") - F.when(F.col("c") == F.col("mine"), F.col("k")).otherwise(F.lit(0))
+    gain = F.lit(float(total)) * F.col("w") - F.lit(float(resolution)) * F.col("k") * rest
+    best = own.withColumn("gain", gain).groupBy("id").agg(F.first("k").alias("k"), F.first("mine").alias("c"), F.min_by("c", F.struct(-F.col("gain"), "c")).alias("to"), F.max("gain").alias("most"), F.max(F.when(F.col("c") == F.col("mine"), F.col("gain"))).alias("now"))
+    return best.select("id", "c", "k", F.when(F.col("most") > F.col("now"), F.col("to")).otherwise(F.col("c")).alias("to"))
+
+
+def _moved(st: Stages, both: DataFrame, nodes: DataFrame, total: int, resolution: float, rounds: int) -> DataFrame:
+    """nodes (id, c, k) after local moves; communities are named by their smallest member."""
+    for t in range(rounds):
+        wishes = st.table(_wishes(both, nodes, total, resolution), "wishes")
+        if not wishes.filter("to <> c").limit(1).count():
             break
-    return labels
+        nodes = wishes.select("id", F.when(eligible(t), F.col("to")).otherwise(F.col("c")).alias("c"), "k")
+        nodes = st.table(nodes, "nodes")
+    named = nodes.groupBy("c").agg(F.min("id").alias("name"))
+    return st.table(nodes.join(named, "c").select("id", F.col("name").alias("c"), "k"), "nodes")
+
+
+def modular_communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, levels: int = 10) -> DataFrame:
+    """id, community of an undirected graph (id, other): local moves by modularity gain, refinement, and aggregation of
+    the graph, level by level. A community is named by its smallest member.
+
+    In a level, nodes move to the community around them that adds most to modularity; a hash lets about half of them
+    move in a round. Then each community is parted: from single nodes again, by moves along edges inside it, so what
+    is merged hangs together. The parts are the next level's nodes, and begin in their communities. It ends when
+    no node moves any more, or after `levels`. Each step is joins and sums over the edges of its level; their tables are
+    written and deleted at the end. The same graph gives the same communities, whatever its partitions.
+    """
+    with stages(edges.sparkSession) as st:
+        both = st.table(_both(edges), "edges")
+        total = both.agg(F.sum("w")).first()[0] or 0
+        degrees = both.groupBy("id").agg(F.sum("w").alias("k"))
+        nodes = st.table(degrees.select("id", F.col("id").alias("c"), "k"), "nodes")
+        of = st.table(nodes.select("id", F.col("id").alias("node")), "members")  # what node of the level a vertex is in
+        n = nodes.count()
+        for _ in range(levels):
+            nodes = _moved(st, both, nodes, total, resolution, rounds)
+            c = nodes.select("id", "c")
+            inside = both.join(c, "id").join(c.select(F.col("id").alias("other"), F.col("c").alias("d")), "other").filter("c = d").select("id", "other", "w")
+            parts = _moved(st, st.table(inside, "inside"), nodes.select("id", F.col("id").alias("c"), "k"), total, resolution, rounds).select("id", F.col("c").alias("part"))
+            fewer = parts.select("part").distinct().count()
+            if fewer == n:
+                break
+            n = fewer
+            of = st.table(of.join(parts.withColumnRenamed("id", "node"), "node").select("id", F.col("part").alias("node")), "members")
+            named = parts.join(nodes, "id")
+            whole = named.groupBy("c").agg(F.min("part").alias("name"))
+            nodes = st.table(named.join(whole, "c").groupBy("part").agg(F.min("name").alias("c"), F.sum("k").alias("k")).withColumnRenamed("part", "id"), "nodes")
+            both = st.table(both.join(parts, "id").join(parts.select(F.col("id").alias("other"), F.col("part").alias("q")), "other").groupBy(F.col("part").alias("id"), F.col("q").alias("other")).agg(F.sum("w").alias("w")), "edges")
+        found = of.join(nodes.select(F.col("id").alias("node"), "c"), "node").select("id", "c")
+        named = found.groupBy("c").agg(F.min("id").alias("community"))
+        labels = st.table(found.join(named, "c").select("id", "community"), "communities")
+        st.drop(labels)
+        return labels
+
+
+def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """One row, modularity: the share of edges inside communities less what their degrees alone would give; 0 without edges."""
+    both = _both(edges)
+    own = labels.select("id", "community")
+    ends = both.join(own, "id").join(own.select(F.col("id").alias("other"), F.col("community").alias("c")), "other")
+    inside = ends.groupBy("community").agg(F.sum(F.when(F.col("community") == F.col("c"), F.col("w")).otherwise(0)).alias("inside"), F.sum("w").alias("k"))
+    total = inside.agg(F.sum("k").alias("total"))
+    share = F.try_divide(F.col("inside"), F.col("total")) - F.lit(resolution) * F.pow(F.try_divide(F.col("k"), F.col("total")), F.lit(2))
+    return inside.join(total, F.lit(True)).agg(F.coalesce(F.sum(share), F.lit(0.0)).alias("modularity"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evalkit, genesets, interact, meta, profile, rank, stats
-from . import more  # noqa: F401  registers its queries
+from . import cells, more  # noqa: F401  register their queries
 from .base import QUERIES, SQL, query, rounded, unchecked
 from .fixture import ASKED, CELLS, DENSE, META, PAIRS, SETS, SPARSE, STATS, VECTORS, Atlas
 
@@ -776,11 +776,3 @@ def markers_with_p(a):
 def over_representation(a):
     ranked = rank.top_genes(a.sparse_stats, 200)
     return rounded(genesets.over_representation(ranked.select("cluster_id", "gene_u", "rank"), a.sets, a.sparse_stats))
-
-
-@unchecked
-def community_detection(a):
-    from ..operators import graph
-
-    near = graph.neighbours(a.table("embeddings"), 5, "vec_id", "embedding")
-    return graph.communities(near)
