@@ -12,6 +12,7 @@ from ..functions import fixed
 from ..functions import text as T
 from ..operators import evalkit, genesets, interact, meta, profile, rank
 from ..operators.encode import TextEncoder
+from ..operators.stats import guarded
 from ..sources import catalog
 
 @dataclass
@@ -39,9 +40,9 @@ class Engine:
 
     @classmethod
     def load(cls, spark: SparkSession, root: str, optional: Sequence[str] = ("meta", "cells"), **more) -> Engine:
-        own = {"meta": "cluster_meta", "cells": "cells", "synonyms": "synonyms", "terms": "terms"}
+        own = {"meta": "cluster_meta", "cells": "cells", "synonyms": "synonyms", "terms": "terms", "pairs": "pairs", "sets": "sets"}
         frames = {k: catalog.read_table(spark, root, own[k]) for k in optional}
-        return cls(catalog.read_table(spark, root, "clusters"), catalog.read_table(spark, root, "gene_stats"), **frames, **more)
+        return cls(catalog.read_table(spark, root, "clusters"), guarded(catalog.read_table(spark, root, "gene_stats")), **frames, **more)
 
     @property
     def spark(self) -> SparkSession:

@@ -134,4 +134,4 @@ def variable_genes(expr: DataFrame, cells: DataFrame, genes: int = 3000) -> Data
 
 def guarded(stats: DataFrame) -> DataFrame:
     """stats with 0 for a logfc, and 1 for a pval_adj, that is no number."""
-    return stats.withColumns({c: F.nanvl(c, F.lit(x)) for c, x in (("logfc", 0.0), ("pval_adj", 1.0))})
+    return stats.withColumns({c: F.nanvl(c, F.lit(x)) for c, x in (("logfc", 0.0), ("pval_adj", 1.0)) if c in stats.columns})

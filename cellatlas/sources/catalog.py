@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed import SYMBOL_COLUMNS
 from ..functions.text import base_id
 
-TABLES = ("clusters", "gene_stats", "cluster_meta", "terms", "synonyms", "cells", "expr", "manifest")
+TABLES = ("clusters", "gene_stats", "gene_index", "cluster_meta", "terms", "synonyms", "cells", "expr", "pairs", "sets", "manifest")
 
 
 def write_table(df: DataFrame, root: str, name: str, by: Sequence[str] = ()) -> None:
