@@ -39,43 +39,32 @@ def _powers(base: int, n: int) -> np.ndarray:
     return own[:n]
 
 
-def parse(text: str, seen: set[str], start: int = 0, stop: int | None = None, usual: int = 4) -> tuple[list[int], int]:
-    """The ends of text's phrases from `start` to `stop`, and where the open one begins; phrases go into `seen`.
+def parse(text: str, seen: dict, node: dict | None = None, made: list | None = None) -> list[int]:
+    """The ends of text's phrases: the longest one seen so far and a character more.
 
-    A phrase is the longest one seen so far and a character more. As all beginnings of a seen phrase are seen, its
-    length is searched from that of the phrase before by doubled steps and halving, so long phrases cost few lookups.
+    `seen` is a trie of dictionaries by character, which the phrases go into, so that a character costs one lookup
+    however long its phrase is. With `node` the first phrase goes on from there; `made` gets what was added.
     """
-    stop = len(text) if stop is None else stop
     ends: list[int] = []
-    s, n = start, usual
-    while s < stop:
-        most = stop - s
-        n = min(n, most)
-        if text[s : s + n] in seen:  # up: low is seen, high is not (or beyond the end)
-            low, step = n, 1
-            while low + step <= most and text[s : s + low + step] in seen:
-                low += step
-                step *= 2
-            high = min(low + step, most + 1)
+    node, i = seen if node is None else node, 0
+    for c in text:
+        i += 1
+        if c in node:
+            node = node[c]
         else:
-            high, step = n, 1
-            while high - step > 0 and text[s : s + high - step] not in seen:
-                high -= step
-                step *= 2
-            low = max(high - step, 0)
-        while high - low > 1:
-            mid = (low + high) // 2
-            if text[s : s + mid] in seen:
-                low = mid
-            else:
-                high = mid
-        if high > most:  # what is left is a phrase that is there already
-            break
-        seen.add(text[s : s + high])
-        s += high
-        ends.append(s)
-        n = high
-    return ends, s
+            node[c] = {}
+            ends.append(i)
+            if made is not None:
+                made.append((node, c))
+            node = seen
+    return ends
+
+
+def open_phrase(text: str, seen: dict) -> dict:
+    """Where in the trie the characters stand that no phrase has ended behind."""
+    for c in text:
+        seen = seen[c]
+    return seen
 
 
 def hashes(text: str, start: int, ends: list[int]) -> np.ndarray:
@@ -112,7 +101,7 @@ class Parsed(NamedTuple):
 
 
 def sketch(text: str, size: int = SIZE) -> np.ndarray:
-    return smallest(hashes(text, 0, parse(text, set())[0]), size)
+    return smallest(hashes(text, 0, parse(text, {})), size)
 
 
 def parsed(text: str, after: str, size: int = SIZE) -> Parsed:
@@ -122,16 +111,14 @@ def parsed(text: str, after: str, size: int = SIZE) -> Parsed:
     """
     third = len(text) // 3
     cut, other = len(text) - third, after[:third]
-    seen: set[str] = set()
-    ends, open_at = parse(text, seen, 0, cut)
-    head = hashes(text, 0, ends)
-    usual = ends[-1] - (ends[-2] if len(ends) > 1 else 0) if ends else 4
-    more, _ = parse(text, seen, open_at, None, usual)
-    tail = hashes(text, open_at, more)
-    for s, e in zip([open_at, *more], more):
-        seen.remove(text[s:e])
-    rest = text[open_at:cut] + other
-    own = hashes(rest, 0, parse(rest, seen, 0, None, usual)[0])
+    seen: dict = {}
+    ends = parse(text[:cut], seen)
+    head, left = hashes(text, 0, ends), ends[-1] if ends else 0
+    node, made = open_phrase(text[left:cut], seen), []
+    tail = hashes(text, left, [cut + e for e in parse(text[cut:], seen, node, made)])
+    for parent, c in reversed(made):
+        del parent[c]
+    own = hashes(text[left:cut] + other, 0, [cut - left + e for e in parse(other, seen, node)])
     return Parsed(smallest(np.concatenate([head, tail]), size), smallest(np.concatenate([head, own]), size), hashlib.sha256((text[:cut] + other).encode()).digest())
 
 
