@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 from .stats import adjusted
@@ -85,31 +80,33 @@ def cell_cycle(stats: DataFrame, sets: DataFrame, clusters: DataFrame, s_set: st
     return found.select("cluster_id", s.alias("s_score"), g.alias("g2m_score"), phase.alias("phase"))
 
 
-@F.pandas_udf(DoubleType())
-def hypergeometric_tail(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Chance of `hits` or more of `drawn` genes in a set of `size` of `total` genes."""
+def log_factorials(universe: DataFrame) -> DataFrame:
+    """One row, table: ln(i!) for i from 0 to the number of genes, by a running sum. A number a gene."""
+    own = universe.select("gene_u").distinct().select(F.row_number().over(Window.orderBy("gene_u")).alias("i"))
+    sums = own.select("i", F.sum(F.ln("i")).over(Window.orderBy("i")).alias("l"))
+    return sums.agg(F.concat(F.array(F.lit(0.0)), F.transform(F.sort_array(F.collect_list(F.struct("i", "l"))), lambda x: x["l"])).alias("table"))
 
-    def tail(hits: int, drawn: int, size: int, total: int) -> float:
-        choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-        whole = choose(total, drawn)
-        terms = (math.exp(choose(size, k) + choose(total - size, drawn - k) - whole) for k in range(hits, min(drawn, size) + 1) if drawn - k <= total - size)
-        return min(1.0, sum(terms))
 
-    for a, b, c, d in parts:
-        yield pd.Series([tail(*x) for x in zip(a, b, c, d, strict=True)], dtype="float64")
+def hypergeometric_tail(hits: Column, drawn: Column, size: Column, table: Column) -> Column:
+    """Chance of `hits` or more of `drawn` genes in a set of `size` of all genes; table: log_factorials of these."""
+    total = F.size(table) - 1
+    at = lambda i: F.get(table, i.cast("int"))
+    choose = lambda n, k: at(n) - at(k) - at(n - k)
+    term = lambda k: F.when(drawn - k <= total - size, F.exp(choose(size, k) + choose(total - size, drawn - k) - choose(total, drawn))).otherwise(F.lit(0.0))
+    return F.least(F.aggregate(F.sequence(hits, F.least(drawn, size)), F.lit(0.0), lambda s, k: s + term(k)), F.lit(1.0))
 
 
 def over_representation(markers: DataFrame, sets: DataFrame, universe: DataFrame, genes: int = 200, top: int = 15) -> DataFrame:
     """cluster_id, set_name, hits, p, p_adj, rank: the `top` sets over-represented among a cluster's first genes.
 
-    markers: cluster_id, gene_u, rank. Local, by the hypergeometric tail; sets count once for each distinct gene.
+    markers: cluster_id, gene_u, rank. Local, by the hypergeometric tail; sets count once for each distinct gene. Ranks go
+    by p_adj, then p, at twelve digits, then the set's name.
     """
     own = sets.select("set_name", F.upper("gene").alias("gene_u")).distinct().join(universe.select("gene_u"), "gene_u", "left_semi")
-    total = universe.agg(F.count_distinct("gene_u")).scalar()
     sizes = own.groupBy("set_name").agg(F.count("*").alias("size"))
     drawn = markers.filter(F.col("rank") <= genes).select("cluster_id", "gene_u").distinct()
     counts = drawn.groupBy("cluster_id").agg(F.count("*").alias("drawn"))
-    hits = drawn.join(own, "gene_u").groupBy("cluster_id", "set_name").agg(F.count("*").alias("hits")).join(sizes, "set_name").join(counts, "cluster_id").withColumn("total", total)
-    found = adjusted(hits.withColumn("p", hypergeometric_tail("hits", "drawn", "size", "total")), "p", "cluster_id", "set_name")
-    r = F.row_number().over(Window.partitionBy("cluster_id").orderBy("p_adj", "p", "set_name"))
+    hits = drawn.join(own, "gene_u").groupBy("cluster_id", "set_name").agg(F.count("*").alias("hits")).join(sizes, "set_name").join(counts, "cluster_id").join(log_factorials(universe), F.lit(True))
+    found = adjusted(hits.withColumn("p", hypergeometric_tail(F.col("hits"), F.col("drawn"), F.col("size"), F.col("table"))), "p", "cluster_id", "set_name")
+    r = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.round("p_adj", 12), F.round("p", 12), "set_name"))
     return found.withColumn("rank", r.cast("long")).filter(F.col("rank") <= top).select("cluster_id", "set_name", "hits", "p", "p_adj", "rank")

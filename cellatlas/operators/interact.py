@@ -23,14 +23,17 @@ def interactions(stats: DataFrame, pairs: DataFrame, sources: DataFrame | None =
 def in_order(found: DataFrame, clusters: DataFrame) -> DataFrame:
     """found with its score at four digits and its place by it; ties by lr_ord, then the clusters' ordinals.
 
-    Places come from how many rows each of the 10001 scores has, so no task orders all rows.
+    Places come from how many rows each of the 10001 scores has, and how many of these each pair; what is ordered in
+    one task is a score's pairs, or the clusters of one pair and score.
     """
     ordinal = lambda side: clusters.select(F.col("cluster_id").alias(side), F.col("cluster_ord").alias(f"_{side}"))
     own = found.withColumn("score", F.round(F.round("score", 9), 4)).join(ordinal("source"), "source").join(ordinal("target"), "target")
-    above = F.sum("_n").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1))
-    counts = own.groupBy("score").agg(F.count("*").alias("_n")).select("score", F.coalesce(above, F.lit(0)).alias("_above"))
-    r = F.row_number().over(Window.partitionBy("score").orderBy("lr_ord", "_source", "_target"))
-    return own.join(counts, "score").withColumn("place", F.col("_above") + r).drop("_above", "_source", "_target")
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pairs = own.groupBy("score", "lr_ord").agg(F.count("*").alias("_n"))
+    scores = pairs.groupBy("score").agg(F.sum("_n").alias("_n")).select("score", before(Window.orderBy(F.desc("score"))).alias("_above"))
+    counts = pairs.select("score", "lr_ord", before(Window.partitionBy("score").orderBy("lr_ord")).alias("_before")).join(scores, "score")
+    r = F.row_number().over(Window.partitionBy("score", "lr_ord").orderBy("_source", "_target"))
+    return own.join(counts, ["score", "lr_ord"]).withColumn("place", F.col("_above") + F.col("_before") + r).drop("_above", "_before", "_source", "_target")
 
 
 def by_pathway(found: DataFrame) -> DataFrame:

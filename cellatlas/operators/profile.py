@@ -30,12 +30,14 @@ def coexpression(stats: DataFrame, clusters: DataFrame, gene: str, metric: str =
 
     By sums over what is there, so no zero is ever stored. Genes that hardly vary (deviation under 1e-8) are left out.
     """
-    n = clusters.agg(F.count("*")).scalar()
     x = stats.filter(F.col("gene_u") == gene.upper()).select("cluster_id", F.col(metric).alias("x"))
-    sx, sxx = x.agg(F.sum("x")).scalar(), x.agg(F.sum(F.col("x") * F.col("x"))).scalar()
+    # One row: the gene's values by cluster, and their sums. Statistics are evaluated for it and for the scan, no more.
+    one = x.agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("sx"), F.coalesce(F.sum(F.col("x") * F.col("x")), F.lit(0.0)).alias("sxx"), F.map_from_entries(F.collect_list(F.struct("cluster_id", "x"))).alias("_x"))
+    one = one.join(clusters.agg(F.count("*").alias("n")), F.lit(True))
     y = F.col(metric)
-    sums = stats.filter(F.col("gene_u") != gene.upper()).join(x, "cluster_id", "left").groupBy("gene_u").agg(F.sum(y).alias("sy"), F.sum(y * y).alias("syy"), F.sum(y * F.coalesce("x", F.lit(0.0))).alias("sxy"))
-    own = sums.withColumns({"n": n, "sx": F.coalesce(sx, F.lit(0.0)), "sxx": F.coalesce(sxx, F.lit(0.0))})
+    there = stats.filter(F.col("gene_u") != gene.upper()).select("gene_u", "cluster_id", metric).join(one, F.lit(True))
+    sums = there.groupBy("gene_u").agg(F.sum(y).alias("sy"), F.sum(y * y).alias("syy"), F.sum(y * F.coalesce(F.element_at("_x", F.col("cluster_id")), F.lit(0.0))).alias("sxy"))
+    own = sums.join(one.drop("_x"), F.lit(True))
     var = lambda s, q: F.greatest(F.col(q) / F.col("n") - F.col(s) * F.col(s) / (F.col("n") * F.col("n")), F.lit(0.0))
     own = own.withColumn("dx", F.sqrt(var("sx", "sxx"))).withColumn("dy", F.sqrt(var("sy", "syy"))).filter("dx >= 1e-8 AND dy >= 1e-8")
     return own.select("gene_u", ((F.col("sxy") / F.col("n") - F.col("sx") * F.col("sy") / (F.col("n") * F.col("n"))) / (F.col("dx") * F.col("dy"))).alias("corr"))
@@ -99,9 +101,29 @@ def dotplot(expr: DataFrame, cells: DataFrame, genes: DataFrame) -> DataFrame:
     return found.withColumn("z", F.coalesce(F.try_divide(F.col("mean") - F.avg("mean").over(at), F.nullif(d, F.lit(0.0))), F.lit(0.0)))
 
 
+def quantiles(expr: DataFrame, share: float, grid: int = 32) -> DataFrame:
+    """gene, n, value: the exact quantile of each gene's values, linear between the two around its place.
+
+    First how many values each step of 1 / grid has, which tells the steps that hold the two; then only the values of
+    these steps are counted and ordered. No buffer holds a gene's values.
+    """
+    own = expr.select("gene", "value", F.floor(F.col("value") * grid).alias("step"))
+    counts = own.groupBy("gene", "step").agg(F.count("*").alias("k"))
+    up_to = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = (F.col("n") - 1) * F.lit(float(share))
+    steps = counts.withColumn("n", F.sum("k").over(Window.partitionBy("gene"))).withColumn("before", F.sum("k").over(up_to("gene").orderBy("step")) - F.col("k"))
+    low, high = F.floor(place), F.ceil(place)
+    inside = lambda x: (F.col("before") <= x) & (x < F.col("before") + F.col("k"))
+    held = steps.filter(inside(low) | inside(high)).select("gene", "step", "n", "before", low.alias("low"), high.alias("high"), (place - low).alias("part"))
+    values = own.join(held, ["gene", "step"]).groupBy("gene", "step", "value").agg(F.count("*").alias("k"), *[F.first(c).alias(c) for c in ("n", "before", "low", "high", "part")])
+    ranked = values.withColumn("before", F.col("before") + F.sum("k").over(up_to("gene", "step").orderBy("value")) - F.col("k"))
+    ends = ranked.groupBy("gene").agg(F.max("n").alias("n"), F.max("part").alias("part"), F.max(F.when(inside(F.col("low")), F.col("value"))).alias("a"), F.max(F.when(inside(F.col("high")), F.col("value"))).alias("b"))
+    return ends.select("gene", "n", (F.col("a") + F.col("part") * (F.col("b") - F.col("a"))).alias("value"))
+
+
 def expression_cap(expr: DataFrame, share: float = 0.98, few: int = 10) -> DataFrame:
     """gene, n, cap: the exact percentile of non-zero values; 1 for a gene of `few` values or less."""
-    return expr.groupBy("gene").agg(F.count("*").alias("n"), F.percentile("value", share).alias("_p")).select("gene", "n", F.when(F.col("n") > few, F.col("_p")).otherwise(F.lit(1.0)).alias("cap"))
+    return quantiles(expr, share).select("gene", "n", F.when(F.col("n") > few, F.col("value")).otherwise(F.lit(1.0)).alias("cap"))
 
 
 def gene_on_cells(expr: DataFrame, cells: DataFrame, gene: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import evalkit, genesets, interact, meta, profile, rank, stats
 from . import cells, more  # noqa: F401  register their queries
-from .base import QUERIES, SQL, query, rounded, unchecked
+from .base import QUERIES, SQL, query, rounded
 from .fixture import ASKED, CELLS, DENSE, META, PAIRS, SETS, SPARSE, STATS, VECTORS, Atlas
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -764,15 +764,29 @@ def composite_score(a):
     return rounded(a.meta.filter("col = 'balance' AND value = 'pos'").select("cluster_id", score.alias("score")))
 
 
-# Without SQL
+P = """dbl AS (SELECT k, sum(ln(2 * k + 1)) OVER (ORDER BY k) AS l FROM range(0, 400) t(k)),
+zp AS (SELECT zs.cluster_id, zs.gene, any_value(zs.z) AS z, greatest(1 - sqrt(2 / pi()) * sum(exp((2 * k + 1) * ln(greatest(abs(zs.z), 1e-300)) - l - zs.z * zs.z / 2)), 0) AS p FROM zs CROSS JOIN dbl GROUP BY 1, 2),
+pr AS (SELECT *, count(*) OVER (PARTITION BY cluster_id) AS n, row_number() OVER (PARTITION BY cluster_id ORDER BY p, gene) AS rk FROM zp),
+pa AS (SELECT *, least(1.0, min(p * n / rk) OVER (PARTITION BY cluster_id ORDER BY rk DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS p_adj, row_number() OVER (PARTITION BY cluster_id ORDER BY z DESC, gene) AS place FROM pr)"""
 
 
-@unchecked
+@query("SELECT cluster_id, gene, round(z, 6) AS z, round(p, 6) AS p, round(p_adj, 6) AS p_adj FROM pa WHERE place <= 50 AND p_adj < 0.9", CELLS, DENSE, RANKS, P)
 def markers_with_p(a):
-    return rounded(stats.markers(a.dense, a.cells, 50, 0.9).select("cluster_id", "gene", "z", "p", "p_adj"))
+    """Chances from a series of the normal integral in SQL, from a fit of its logarithm here."""
+    return rounded(stats.markers(a.dense.withColumn("value", F.round("value", 9)), a.cells, 50, 0.9).select("cluster_id", "gene", "z", "p", "p_adj"))
 
 
-@unchecked
+OVER = """uni AS (SELECT DISTINCT gene_u FROM stats), lf AS (SELECT 0 AS i, CAST(0 AS DOUBLE) AS l UNION ALL SELECT i, sum(ln(i)) OVER (ORDER BY i) FROM (SELECT row_number() OVER () AS i FROM uni)), tot AS (SELECT count(*) AS total FROM uni),
+member AS (SELECT DISTINCT set_name, upper(gene) AS gene_u FROM sets WHERE upper(gene) IN (SELECT gene_u FROM uni)), size AS (SELECT set_name, count(*) AS size FROM member GROUP BY 1),
+drawn AS (SELECT cluster_id, gene_u FROM (SELECT cluster_id, gene_u, row_number() OVER (PARTITION BY cluster_id ORDER BY abs(round(logfc, 9)) DESC, gene) AS r FROM stats) WHERE r <= 200), dn AS (SELECT cluster_id, count(*) AS drawn FROM drawn GROUP BY 1),
+hits AS (SELECT cluster_id, set_name, count(*) AS hits FROM drawn JOIN member USING (gene_u) GROUP BY 1, 2),
+terms AS (SELECT cluster_id, set_name, hits, drawn, size, total, unnest(range(hits, least(drawn, size) + 1)) AS k FROM hits JOIN size USING (set_name) JOIN dn USING (cluster_id) CROSS JOIN tot),
+tails AS (SELECT cluster_id, set_name, any_value(hits) AS hits, least(1.0, sum(exp(a.l - b.l - c.l + d.l - e.l - f.l - g.l + h.l + j.l))) AS p FROM terms JOIN lf a ON a.i = size JOIN lf b ON b.i = k JOIN lf c ON c.i = size - k JOIN lf d ON d.i = total - size JOIN lf e ON e.i = drawn - k JOIN lf f ON f.i = total - size - drawn + k JOIN lf g ON g.i = total JOIN lf h ON h.i = drawn JOIN lf j ON j.i = total - drawn GROUP BY 1, 2),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY cluster_id) AS n, row_number() OVER (PARTITION BY cluster_id ORDER BY p, set_name) AS rk FROM tails),
+adj AS (SELECT *, least(1.0, min(p * n / rk) OVER (PARTITION BY cluster_id ORDER BY rk DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS p_adj FROM ranked)"""
+
+
+@query("SELECT * FROM (SELECT cluster_id, set_name, hits, round(p, 6) AS p, round(p_adj, 6) AS p_adj, row_number() OVER (PARTITION BY cluster_id ORDER BY round(p_adj, 12), round(p, 12), set_name) AS rank FROM adj) WHERE rank <= 15", CELLS, SPARSE, STATS, SETS, OVER)
 def over_representation(a):
-    ranked = rank.top_genes(a.sparse_stats, 200)
+    ranked = rank.top_genes(a.sparse_stats.withColumn("logfc", F.round("logfc", 9)), 200)
     return rounded(genesets.over_representation(ranked.select("cluster_id", "gene_u", "rank"), a.sets, a.sparse_stats))
