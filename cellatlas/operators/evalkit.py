@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import alike
+from .names import alike as alike_names
+from .names import containing
 
 
 def matched(expected: DataFrame, rankings: DataFrame, fuzzy: bool = False) -> DataFrame:
@@ -102,8 +104,10 @@ def paper_interactions(truth: DataFrame, predicted: DataFrame) -> DataFrame:
 
 def pathway_alignment(truth: DataFrame, best: DataFrame) -> DataFrame:
     """pathway and score: the best score of a computed set (set_name, score) whose name holds it or is held by it; null if none."""
-    a, b = F.lower("pathway"), F.lower("set_name")
-    return truth.select("pathway").distinct().join(best.select("set_name", "score"), a.contains(b) | b.contains(a), "left").groupBy("pathway").agg(F.max("score").alias("score"))
+    wanted = truth.select("pathway").distinct().withColumn("_p", F.lower("pathway"))
+    own = best.select(F.lower("set_name").alias("_s"), "score")
+    pairs = containing(wanted.select("_p"), own.select("_s")).toDF("_p", "_s").unionByName(containing(own.select("_s"), wanted.select("_p")).toDF("_s", "_p")).distinct()
+    return wanted.join(pairs.join(own, "_s"), "_p", "left").groupBy("pathway").agg(F.max("score").alias("score"))
 
 
 def direction_consistency(changes: DataFrame, up: DataFrame, down: DataFrame) -> DataFrame:
@@ -114,7 +118,7 @@ def direction_consistency(changes: DataFrame, up: DataFrame, down: DataFrame) ->
     flag = lambda names, n: names.select(F.col("name").alias(n))
     own = changes.select("cluster_id", F.when(F.col("is_inf"), 999.0).otherwise(F.col("fold_change")).alias("fc"))
     for names, n in ((up, "_up"), (down, "_down")):
-        met = own.select("cluster_id").join(flag(names, n), alike(F.col("cluster_id"), F.col(n)), "left_semi").select("cluster_id", F.lit(True).alias(n))
+        met = alike_names(own.select("cluster_id"), flag(names, n)).select(F.col("a").alias("cluster_id"), F.lit(True).alias(n)).distinct()
         own = own.join(met, "cluster_id", "left").na.fill(False, [n])
     right = (F.col("_up") & (F.col("fc") > 1)) | (F.col("_down") & (F.col("fc") < 1))
     return own.filter("_up OR _down").agg(F.count("*").alias("n_checked"), F.coalesce(F.avg(F.when(right, 1.0).otherwise(0.0)), F.lit(0.0)).alias("rate"))

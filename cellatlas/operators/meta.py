@@ -33,7 +33,11 @@ def cluster_key(cells: DataFrame, candidates: Sequence[str] = (*ANNOTATION_KEYS,
 
 def cluster_metadata(cells: DataFrame, columns: Sequence[str], top: int = 5) -> DataFrame:
     """cluster_id, n_cells, col_ord, col, value, n, frac: the `top` values of each column in each cluster."""
-    counted = long_form(cells, columns).groupBy("cluster_id", "col_ord", "col", "value").agg(F.count("*").alias("n"))
+    return metadata_of_counts(long_form(cells, columns).groupBy("cluster_id", "col_ord", "col", "value").agg(F.count("*").alias("n")), top)
+
+
+def metadata_of_counts(counted: DataFrame, top: int = 5) -> DataFrame:
+    """What cluster_metadata gives, from counts (cluster_id, col_ord, col, value, n)."""
     own = Window.partitionBy("cluster_id", "col")
     found = counted.withColumn("n_cells", F.sum("n").over(own)).withColumn("_r", F.row_number().over(own.orderBy(F.desc("n"), "value")))
     return found.filter(F.col("_r") <= top).select("cluster_id", "n_cells", "col_ord", "col", "value", "n", (F.col("n") / F.col("n_cells")).alias("frac"))

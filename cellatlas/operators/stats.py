@@ -38,8 +38,13 @@ def gene_stats(expr: DataFrame, cells: DataFrame) -> DataFrame:
     Shuffles carry partial sums by (cluster, gene), not cells, once each cell has its cluster.
     """
     summed = clustered(expr, cells).groupBy("cluster_id", "gene").agg(F.count("*").alias("nnz"), F.sum(F.expm1("value")).alias("s"))
+    return stats_of_sums(summed, cluster_sizes(cells))
+
+
+def stats_of_sums(summed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """What gene_stats gives, from summed (cluster_id, gene, nnz, s = sum of exp(value) - 1) and cluster_sizes."""
     gene = Window.partitionBy("gene")
-    both = summed.withColumn("nnz_all", F.sum("nnz").over(gene)).withColumn("s_all", F.sum("s").over(gene)).join(cluster_sizes(cells), "cluster_id")
+    both = summed.withColumn("nnz_all", F.sum("nnz").over(gene)).withColumn("s_all", F.sum("s").over(gene)).join(sizes, "cluster_id")
     n_out = F.col("n_all") - F.col("n_in")
     outside = lambda all_, own: F.when(n_out > 0, (F.col(all_) - F.col(own)) / n_out).otherwise(F.lit(0.0))
     return both.select(
@@ -61,16 +66,20 @@ def rank_sums(expr: DataFrame, cells: DataFrame, grid: int = 32) -> DataFrame:
     Ranks run over (gene, value) counts, and inside steps of 1 / grid of the value: the steps of a gene are few, so no
     task orders all cells of a gene.
     """
-    step = F.floor(F.col("value") * grid)
-    tied = clustered(expr, cells).groupBy("gene", "value", "cluster_id").agg(F.count("*").alias("k")).withColumn("step", step)
+    tied = clustered(expr, cells).groupBy("gene", "value", "cluster_id").agg(F.count("*").alias("k"))
+    return ranks_of_ties(tied, cluster_sizes(cells), grid)
+
+
+def ranks_of_ties(ties: DataFrame, sizes: DataFrame, grid: int = 32) -> DataFrame:
+    """What rank_sums gives, from ties (cluster_id, gene, value, k: so many cells) and cluster_sizes."""
+    tied = ties.select("gene", "value", "cluster_id", "k", F.floor(F.col("value") * grid).alias("step"))
     values = tied.groupBy("gene", "step", "value").agg(F.sum("k").alias("ties"))
     before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     base = values.groupBy("gene", "step").agg(F.sum("ties").alias("n")).select("gene", "step", F.coalesce(F.sum("n").over(before("gene").orderBy("step")), F.lit(0)).alias("base"))
     inside = F.coalesce(F.sum("ties").over(before("gene", "step").orderBy("value")), F.lit(0)) + (F.col("ties") + 1) / 2
     ranks = values.withColumn("inside", inside).join(base, ["gene", "step"]).select("gene", "value", (F.col("base") + F.col("inside")).alias("r"))
-    each = tied
-    summed = each.join(ranks, ["gene", "value"]).groupBy("cluster_id", "gene").agg(F.sum("k").alias("nnz"), F.sum(F.col("k") * F.col("r")).alias("r"))
-    both = summed.withColumn("nnz_all", F.sum("nnz").over(Window.partitionBy("gene"))).join(cluster_sizes(cells), "cluster_id")
+    summed = tied.join(ranks, ["gene", "value"]).groupBy("cluster_id", "gene").agg(F.sum("k").alias("nnz"), F.sum(F.col("k") * F.col("r")).alias("r"))
+    both = summed.withColumn("nnz_all", F.sum("nnz").over(Window.partitionBy("gene"))).join(sizes, "cluster_id")
     n1, n, n0 = F.col("n_in"), F.col("n_all"), F.col("n_all") - F.col("nnz_all")
     total = F.col("r") + F.col("nnz") * n0 + (n1 - F.col("nnz")) * (n0 + 1) / 2
     z = (total - n1 * (n + 1) / 2) / F.sqrt(n1 * (n - n1) * (n + 1) / 12)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import encode, evalkit, graph, interact, meta, profile, rank
+from ..operators import encode, evalkit, graph, interact, meta, names, profile, rank
 from ..sources import catalog
 from .base import query, rounded
 from .fixture import CELLS, DENSE, META, PAIRS, SPARSE, STATS, VECTORS
@@ -96,14 +96,14 @@ def cluster_summaries_default(a):
 
 @query("SELECT DISTINCT a.p_type AS a, b.p_type AS b FROM part a CROSS JOIN (SELECT DISTINCT p_type FROM part) b WHERE contains(lower(a.p_type), lower(b.p_type)) OR contains(lower(b.p_type), lower(a.p_type)) OR len(list_intersect(string_split(lower(a.p_type), ' '), string_split(lower(b.p_type), ' '))) >= 2")
 def pathway_name_join(a):
-    own = a.table("part").select(F.col("p_type").alias("a")).distinct()
-    return own.join(own.withColumnRenamed("a", "b"), T.pathways_alike(F.col("a"), F.col("b")))
+    own = a.table("part").select("p_type")
+    return names.pathways_alike(own, own)
 
 
 @query("SELECT DISTINCT a.p_name AS a, b.p_name AS b FROM (SELECT DISTINCT p_name FROM part) a CROSS JOIN (SELECT DISTINCT p_name FROM part) b WHERE contains(lower(a.p_name), lower(b.p_name)) OR contains(lower(b.p_name), lower(a.p_name)) OR len(list_intersect(string_split(lower(a.p_name), ' '), string_split(lower(b.p_name), ' '))) >= 1")
 def cluster_name_join(a):
-    own = a.table("part").select(F.col("p_name").alias("a")).distinct()
-    return own.join(own.withColumnRenamed("a", "b"), T.clusters_alike(F.col("a"), F.col("b")))
+    own = a.table("part").select("p_name")
+    return names.clusters_alike(own, own)
 
 
 @query(

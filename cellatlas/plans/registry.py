@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evalkit, genesets, interact, meta, profile, rank, stats
+from ..operators import evalkit, genesets, interact, meta, names, profile, rank, stats
 from . import cells, more  # noqa: F401  register their queries
 from .base import QUERIES, SQL, query, rounded
 from .fixture import ASKED, CELLS, DENSE, META, PAIRS, SETS, SPARSE, STATS, VECTORS, Atlas
@@ -318,7 +318,8 @@ def word_jaccard(a):
 
 @query("SELECT a, b FROM jw WHERE contains(lower(a), lower(b)) OR contains(lower(b), lower(a)) OR k / u >= 0.5", WORD_SQL)
 def fuzzy_match_join(a):
-    return _names(a).filter(T.alike(F.col("a"), F.col("b"))).select("a", "b")
+    own = a.table("part").select("p_name")
+    return names.alike(own, own)
 
 
 @query("SELECT item_id AS qid, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '')) AS BIGINT) AS n, list_bool_or(list_transform(['the', 'ion', 'zzz'], lambda k: contains(lower(text), k))) AS themed FROM benchmark")
@@ -748,8 +749,8 @@ SELECT count(*) AS n_checked, round(coalesce(avg(CASE WHEN (up AND fc > 1) OR (d
     COND,
 )
 def consistency_rate(a):
-    names = lambda cond: a.clusters.filter(cond).select(F.col("cluster_id").alias("name"))
-    return rounded(evalkit.direction_consistency(meta.fold_changes(meta.condition_composition(a.meta, "balance")), names("region <= 1"), names("region = 2")))
+    named = lambda cond: a.clusters.filter(cond).select(F.col("cluster_id").alias("name"))
+    return rounded(evalkit.direction_consistency(meta.fold_changes(meta.condition_composition(a.meta, "balance")), named("region <= 1"), named("region = 2")))
 
 
 @query("SELECT pathway, round(score, 6) AS score FROM (SELECT DISTINCT p_type AS pathway FROM part) LEFT JOIN (SELECT set_name, max(round(score, 9)) AS score FROM scored GROUP BY 1) ON set_name = pathway", CELLS, SPARSE, STATS, SETS, SET_SCORES)
