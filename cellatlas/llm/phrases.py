@@ -8,6 +8,7 @@ most SIZE phrases are compared exactly.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -24,6 +25,7 @@ from .shingles import mixed
 
 SIZE = 64
 _BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 _KEPT: dict[int, np.ndarray] = {}
 
 
@@ -73,7 +75,9 @@ def hashes(text: str, start: int, ends: list[int]) -> np.ndarray:
         return np.zeros(0, np.uint32)
     x = np.frombuffer(text[start : ends[-1]].encode("utf-32-le"), np.uint32).astype(np.uint64)
     sums = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum(mixed(x + np.uint64(1)) * _powers(pow(_BASE, -1, 1 << 64), len(x)), out=sums[1:])
+    x += np.uint64(1)
+    x *= _powers(_INVERSE, len(x))
+    np.cumsum(x, out=sums[1:])
     at = np.array([start, *ends], np.int64) - start
     own = (sums[at[1:]] - sums[at[:-1]]) * _powers(_BASE, len(x))[at[:-1]]  # as if the phrase began the text
     return (mixed(own) >> np.uint64(32)).astype(np.uint32)
@@ -90,8 +94,12 @@ def smallest(own: np.ndarray, size: int = SIZE) -> np.ndarray:
 
 def likeness(a: np.ndarray, b: np.ndarray, size: int = SIZE) -> float:
     """Of the `size` smallest of both, the share that both have; 1 for two empty sets."""
-    both = np.union1d(a, b)[:size]
-    return float((np.isin(both, a) & np.isin(both, b)).mean()) if len(both) else 1.0
+    every = np.sort(np.concatenate([a, b]))
+    if not len(every):
+        return 1.0
+    again = every[1:] == every[:-1]
+    both = every[np.concatenate([[True], ~again])][:size]
+    return float(np.count_nonzero(every[1:][again] <= both[-1])) / len(both)
 
 
 class Parsed(NamedTuple):
@@ -113,13 +121,14 @@ def parsed(text: str, after: str, size: int = SIZE) -> Parsed:
     cut, other = len(text) - third, after[:third]
     seen: dict = {}
     ends = parse(text[:cut], seen)
-    head, left = hashes(text, 0, ends), ends[-1] if ends else 0
+    n, left = len(ends), ends[-1] if ends else 0
     node, made = open_phrase(text[left:cut], seen), []
-    tail = hashes(text, left, [cut + e for e in parse(text[cut:], seen, node, made)])
+    ends += [cut + e for e in parse(text[cut:], seen, node, made)]
+    whole = hashes(text, 0, ends)
     for parent, c in reversed(made):
         del parent[c]
     own = hashes(text[left:cut] + other, 0, [cut - left + e for e in parse(other, seen, node)])
-    return Parsed(smallest(np.concatenate([head, tail]), size), smallest(np.concatenate([head, own]), size), hashlib.sha256((text[:cut] + other).encode()).digest())
+    return Parsed(smallest(whole, size), smallest(np.concatenate([whole[:n], own]), size), hashlib.sha256((text[:cut] + other).encode()).digest())
 
 
 _SCHEMA = "kind string, part int, id {0}, n_chars long, edited_sha256 binary, own binary, edited binary, near_edited double, near_next double, body binary"
@@ -148,6 +157,7 @@ def _streamed(batches: Iterator[pa.RecordBatch], kind: pa.DataType, size: int) -
 
     The first and the last also come out with their texts, as they meet the neighbouring partitions.
     """
+    gc.disable()  # tries have no cycles, and looking for some takes long
     part, unzip = TaskContext.get().partitionId(), zstandard.ZstdDecompressor()
     out, last, waiting = [], None, None  # last: (id, body, text); waiting: (id, text, Parsed) for the sketch behind it
     for b in slices(batches, column="body"):
@@ -170,6 +180,7 @@ def _streamed(batches: Iterator[pa.RecordBatch], kind: pa.DataType, size: int) -
             out.append(_done(*waiting, own, size))
         out.append(("last", part, last[0], len(last[2]), None, own.astype(">u4").tobytes(), None, None, None, last[1]))
         yield _batch(out, kind)
+    gc.enable()
 
 
 def _met(batches: Iterator[pa.RecordBatch], kind: pa.DataType, size: int) -> Iterator[pa.RecordBatch]:

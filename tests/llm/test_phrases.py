@@ -33,7 +33,7 @@ INVERSE = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 def number(phrase):
     total, power = 0, 1
     for c in phrase:
-        total, power = (total + mixed(ord(c) + 1) * power) & MASK, power * INVERSE & MASK
+        total, power = (total + (ord(c) + 1) * power) & MASK, power * INVERSE & MASK
     return mixed(total) >> 32
 
 
