@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from . import report
 from .engine import Engine
 
-VERBS = ("info", "semantic", "hybrid", "discover", "compare", "interactions", "proportions", "pathway", "genes", "metadata", "cells", "specificity", "coexpression", "report", "export", "quit")
+VERBS = ("info", "capabilities", "annotation", "semantic", "hybrid", "discover", "compare", "interactions", "proportions", "pathway", "genes", "metadata", "cells", "specificity", "coexpression", "report", "export", "quit")
 
 
 class Command(NamedTuple):
@@ -64,6 +64,10 @@ def _answer(engine: Engine, c: Command) -> Any:
     match c.verb:
         case "info":
             return engine.info()
+        case "capabilities":
+            return engine.capabilities()
+        case "annotation":
+            return engine.by_annotation(c.text)
         case "semantic":
             return engine.by_meaning(c.text)
         case "hybrid":

@@ -66,6 +66,12 @@ class Engine:
         queries = self.spark.createDataFrame([(1, text, self.encoder([text])[0])], "qid bigint, text string, vec array<double>")
         return rank.semantic_ranking(queries, self.clusters, top, self.name_boost, names)
 
+    def by_annotation(self, text: str, top: int = 10) -> DataFrame:
+        """by_meaning with genes; nothing, if the clusters have no vectors."""
+        if "vec" not in self.clusters.columns or self.encoder is None:
+            return rank.with_genes(self.by_genes([], top).limit(0), self.stats)
+        return rank.with_genes(self.by_meaning(text, top), self.stats)
+
     def query(self, text: str, top: int = 10, mode: str | None = None, genes: int = 30) -> DataFrame:
         """The ranking by the query's mode, with the clusters' top genes. A gene query without genes is an ontology one."""
         found, names = self.parsed(text)
@@ -89,28 +95,41 @@ class Engine:
         return rank.with_genes(self.by_meaning(text, top), self.stats)
 
     def interactions(self, source: str | None = None, target: str | None = None, **limits) -> DataFrame:
-        return interact.interactions(self.stats, self.pairs, interact.named_clusters(self.clusters, source), interact.named_clusters(self.clusters, target), **limits).orderBy(F.desc(F.round(F.round("score", 9), 4)), "lr_ord", "source", "target")
+        found = interact.interactions(self.stats, self.pairs, interact.named_clusters(self.clusters, source), interact.named_clusters(self.clusters, target), **limits)
+        return interact.in_order(found, self.clusters).orderBy("place").drop("place")
 
     def proportions(self, column: str | None = None) -> DataFrame:
         return meta.composition(self.cells) if column is None else meta.changes_in_order(meta.fold_changes(meta.condition_composition(self.meta, column))).orderBy("place").drop("place")
 
+    def _condition_words(self) -> DataFrame:
+        return self.spark.createDataFrame(list(enumerate(fixed.CONDITION_WORDS)), "kw_ord int, kw string")
+
     def conditions(self) -> DataFrame:
-        words = self.spark.createDataFrame(list(enumerate(fixed.CONDITION_WORDS)), "kw_ord int, kw string")
-        return meta.detect_condition(self.meta, words, fixed.NO_CONDITION_WORDS)
+        return meta.detect_condition(self.meta, self._condition_words(), fixed.NO_CONDITION_WORDS)
+
+    def capabilities(self) -> DataFrame:
+        return meta.capabilities(self.clusters, self.meta, self._condition_words(), fixed.NO_CONDITION_WORDS)
+
+    def compare(self, a: str, b: str, genes: Sequence[str] | None = None, otherwise: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """The biased clusters' genes, and those enriched on each side; groups are found in any column, whatever their case.
 
-    def compare(self, a: str, b: str, genes: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
-        """The biased clusters' genes, and those enriched on each side; groups are found in any column, whatever their case."""
+        With `otherwise`, the name of a column, a group that no column holds is one of its (then without clusters).
+        """
         at = meta.group_column(self.meta, a, b).first()
-        if at is None or at["group_a"] is None or at["group_b"] is None:
+        if otherwise is None and (at is None or at["group_a"] is None or at["group_b"] is None):
             raise ValueError(f"no column has both {a} and {b}")
-        biased = meta.biased_clusters(self.clusters, self.meta, at["col"], at["group_a"], at["group_b"])
+        column, sides = (at["col"] if at else otherwise), [(at and at["group_a"]) or a, (at and at["group_b"]) or b]
+        biased = meta.biased_clusters(self.clusters, self.meta, column, *sides)
         asked = self.spark.createDataFrame([(g.upper(),) for g in genes], "gene_u string") if genes else None
         own = meta.compared_genes(biased, self.stats, asked)
-        return own, meta.enriched_genes(own, [at["group_a"], at["group_b"]])
+        return own, meta.enriched_genes(own, sides)
 
     def pathways(self, name: str | None = None, metric: str = "pct_in") -> DataFrame:
+        """Scores of all sets, or of the one that a name means: sets by their best cluster, and in each the best first."""
         sets = self.sets if name is None else self.sets.join(genesets.resolved_set(self.sets, name).select("set_name"), "set_name", "left_semi")
-        return genesets.set_scores(self.stats, sets, self.clusters, metric)
+        scores = genesets.set_scores(self.stats, sets, self.clusters, metric)
+        order = genesets.sets_in_order(scores).select("set_name", "place")
+        return scores.join(order, "set_name").orderBy("place", F.desc("score"), "cluster_id").drop("place")
 
     def cell_cycle(self, metric: str = "pct_in") -> DataFrame:
         rows = [(n, g) for n, own in (("S", fixed.S_PHASE), ("G2M", fixed.G2M_PHASE)) for g in own]

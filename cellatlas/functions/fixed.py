@@ -98,3 +98,38 @@ G2M_PHASE = (
     "CDCA2", "CDCA8", "ECT2", "KIF23", "HMMR", "AURKA", "PSRC1", "ANLN", "LBR", "CKAP5", "CENPE", "CTCF", "NEK2",
     "G2E3", "GAS2L3", "CBX5", "CENPA",
 )
+
+DISPLAY_NAMES = {
+    "CD8-positive, alpha-beta T cell": "CD8+ T",
+    "CD4-positive helper T cell": "CD4+ T helper",
+    "CD4-positive, alpha-beta T cell": "CD4+ T",
+    "respiratory tract multiciliated cell": "multiciliated",
+    "respiratory tract suprabasal cell": "suprabasal",
+    "respiratory tract goblet cell": "resp. goblet",
+    "mucus secreting cell of bronchus submucosal gland": "submucosal gland",
+    "nasal mucosa goblet cell": "nasal goblet",
+    "alveolar adventitial fibroblast": "adventitial fib.",
+    "alveolar type 1 fibroblast cell": "AT1 fibroblast",
+    "bronchial goblet cell": "bronchial goblet",
+    "pulmonary neuroendocrine cell": "neuroendocrine",
+    "non-classical monocyte": "non-class. mono.",
+    "epithelial cell of lung": "lung epithelial",
+    "fibroblast of lung": "lung fibroblast",
+    "dendritic cell, human": "dendritic",
+    "innate lymphoid cell": "ILC",
+    "natural killer cell": "NK",
+    "endocardial cell": "endocardial",
+    "secretory cell": "secretory",
+    "stromal cell": "stromal",
+    "mature T cell": "mature T",
+    "cytotoxic T cell": "cytotoxic T",
+    "plasma cell": "plasma",
+    "mast cell": "mast",
+    "club cell": "club",
+    "basal cell": "basal",
+    "macrophage": "macrophage",
+    "monocyte": "monocyte",
+    "pericyte": "pericyte",
+    "ionocyte": "ionocyte",
+    "B cell": "B cell",
+}

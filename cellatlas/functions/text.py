@@ -119,8 +119,11 @@ def covered(text: Column, keywords: Column) -> Column:
     return F.exists(keywords, lambda k: F.lower(text).contains(F.lower(k)))
 
 
-def short_name(x: Column, most: int = 25) -> Column:
-    """At most `most` characters, cut names ending in a dot."""
+def short_name(x: Column, most: int = 25, names: Mapping[str, str] | None = None) -> Column:
+    """A name to display: the one that `names` has for it, else at most `most` characters, cut names ending in a dot."""
+    if names:
+        table = F.create_map(*[F.lit(v) for pair in names.items() for v in pair])
+        return F.coalesce(F.element_at(table, x), short_name(x, most))
     return F.when(F.length(x) > most, F.concat(F.substring(x, 1, most - 1), F.lit("."))).otherwise(x)
 
 

@@ -89,15 +89,25 @@ def recovered(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     return each.agg(F.count("*").alias("n"), F.avg("lr").alias("lr_rate"), F.avg("full").alias("full_rate"))
 
 
-def paper_interactions(truth: DataFrame, predicted: DataFrame) -> DataFrame:
+def holding(left: DataFrame, right: DataFrame) -> DataFrame:
+    """x, y: names (one column each) of which either holds the other."""
+    return containing(left, right).unionByName(containing(right, left).select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
+
+
+def paper_interactions(truth: DataFrame, predicted: DataFrame, summary: DataFrame | None = None) -> DataFrame:
     """One row: n, n_found and rate of the truth's pairs of cluster names (source, target) that a predicted pair matches.
 
-    Names match, whatever their case, if either holds the other. Predicted pairs are made distinct before they meet.
+    Names match, whatever their case, if either holds the other; an empty one matches none. Pairs of which only a
+    summary is left (source, target) count too. Predicted pairs are made distinct before they meet.
     """
-    p = predicted.select(F.lower("source").alias("_s"), F.lower("target").alias("_t")).distinct()
-    holds = lambda a, b: F.lower(a).contains(F.col(b)) | F.col(b).contains(F.lower(a))
-    t = truth.select("source", "target").withColumn("_id", F.monotonically_increasing_id())
-    hit = t.join(p, holds("source", "_s") & holds("target", "_t"), "left_semi").select("_id", F.lit(1).alias("_hit"))
+    pairs = predicted.select("source", "target")
+    if summary is not None:
+        pairs = pairs.unionByName(summary.select("source", "target"))
+    p = pairs.select(F.lower("source").alias("_s"), F.lower("target").alias("_t")).distinct()
+    t = truth.select(F.lower("source").alias("source"), F.lower("target").alias("target")).withColumn("_id", F.monotonically_increasing_id())
+    sources = holding(t.select("source"), p.select("_s")).toDF("source", "_s")
+    targets = holding(t.select("target"), p.select("_t")).toDF("target", "_t")
+    hit = t.join(sources, "source").join(p, "_s").join(targets, ["target", "_t"]).select("_id", F.lit(1).alias("_hit")).distinct()
     n = F.coalesce("_hit", F.lit(0))
     return t.join(hit, "_id", "left").agg(F.count("*").alias("n"), F.coalesce(F.sum(n), F.lit(0)).alias("n_found"), F.coalesce(F.avg(n), F.lit(0.0)).alias("rate"))
 
@@ -153,3 +163,45 @@ def evidence(**parts: DataFrame) -> DataFrame:
         own = df.select(F.upper("gene_u").alias("gene_u"), F.lit(name).alias("part"))
         every = own if every is None else every.unionByName(own)
     return every.groupBy("gene_u").agg(F.count_distinct("part").alias("n_parts"))
+
+
+#: Genes that a text names: before an id in brackets, or as words in capitals.
+MENTIONS = (r"\b([A-Z][A-Z0-9-]{1,15})\s*\(ENSG\d+", r"\b([A-Z][A-Z0-9]{1,12}(?:-[A-Z0-9]+)?)\b")
+
+
+def session_genes(hits: DataFrame | None = None, compared: DataFrame | None = None, members: DataFrame | None = None, top: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """gene, n_sources: the distinct genes that a session came upon, and in how many of five kinds of evidence.
+
+    The first four have a column gene: of the hits, of compared clusters, members of gene sets, and these sets' top
+    genes. texts: answers and reports (one column), in which genes are named.
+    """
+    found = [df.select("gene", F.lit(i).alias("_kind")) for i, df in enumerate((hits, compared, members, top)) if df is not None]
+    if texts is not None:
+        text = F.col(f"`{texts.columns[0]}`")
+        named = F.array_distinct(F.concat(*[F.coalesce(F.regexp_extract_all(text, F.lit(m), F.lit(1)), F.array().cast("array<string>")) for m in MENTIONS]))
+        found.append(texts.select(F.explode(named).alias("gene"), F.lit(4).alias("_kind")))
+    first, *rest = found
+    for other in rest:
+        first = first.unionByName(other)
+    return first.filter("gene <> ''").groupBy("gene").agg(F.count_distinct("_kind").alias("n_sources"))
+
+
+def scorecard(genes: DataFrame, found: DataFrame, pathways: DataFrame, computed: DataFrame, interactions: DataFrame, predicted: DataFrame, themes: DataFrame, text: str, proportions: DataFrame | None = None) -> DataFrame:
+    """One row of a replication: gene_recall, pathway_coverage, interaction_recall, theme_coverage in percent, whether
+    there are proportions, the report's words, and the composite score.
+
+    genes, found: gene_u. pathways: pathway; computed: set_name. interactions, predicted: source, target. themes:
+    theme, keyword. Where nothing is expected a share is 0.
+    """
+    percent = lambda c, n: F.coalesce(100 * F.avg(c), F.lit(0.0)).alias(n)
+    recall = overlap_recall(genes, found, "gene_u").select((100 * F.col("recall")).alias("gene_recall"))
+    wanted = pathways.select(F.lower("pathway").alias("x")).distinct()
+    hit = holding(wanted, computed.select(F.lower("set_name").alias("y"))).select("x", F.lit(1.0).alias("_hit")).distinct()
+    covered = wanted.join(hit, "x", "left").agg(percent(F.coalesce("_hit", F.lit(0.0)), "pathway_coverage"))
+    pairs = paper_interactions(interactions, predicted).select((100 * F.col("rate")).alias("interaction_recall"))
+    said = themes.groupBy("theme").agg(F.max(F.lower(F.lit(text)).contains(F.lower("keyword")).cast("double")).alias("_said")).agg(percent(F.col("_said"), "theme_coverage"))
+    some = proportions is not None
+    there = (proportions if some else genes).limit(1).agg((F.count("*") > 0 if some else F.count("*") < 0).alias("proportions_available"))
+    one = recall.join(covered, F.lit(True)).join(pairs, F.lit(True)).join(said, F.lit(True)).join(there, F.lit(True))
+    score = composite(F.col("gene_recall"), F.col("pathway_coverage"), F.col("interaction_recall"), F.col("theme_coverage"), F.col("proportions_available"))
+    return one.withColumn("report_words", F.lit(len(text.split()))).withColumn("composite_score", score)

@@ -122,3 +122,14 @@ def enriched_genes(compared: DataFrame, sides: Sequence[str], top: int = 30) ->
     own = compared.filter(F.col("bias").isin(*sides) & (F.col("logfc") > 0)).groupBy(F.col("bias").alias("side"), "gene").agg(F.count("*").alias("n_clusters"), F.max("logfc").alias("max_logfc"))
     r = F.row_number().over(Window.partitionBy("side").orderBy(F.desc("max_logfc"), "gene"))
     return own.withColumn("rank", r.cast("long")).filter(F.col("rank") <= top)
+
+
+def capabilities(clusters: DataFrame, meta: DataFrame, keywords: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
+    """One row: has_conditions, condition_column, condition_values (sorted; 10 at most), n_clusters.
+
+    The clusters themselves are a table of their own.
+    """
+    found = detect_condition(meta, keywords, skip).select(F.col("col").alias("condition_column"))
+    values = meta.join(found, F.col("col") == F.col("condition_column")).groupBy("condition_column").agg(F.array_sort(F.collect_set("value")).alias("condition_values"))
+    own = clusters.agg(F.count("*").alias("n_clusters")).join(values, F.lit(True), "left")
+    return own.select(F.col("condition_column").isNotNull().alias("has_conditions"), "condition_column", F.coalesce("condition_values", F.array().cast("array<string>")).alias("condition_values"), "n_clusters")

@@ -67,6 +67,18 @@ def centroids(vectors: DataFrame, key: str, vec: str = "vec", guard: float | Non
     return whole if guard is not None and guard < 0 else whole.withColumn("vec", normalized(F.col("vec"), guard))
 
 
+def pooled(cells: DataFrame, key: str = "cluster_id", vec: str = "vec", cell: str = "cell_id") -> tuple[DataFrame, DataFrame]:
+    """The mean of each group's vectors as it is (key, n, vec), and its cells as rows (key, cell, place).
+
+    A group's cells are rows, not a list, so that a large one is never a single value; places are counted in slices of
+    the cells' hash, so no task orders a whole group.
+    """
+    from .stats import numbered
+
+    own = cells.filter(F.col(vec).isNotNull())
+    return centroids(own, key, vec, -1), numbered(cells.select(key, cell), key, cell)
+
+
 def similarities(clusters: DataFrame) -> DataFrame:
     """a, b, cosine of each two clusters (cluster_id, vec), itself included; clusters are few."""
     a, b = clusters.select(F.col("cluster_id").alias("a"), F.col("vec").alias("va")), clusters.select(F.col("cluster_id").alias("b"), F.col("vec").alias("vb"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vectors import dot
+from ..functions.vectors import dot, norm
 
 
 def ranked(scored: DataFrame, top: int | None, tie: str = "cluster_ord") -> DataFrame:
@@ -87,6 +87,20 @@ def union_ranking(first: DataFrame, second: DataFrame) -> DataFrame:
     return best.select("qid", "cluster_id", F.when(F.col("at.list") == 0, "first").otherwise("second").alias("origin"), r.cast("long").alias("rank"))
 
 
+def baseline_ranking(queries: DataFrame, clusters: DataFrame, top: int = 10, guard: float = 1e-8) -> DataFrame:
+    """qid, cluster_id, rank, score, random: the ranking of an outside model, by the cosine of queries (qid, vec) and of
+    its mean vectors (cluster_id, cluster_ord, vec), each length with a guard.
+
+    A query that the model has no vector for is ranked by a hash of query and cluster, and says so.
+    """
+    q = queries.select("qid", F.col("vec").alias("_q"))
+    cosine = dot(F.col("_q"), F.col("vec")) / ((norm(F.col("_q")) + guard) * (norm(F.col("vec")) + guard))
+    both = q.join(clusters.select("cluster_id", "cluster_ord", "vec"), F.lit(True)).withColumn("score", cosine)
+    h = F.md5(F.concat_ws("|", F.col("qid").cast("string"), F.col("cluster_id").cast("string")))
+    r = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc_nulls_last("score"), F.when(F.col("score").isNull(), h), "cluster_ord"))
+    return both.select("qid", "cluster_id", r.cast("long").alias("rank"), "score", F.col("_q").isNull().alias("random")).filter(F.col("rank") <= top)
+
+
 def random_ranking(queries: DataFrame, clusters: DataFrame, run: Column, top: int = 10) -> DataFrame:
     """A baseline that repeats: by a hash of query, cluster and run (a column of queries or a constant)."""
     h = F.md5(F.concat_ws("|", F.col("qid").cast("string"), "cluster_id", F.col("_run").cast("string")))

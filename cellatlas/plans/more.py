@@ -50,7 +50,9 @@ def gene_prefix_search(a):
 
 @query("SELECT DISTINCT gene FROM expr WHERE starts_with(upper(gene), 'G1')", CELLS, SPARSE)
 def gene_prefix_hits(a):
-    return a.sparse.filter(F.upper("gene").startswith("G1")).select("gene").distinct()
+    from ..edge.engine import Engine
+
+    return Engine(a.clusters, a.sparse_stats).genes_like("g1")
 
 
 @query("SELECT cell_id FROM cells WHERE cluster_id = 'NATION_3' ORDER BY cell_id LIMIT 20", CELLS)
@@ -63,7 +65,7 @@ def metadata_of_cluster(a):
     return rounded(a.meta.filter("cluster_id = 'NATION_3'").select("col", "value", "frac"))
 
 
-@query("SELECT unnest(['segment', 'balance']) AS col")
+@query("SELECT col FROM (SELECT 'cluster_id' AS col, count(DISTINCT cluster_id) AS n FROM cells UNION ALL SELECT 'segment', count(DISTINCT segment) FROM cells UNION ALL SELECT 'balance', count(DISTINCT balance) FROM cells UNION ALL SELECT 'x', count(DISTINCT x) FROM cells) WHERE n BETWEEN 2 AND 20", CELLS)
 def metadata_columns(a):
     """Found by counting values; the names are few, so they come back by way of the driver."""
     return a.spark.createDataFrame([(c,) for c in meta.chosen_columns(a.cells, ["cluster_id", "segment", "balance", "x"], 20)], "col string")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evalkit, genesets, interact, meta, names, profile, rank, stats
-from . import cells, more  # noqa: F401  register their queries
+from . import cells, more, views  # noqa: F401  register their queries
 from .base import QUERIES, SQL, query, rounded
 from .fixture import ASKED, CELLS, DENSE, META, PAIRS, SETS, SPARSE, STATS, VECTORS, Atlas
 
@@ -53,6 +53,12 @@ def ranksum_z(a):
     return rounded(stats.rank_sums(a.dense.withColumn("value", F.round("value", 9)), a.cells))
 
 
+@query("SELECT cluster_id, gene, round(z, 6) AS z FROM zs", CELLS, DENSE, RANKS)
+def ranksum_of_batches(a):
+    """From counts of even and odd cells that were added one after the other."""
+    return rounded(views._counts(a, a.dense.withColumn("value", F.round("value", 9))).rank_sums())
+
+
 @query(
     """, p AS (SELECT cluster_id, gene, exp(-abs(z)) AS p FROM zs), pr AS (SELECT *, count(*) OVER (PARTITION BY cluster_id) AS n, row_number() OVER (PARTITION BY cluster_id ORDER BY round(p, 9), gene) AS rk FROM p)
 SELECT cluster_id, gene, round(least(1.0, min(round(p, 9) * n / rk) OVER (PARTITION BY cluster_id ORDER BY rk DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS p_adj FROM pr""",
@@ -82,9 +88,10 @@ def inverted_index(a):
     return rounded(stats.inverted_index(a.sparse_stats).select("gene_u", F.inline("clusters")).select("gene_u", "cluster_id", "score", "specificity"))
 
 
-@query("SELECT upper(gene) AS gene_u FROM expr GROUP BY 1", CELLS, SPARSE)
+@query("SELECT DISTINCT upper(gene) AS gene_u FROM (SELECT gene FROM expr UNION ALL SELECT p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey))", CELLS, SPARSE)
 def gene_universe(a):
-    return stats.gene_universe(a.sparse_stats, a.sparse_stats)
+    """Genes of two tables of statistics."""
+    return stats.gene_universe(a.sparse_stats, a.dense_stats)
 
 
 @query("SELECT gene, round(s / n, 6) AS mean, round(q / n - (s / n) * (s / n), 6) AS variance, round((q / n - (s / n) * (s / n)) / (s / n), 6) AS dispersion FROM (SELECT gene, sum(value) AS s, sum(value * value) AS q, (SELECT count(*) FROM cells) AS n FROM expr GROUP BY gene) ORDER BY (q / n - (s / n) * (s / n)) / (s / n) DESC, gene LIMIT 20", CELLS, DENSE)
@@ -507,12 +514,24 @@ def fold_changes_in_order(a):
     return rounded(meta.changes_in_order(meta.fold_changes(shares)).select("cluster_id", "fold_change", "place"))
 
 
-@query("SELECT 'segment' AS col, 'keyword' AS how")
+FOUND = """cols AS (SELECT col_ord, col, count(DISTINCT value) AS n, translate(lower(col), '_-', '  ') AS name FROM meta GROUP BY 1, 2),
+kws AS (SELECT * FROM (VALUES (0, 'disease'), (1, 'market segment')) t(kw_ord, kw)),
+named AS (SELECT 0 AS how, kw_ord, col_ord, col FROM cols JOIN kws ON n BETWEEN 2 AND 10 AND (contains(name, kw) OR contains(kw, name)) UNION ALL SELECT 1, 0, col_ord, col FROM cols WHERE n = 2 AND NOT contains(name, 'batch'))"""
+
+
+@query("SELECT col, CASE how WHEN 0 THEN 'keyword' ELSE 'binary' END AS how FROM named ORDER BY named.how, kw_ord, col_ord LIMIT 1", CELLS, META, FOUND)
 def detect_condition(a):
     return meta.detect_condition(a.meta, a.spark.createDataFrame([(0, "disease"), (1, "market segment")], "kw_ord int, kw string"), ["batch"])
 
 
-@query("SELECT 'balance' AS col, 'neg' AS group_a, 'pos' AS group_b")
+@query("SELECT 'none' AS asked, col, CASE how WHEN 0 THEN 'keyword' ELSE 'binary' END AS how FROM named WHERE named.how = 1 ORDER BY col_ord LIMIT 1", CELLS, META, FOUND)
+def detect_binary_condition(a):
+    """No keyword fits, so a column of two values is taken."""
+    found = meta.detect_condition(a.meta, a.spark.createDataFrame([(0, "disease")], "kw_ord int, kw string"), ["batch"])
+    return found.select(F.lit("none").alias("asked"), "col", "how")
+
+
+@query("SELECT col, max(CASE WHEN lower(value) = 'neg' THEN value END) AS group_a, max(CASE WHEN lower(value) = 'pos' THEN value END) AS group_b FROM meta WHERE lower(value) IN ('neg', 'pos') GROUP BY col_ord, col ORDER BY col_ord LIMIT 1", CELLS, META)
 def group_column(a):
     return meta.group_column(a.meta, "NEG", "Pos")
 

@@ -40,7 +40,7 @@ def test_bad_compare():
         commands.parse("compare: only one")
 
 
-@pytest.mark.parametrize("line", ["info", "semantic: nation_3", "hybrid: nation_3 cells", "discover: nation_3", "interactions: nation_3 -> nation_5", "proportions", "proportions: balance", "pathway: promo", "genes: a", "metadata: NATION_3", "cells: NATION_3", "specificity"])
+@pytest.mark.parametrize("line", ["info", "capabilities", "annotation: nation_3", "semantic: nation_3", "hybrid: nation_3 cells", "discover: nation_3", "interactions: nation_3 -> nation_5", "proportions", "proportions: balance", "pathway: promo", "genes: a", "metadata: NATION_3", "cells: NATION_3", "specificity"])
 def test_commands_run(engine, line):
     assert commands.run(engine, line).limit(3).collect() is not None
 
