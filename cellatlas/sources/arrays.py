@@ -4,6 +4,10 @@
 
 * `atlas_vectors`: an .npz archive of vectors (rows x places) and their ids, with labels if it has them. Columns id,
   vec, label.
+* `atlas_table`: the table `obs` (cells) or `var` (genes) beside a matrix, with the number of the row as `row` and the
+  names of rows as `name`; columns of numbers are doubles, all others text. In an .npz archive its members are
+  `obs/_index` and `obs/<column>`, or `obs/<column>/codes` and `obs/<column>/categories`; in an .h5ad file they are so
+  called by the format. Option table: obs or var.
 * `atlas_matrix`: a matrix of cells x genes, as an .npz archive (a dense `X`, or CSR or CSC in the members data,
   indices, indptr, shape, format) or, where h5py is installed, an .h5ad file. Columns cell, gene (numbers of row and
   column), value: the entries that aren't zero.
@@ -22,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
 BLOCK = 1 << 16
 
@@ -71,7 +76,14 @@ def _opened(path: str):
         with h5py.File(path) as f:
             x = f["X"]
             kind = "dense" if isinstance(x, h5py.Dataset) else str(x.attrs.get("encoding-type", "csr_matrix"))[:3]
-            yield (lambda name: Dataset(x if name == "X" else x[name])), kind
+
+            def member(name: str) -> Dataset:
+                if name.endswith("/_index"):
+                    group = f[name.removesuffix("/_index")]
+                    return Dataset(group[group.attrs.get("_index", "_index")])
+                return Dataset(f[name] if "/" in name or name == "X" else x[name])
+
+            yield member, kind
     else:
         with zipfile.ZipFile(path) as archive:
             names = {n.removesuffix(".npy") for n in archive.namelist()}
@@ -128,6 +140,69 @@ class VectorSource(DataSource):
         return _VectorReader(self.options, "label" in schema.names)
 
 
+def _columns(path: str, table: str) -> dict[str, bool]:
+    """The table's columns, and whether each is categorical."""
+    if path.endswith(".h5ad"):
+        import h5py
+
+        with h5py.File(path) as f:
+            group = f[table]
+            index = group.attrs.get("_index", "_index")
+            return {c: not isinstance(v, h5py.Dataset) for c, v in group.items() if c != index and not c.startswith("__")}
+    with zipfile.ZipFile(path) as archive:
+        names = [n.removesuffix(".npy").removeprefix(f"{table}/") for n in archive.namelist() if n.startswith(f"{table}/")]
+    plain = {n: False for n in names if "/" not in n and n != "_index"}
+    return plain | {n.removesuffix("/codes"): True for n in names if n.endswith("/codes")}
+
+
+def _text(x) -> str:
+    return x.decode() if isinstance(x, bytes) else str(x)
+
+
+class _TableReader(_Reader):
+    def __init__(self, options, schema):
+        super().__init__(options)
+        self.table, self.fields = options.get("table", "obs"), [(f.name, f.dataType.simpleString() == "double") for f in schema.fields[2:]]
+
+    def partitions(self) -> list[Block]:
+        with _opened(self.path) as (member, _):
+            return _blocks(member(f"{self.table}/_index").shape[0], self.size)
+
+    def read(self, partition: Block) -> Iterator[pa.RecordBatch]:
+        categorical = _columns(self.path, self.table)
+        with _opened(self.path) as (member, _):
+            for s in range(partition.start, partition.stop, 1 << 14):
+                e = min(s + (1 << 14), partition.stop)
+                columns = [pa.array(np.arange(s, e)), pa.array([_text(x) for x in member(f"{self.table}/_index").rows(s, e).tolist()], pa.string())]
+                for name, number in self.fields:
+                    if categorical[name]:
+                        codes, values = member(f"{self.table}/{name}/codes").rows(s, e), member(f"{self.table}/{name}/categories")
+                        words = [_text(x) for x in values.rows(0, values.shape[0]).tolist()]
+                        columns.append(pa.array([words[c] if c >= 0 else None for c in codes.tolist()], pa.string()))
+                    else:
+                        x = member(f"{self.table}/{name}").rows(s, e)
+                        columns.append(pa.array(x.astype(np.float64)) if number else pa.array([_text(v) for v in x.tolist()], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "name", *[n for n, _ in self.fields]])
+
+
+class TableSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "atlas_table"
+
+    def schema(self) -> StructType:
+        path, table = self.options["path"], self.options.get("table", "obs")
+        out = StructType().add("row", LongType()).add("name", StringType())
+        with _opened(path) as (member, _):
+            for column, categorical in _columns(path, table).items():
+                number = not categorical and member(f"{table}/{column}").rows(0, 0).dtype.kind in "iuf"
+                out = out.add(column, DoubleType() if number else StringType())
+        return out
+
+    def reader(self, schema) -> DataSourceReader:
+        return _TableReader(self.options, schema)
+
+
 class _MatrixReader(_Reader):
     def partitions(self) -> list[Block]:
         with _opened(self.path) as (member, kind):
@@ -169,4 +244,5 @@ class MatrixSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(VectorSource)
+    spark.dataSource.register(TableSource)
     spark.dataSource.register(MatrixSource)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -90,34 +89,32 @@ def aligned_vectors(clusters: DataFrame, vectors: DataFrame, dims: int) -> DataF
 
 
 def read_npz(spark: SparkSession, path: str, ids: str = "orig_ids", vectors: str = "transcriptome_embeds") -> DataFrame:
-    """id, vec of a numpy archive that the driver can open; for tables of the size of one file."""
-    import numpy as np
-
-    with np.load(path, allow_pickle=False) as z:
-        rows = [(str(i), [float(x) for x in v]) for i, v in zip(z[ids], z[vectors], strict=True)]
-    return spark.createDataFrame(rows, "id string, vec array<double>")
-
-
-def read_h5ad(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """cells, genes and expr of an AnnData file with a CSR matrix; needs h5py."""
-    if importlib.util.find_spec("h5py") is None:
-        raise ImportError("h5py is needed to read h5ad; land the atlas as Parquet tables instead")
-    import h5py
-    import pandas as pd
-
-    with h5py.File(path) as f:
-        text = lambda x: [i.decode() if isinstance(i, bytes) else str(i) for i in x]
-        index = lambda g: text(g[g.attrs["_index"]][:])
-        cells, genes = index(f["obs"]), index(f["var"])
-        x = f["X"]
-        starts, at, values = x["indptr"][:], x["indices"][:], x["data"][:]
-        obs = {c: text(v[:]) if isinstance(v, h5py.Dataset) else [text(v["categories"][:])[i] if i >= 0 else None for i in v["codes"][:]] for c, v in f["obs"].items() if c != f["obs"].attrs["_index"]}
-    rows = pd.DataFrame({"cell_id": [c for c, n in zip(cells, starts[1:] - starts[:-1], strict=True) for _ in range(n)], "gene": [genes[i] for i in at], "value": values.astype(float)})
-    return {
-        "cells": spark.createDataFrame(pd.DataFrame({"cell_id": cells, **obs})),
-        "genes": spark.createDataFrame(pd.DataFrame({"gene_idx": range(len(genes)), "ensembl_id": genes, "symbol": genes})),
-        "expr": spark.createDataFrame(rows[rows.value != 0]),
-    }
+    """id, vec and, where the archive has labels, label: read by blocks of rows (see sources.arrays)."""
+    from . import arrays
+
+    arrays.register(spark)
+    return spark.read.format("atlas_vectors").option("path", path).option("ids", ids).option("vectors", vectors).load()
+
+
+def read_atlas(spark: SparkSession, path: str, block: int | None = None) -> dict[str, DataFrame]:
+    """cells, genes and expr of an .h5ad file (needs h5py) or of an .npz archive of the same members.
+
+    cells: cell_id and the columns of obs. genes: gene_idx, ensembl_id and symbol, from the first known symbol column
+    that holds symbols, else the names themselves; repeated symbols get a number. expr: cell_id, gene (the symbol),
+    value, without zeros. All are read by blocks of rows (see sources.arrays); nothing passes the driver but names of
+    columns.
+    """
+    from . import arrays
+
+    arrays.register(spark)
+    read = lambda kind, **more: spark.read.format(kind).options(path=path, **({"block": block} if block else {}), **more).load()
+    obs, var = read("atlas_table", table="obs"), read("atlas_table", table="var").withColumnsRenamed({"row": "gene_idx", "name": "ensembl_id"})
+    known = symbol_column(var)
+    genes = unique_symbols(var.select("gene_idx", "ensembl_id", F.col(known or "ensembl_id").alias("symbol")))
+    entries = read("atlas_matrix")
+    expr = entries.join(genes.select(F.col("gene_idx").alias("gene"), "symbol"), "gene").drop("gene")
+    expr = expr.join(obs.select(F.col("row").alias("cell"), F.col("name").alias("cell_id")), "cell").select("cell_id", F.col("symbol").alias("gene"), "value")
+    return {"cells": obs.drop("row").withColumnRenamed("name", "cell_id"), "genes": genes, "expr": expr}
 
 
 def read_gmt(spark: SparkSession, path: str, collection: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from cellatlas.sources import arrays
+from cellatlas.sources import arrays, catalog
 
 
 @pytest.fixture(scope="module")
@@ -54,6 +54,28 @@ def test_vectors(formats, tmp_path):
     assert plain.columns == ["id", "vec"] and sorted(r["id"] for r in plain.collect()) == ["0", "1", "2"]
 
 
+def test_atlas(spark, matrix, tmp_path):
+    """Cells, genes and values of one archive; symbols are mapped and made unique, codes are laid out."""
+    path = str(tmp_path / "atlas.npz")
+    symbols = np.array(["A", "B", "A", *[f"S{i}" for i in range(10)]])
+    obs = {"obs/_index": np.array([f"cell{i}" for i in range(101)]), "obs/depth": np.arange(101.0), "obs/kind/codes": (np.arange(101) % 3 - 1).astype(np.int8), "obs/kind/categories": np.array(["x", "y"])}
+    var = {"var/_index": np.array([f"ENSG{i:05d}.1" for i in range(13)]), "var/feature_name": symbols}
+    np.savez_compressed(path, **compressed_rows(matrix), format=np.array([b"csr"]), **obs, **var)
+    found = catalog.read_atlas(spark, path, block=20)
+    cells = {r["cell_id"]: (r["depth"], r["kind"]) for r in found["cells"].collect()}
+    assert len(cells) == 101 and cells["cell0"] == (0.0, None) and cells["cell1"] == (1.0, "x") and cells["cell2"] == (2.0, "y")
+    unique = [r["symbol"] for r in found["genes"].orderBy("gene_idx").collect()]
+    assert unique[:3] == ["A", "B", "A-1"]
+    expr = {(r["cell_id"], r["gene"]): r["value"] for r in found["expr"].collect()}
+    assert expr == {(f"cell{i}", unique[j]): matrix[i, j] for i, j in zip(*np.nonzero(matrix))}
+
+
+def test_h5ad_without_h5py(formats, tmp_path):
+    (tmp_path / "x.h5ad").write_bytes(b"")
+    with pytest.raises(Exception, match="h5py is needed"):
+        formats.format("atlas_matrix").option("path", str(tmp_path / "x.h5ad")).load().collect()
+
+
 def test_odd_files(formats, tmp_path):
     path = str(tmp_path / "none.npz")
     np.savez(path, X=np.zeros((0, 3), np.float32))
