@@ -141,7 +141,8 @@ def base_id(ensembl: Column) -> Column:
 
 
 def percent_text(value: Column, share: Column) -> Column:
-    return F.format_string("%s (%.0f%%)", value, share * 100)
+    """The value and its share in whole percent, halves to the even one."""
+    return F.concat(value, F.lit(" ("), F.rint(share * 100).cast("int").cast("string"), F.lit("%)"))
 
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from ..functions.text import percent_text
 from ..functions.vectors import mixed, normalized
 
 TextEncoder = Callable[[list[str]], list[list[float]]]
@@ -89,7 +90,7 @@ def summaries(clusters: DataFrame, genes: DataFrame, terms: DataFrame | None = N
         own = own.join(listed(terms, "term", ["source", "rank"], "_terms"), "cluster_id", "left")
         parts.append(F.when(F.col("_terms").isNotNull(), F.concat(F.lit("Enriched terms: "), "_terms")))
     if meta is not None:
-        text = F.format_string("%s %s (%.0f%%)", "col", "value", F.col("frac") * 100)
+        text = F.concat_ws(" ", "col", percent_text(F.col("value"), F.col("frac")))
         own = own.join(listed(meta.filter("frac >= 0.05").withColumn("t", text), "t", ["col", "frac"], "_meta"), "cluster_id", "left")
         parts.append(F.when(F.col("_meta").isNotNull(), F.concat(F.lit("Composition: "), "_meta")))
     return own.select("cluster_id", F.concat("cluster_id", F.lit(" cell type")).alias("identity_text"), F.concat_ws(". ", F.concat(F.lit("Cluster "), "cluster_id"), *parts).alias("context_text"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evalkit, genesets, interact, meta, names, profile, rank, stats
-from . import cells, more, views  # noqa: F401  register their queries
+from . import cells, more, paths, views  # noqa: F401  register their queries
 from .base import QUERIES, SQL, query, rounded
 from .fixture import ASKED, CELLS, DENSE, META, PAIRS, SETS, SPARSE, STATS, VECTORS, Atlas
 
