@@ -30,6 +30,11 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}")
 
 
+def has_table(spark: SparkSession, root: str, name: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True)
 
