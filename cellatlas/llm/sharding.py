@@ -30,19 +30,20 @@ def shard(df: DataFrame, key: str = "doc_id", weights: Sequence[float] = (1.0,)
     """df with `shard` (int) and `slot` (long), gapless from 0 in each shard.
 
     Slots are dealt in `slices` slices of a shard (as many as Spark's shuffle partitions by default), by a hash of the
-    key: a narrow count of each slice gives where it begins, so no task orders a whole shard. Rows of one key lie in
-    one slice; repeated rows get a slot each, null keys too; of rows that tie in key and whole numbers, either may come
-    first. An empty table gives an empty one. Columns named shard or slot give way; the others stay as they are, in
+    key and of the columns of whole numbers: a narrow count of each slice gives where it begins, so no task orders a
+    whole shard, nor all rows of a hot or null key, unless they are alike in all of these. Repeated rows get a slot
+    each, null keys too; of rows that tie in key and whole numbers, either may come first. An empty table gives an empty one. Columns named shard or slot give way; the others stay as they are, in
     front, whatever their names. Texts are not read.
     """
     slices = slices or max(64, partitions(df.sparkSession))
     rows = df.drop("shard", "slot")
     part, at, first = (fresh(rows, c) for c in ("slice", "at", "first"))
-    own = rows.withColumn("shard", rendezvous(F.col(key), weights)).withColumn(part, F.pmod(F.xxhash64(F.col(key), F.lit("slice")), F.lit(slices)).cast("int"))
+    whole = [F.col(f"`{c}`") for c, t in rows.dtypes if c == key or t in ("bigint", "int")]
+    own = rows.withColumn("shard", rendezvous(F.col(key), weights)).withColumn(part, F.pmod(F.xxhash64(F.lit("slice"), *whole), F.lit(slices)).cast("int"))
     before = Window.partitionBy("shard").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     # len(weights) * slices rows at most, whatever the input
     starts = own.groupBy("shard", part).agg(F.count("*").alias(first)).select("shard", part, F.coalesce(F.sum(first).over(before), F.lit(0)).alias(first))
-    within = Window.partitionBy("shard", part).orderBy(*[F.col(f"`{c}`") for c, t in rows.dtypes if c == key or t in ("bigint", "int")])
+    within = Window.partitionBy("shard", part).orderBy(*whole)
     placed = own.withColumn(at, F.row_number().over(within)).join(F.broadcast(starts), ["shard", part])
     return placed.select(*[F.col(f"`{c}`") for c in rows.columns], "shard", (F.col(first) + F.col(at) - 1).alias("slot"))
 

@@ -74,3 +74,17 @@ def test_own_columns_stay(spark, odd):
     out = shard(odd)
     assert out.columns == [*(c for c in odd.columns if c not in ("shard", "slot")), "shard", "slot"]
     assert {(r["_slice"], r["_at"], r["slice"]) for r in out.collect()} == {(r["_slice"], r["_at"], r["slice"]) for r in odd.collect()}
+
+
+def test_hot_null_key(spark):
+    """A hundred thousand rows without a key: all in one shard, gapless, and ordered by several tasks."""
+    df = spark.range(100_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.col("id").alias("size"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = shard(df).select("shard", "slot", F.spark_partition_id().alias("task"))
+        by_task = Counter(r["task"] for r in found.select("task").collect())
+        one = found.agg(F.count_distinct("shard"), F.count_distinct("slot"), F.min("slot"), F.max("slot")).first()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert tuple(one) == (1, 100_000, 0, 99_999) and len(by_task) == 4 and max(by_task.values()) < 50_000
