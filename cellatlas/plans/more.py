@@ -43,9 +43,11 @@ def random_monte_carlo(a):
     return rounded(evalkit.monte_carlo(every.groupBy("qid", "run").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("recall_at_10")), "recall_at_10"))
 
 
-@query("SELECT DISTINCT gene FROM expr WHERE starts_with(upper(gene), 'A')", CELLS, DENSE)
+@query("SELECT DISTINCT gene FROM expr WHERE starts_with(upper(gene), 'RE')", CELLS, DENSE)
 def gene_prefix_search(a):
-    return a.dense.filter(F.upper("gene").startswith("A")).select("gene").distinct()
+    from ..edge.engine import Engine
+
+    return Engine(a.clusters, a.dense_stats).genes_like("re")
 
 
 @query("SELECT DISTINCT gene FROM expr WHERE starts_with(upper(gene), 'G1')", CELLS, SPARSE)
@@ -84,6 +86,7 @@ mt AS (SELECT cluster_id, string_agg(col || ' ' || value || ' (' || CAST(round_e
 
 @query("SELECT cluster_id, cluster_id || ' cell type' AS identity_text, 'Cluster ' || cluster_id || '. Marker genes: ' || genes AS context_text FROM tg", CELLS, DENSE, STATS, META, SUMMARY)
 def cluster_summaries(a):
+    """With five genes each; cluster_summaries_default has the operator's own number."""
     return encode.summaries(a.clusters, rank.top_genes(a.dense_stats.withColumn("logfc", F.round("logfc", 9)), 5))
 
 

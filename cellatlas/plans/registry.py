@@ -96,6 +96,7 @@ def gene_universe(a):
 
 @query("SELECT gene, round(s / n, 6) AS mean, round(q / n - (s / n) * (s / n), 6) AS variance, round((q / n - (s / n) * (s / n)) / (s / n), 6) AS dispersion FROM (SELECT gene, sum(value) AS s, sum(value * value) AS q, (SELECT count(*) FROM cells) AS n FROM expr GROUP BY gene) ORDER BY (q / n - (s / n) * (s / n)) / (s / n) DESC, gene LIMIT 20", CELLS, DENSE)
 def variable_genes(a):
+    """The first twenty; variable_genes_default has the operator's own number."""
     return rounded(stats.variable_genes(a.dense, a.cells, 20))
 
 
@@ -715,6 +716,7 @@ TOPG = "tg AS (SELECT DISTINCT qid, gene_u FROM (SELECT cluster_id, gene_u, row_
 
 @query("SELECT qid, round(avg(CASE WHEN (qid, gene_u) IN (SELECT (qid, gene_u) FROM tg) THEN 1.0 ELSE 0 END), 6) AS gene_recall FROM eg GROUP BY 1", CELLS, DENSE, STATS, TWO, TOPG)
 def gene_recall(a):
+    """Of ten genes a cluster; gene_recall_default has the operator's own number."""
     found = evalkit.genes_of_clusters(_two(a)[0], a.dense_stats.withColumn("logfc", F.round("logfc", 9)), 3, 10)
     expected = a.table("part").select(F.lit(1).cast("long").alias("qid"), F.upper("p_name").alias("gene_u"))
     return rounded(evalkit.gene_recall(expected, found))
@@ -722,12 +724,14 @@ def gene_recall(a):
 
 @query("SELECT count(*) AS n_expected, CAST(sum(h) AS BIGINT) AS n_found, CAST(sum(1 - h) AS BIGINT) AS n_missed, round(avg(h), 6) AS recall FROM (SELECT gene_u, CASE WHEN gene_u IN (SELECT gene_u FROM tg) THEN 1 ELSE 0 END AS h FROM eg)", CELLS, DENSE, STATS, TWO, TOPG)
 def compare_recall(a):
+    """Of ten genes a cluster; compare_recall_default has the operator's own number."""
     found = evalkit.genes_of_clusters(_two(a)[0], a.dense_stats.withColumn("logfc", F.round("logfc", 9)), 3, 10)
     return rounded(evalkit.overlap_recall(a.table("part").select(F.upper("p_name").alias("gene_u")), found, "gene_u"))
 
 
 @query("SELECT gene_u, count(DISTINCT part) AS n_parts FROM (SELECT gene_u, 'a' AS part FROM tg UNION ALL SELECT gene_u, 'b' FROM eg) GROUP BY 1", CELLS, DENSE, STATS, TWO, TOPG)
 def session_evidence(a):
+    """Of ten genes a cluster; session_evidence_default has the operator's own number."""
     found = evalkit.genes_of_clusters(_two(a)[0], a.dense_stats.withColumn("logfc", F.round("logfc", 9)), 3, 10)
     return evalkit.evidence(a=found, b=a.table("part").select(F.upper("p_name").alias("gene_u")))
 
