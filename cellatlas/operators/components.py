@@ -99,8 +99,10 @@ def _projected(rows: DataFrame, mean: np.ndarray, weights: np.ndarray, key: str)
 
 
 def _decomposed(rows: DataFrame, mean: np.ndarray, n: int, dims: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (genes x dims) and variances of the first components of rows (id, at, values)."""
+    """Weights (genes x dims) and variances of the first components of rows (id, at, values); none without rows or genes."""
     genes = len(mean)
+    if not genes or not n:
+        return np.zeros((genes, 0)), np.zeros(0)
     width = min(genes, dims + EXTRA)
     start = np.random.default_rng(SEED).normal(size=(genes, width)) if width < genes else np.eye(genes)
     basis, images = np.zeros((genes, 0)), np.zeros((genes, 0))

@@ -90,6 +90,16 @@ def test_vectors(spark):
     assert np.allclose(variances, values) and np.allclose(y.var(0, ddof=1), values)
 
 
+def test_components_of_nothing(spark):
+    cells = spark.createDataFrame([(1,), (2,)], "cell_id bigint")
+    none = spark.createDataFrame([], "cell_id bigint, gene string, value double")
+    found = components.principal_components(none, cells)
+    assert [tuple(r) for r in found.scores.orderBy("cell_id").collect()] == [(1, []), (2, [])] and len(found.variances) == 0
+    assert components.principal_components(none, cells.limit(0)).scores.collect() == []
+    vectors, variances = components.vector_components(spark.createDataFrame([], "id long, vec array<double>"))
+    assert vectors.collect() == [] and len(variances) == 0
+
+
 def test_build(spark, atlas, tmp_path):
     """Cells that come without clusters: the three kinds are found, and an engine answers from what was written."""
     expr, cells = atlas
