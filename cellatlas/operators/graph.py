@@ -88,7 +88,8 @@ def neighbours(vectors: DataFrame, k: int = 15, key: str = "id", vec: str = "vec
     Rows lie in inverted lists around centroids, which are fitted on SAMPLE rows at most. With `probes` a row looks into
     that many lists, the nearest first: work in proportion to the rows, and some neighbours may be missed. Without, it
     looks into its own list, and then into each one that can hold something nearer than what it has, by the distance
-    of the list's centre less the list's radius: exact, and as cheap as the vectors are clustered.
+    of the list's centre less the list's radius: exact, and as cheap as the vectors are clustered. Where rows would
+    visit more lists than there are blocks of TASK rows, blocks meet blocks instead.
 
     Ids are unique. Rows with a null vector are left out. Of equal vectors the first k + 1 ids can be anyone's
     neighbours, so only these are looked at, and equal vectors search once. Fewer than k others give what there is.
@@ -139,8 +140,18 @@ def neighbours(vectors: DataFrame, k: int = 15, key: str = "id", vec: str = "vec
             for r in members.groupBy("list").agg(F.max("away").alias("r")).collect():  # a row a list
                 radius[r["list"]] = r["r"]
             bound = home.groupBy("ask").agg(F.when(F.count("*") > k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("bound"))
-            out = st.table(asks.join(bound, "ask", "left").select("ask", "v", "list", F.coalesce("bound", F.lit(float("inf"))).alias("bound")).mapInArrow(lambda x: visiting(x, radius), visit), "visits")
-            found = home.unionByName(_met(out, members, k + 1))
+            bounded = asks.join(bound, "ask", "left").select("ask", "v", "list", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+
+            def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in visiting(batches, radius):
+                    yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+            visits = bounded.mapInArrow(counted, "n long").agg(F.sum("n")).first()[0] or 0
+            if visits > n * -(-n // TASK):  # without structure: blocks of all rows carry each vector less often
+                whole = lambda df: df.withColumn("list", F.lit(0))
+                found = _met(whole(asks), whole(members), k + 1)
+            else:
+                found = home.unionByName(_met(st.table(bounded.mapInArrow(lambda x: visiting(x, radius), visit), "visits"), members, k + 1))
         best = st.table(_nearest(found, "ask", k + 1).drop("rank"), "nearest")
         copies = rows.join(asks.select("ask", "v"), "v").select("id", "ask")
         return _nearest(copies.join(best, "ask").filter("id <> other").select("id", "other", "distance"), "id", k)
