@@ -4,8 +4,10 @@ Equal sets are one class from the start. Classes that share a band are candidate
 a cluster. A cluster of at most BLOCK classes is compared exactly, all with all. In larger ones, blocks come first:
 random ones of the cluster and of two bands' buckets, which join nearly all of what belongs together. What these links
 leave apart is then joined by prefixes: shingles are ordered by how rare they are, and two sets that are similar enough
-share one of the first few, at places that leave enough behind it. Sets that share a template and nothing rare never
-meet there, so the work doesn't grow with the square of a template's pages. Pairs that pass are compared on whole sets.
+share one of the first few, at places that leave enough behind it. Shingles that the same sets have count as one unit
+there. Sets that share a template and nothing rare never meet, so the work doesn't grow with the square of a template's
+pages; where pages stay apart although they share rare passages, the pairs that do still grow with the square of these
+pages. Pairs that pass are compared on all that their sets have in common.
 """
 
 from __future__ import annotations
@@ -241,44 +243,60 @@ def elements(members: DataFrame, sets: DataFrame) -> DataFrame:
     return members.join(sets, "id").select("id", "part", "set").mapInArrow(each, "id bigint, part bigint, n bigint, w bigint")
 
 
-def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different parts that may be similar enough, from rows (id, part, n, w); none that is gets lost.
+def units(rows: DataFrame) -> DataFrame:
+    """id, part, n, u, f, k and apart, from rows (id, part, n, w): elements that the same sets have are one unit.
 
-    The elements of a set are ordered by how often they occur, then by value. Let a be the longer set and `need` the
-    least size of the intersection. The first common element stands at place n - need of its set at the latest, which
-    bounds the prefixes that are joined; and the common elements of the prefixes, with the shorter of the two rests
-    behind the last one, must come to `need`.
+    u names a unit, by a hash of the ids of its f sets, and k says how many elements it has; `apart`: whether these sets
+    are of several parts. What pages took over from one passage are a few units instead of a row for each shingle.
+    Elements of one set alone are left out.
     """
-    often = rows.groupBy("w").agg(F.count("*").alias("f"), F.min("part").alias("low"), F.max("part").alias("high")).filter("f > 1")
-    # elements that only one set has come first and meet nothing: they only move the others back
-    common = rows.join(often, "w")
-    own = Window.partitionBy("id")
-    placed = common.withColumn("at", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("f", "w")) - 1)
-    entries = written(placed.filter(f"low < high AND at <= n - ceil(n * {percent} / 100)").select("w", "id", "part", "n", "at"), "prefixes")
-    a = entries.toDF("w", "a", "pa", "na", "ia")
-    b = entries.filter(f"at <= n - ceil(n * {2 * percent} / {100 + percent})").toDF("w", "b", "pb", "nb", "ib")
+    of = rows.groupBy("w").agg(F.count("*").alias("f"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), (F.min("part") < F.max("part")).alias("apart")).filter("f > 1")
+    named = of.select("w", "f", F.xxhash64("f", "x", "y").alias("u"), "apart")
+    return rows.join(named, "w").groupBy("id", "part", "n", "f", "u", "apart").agg(F.count("*").alias("k"))
+
+
+def prefix_pairs(own: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different parts that may be similar enough, from units; none that is gets lost.
+
+    The units of a set are ordered by how many sets have them, then by name; elements that only one set has stand before
+    them. Let a be the longer set and `need` the least size of the intersection. The first common unit begins at place
+    n - need of its set at the latest, which bounds the prefixes that are joined; and the common units of the prefixes,
+    with the shorter of the two rests behind the last one, must come to `need` elements.
+    """
+    of = Window.partitionBy("id")
+    before = F.sum("k").over(of.orderBy("f", "u").rowsBetween(Window.unboundedPreceding, 0)) - F.col("k")
+    placed = own.withColumn("at", F.col("n") - F.sum("k").over(of) + before)
+    entries = written(placed.filter(f"apart AND at <= n - ceil(n * {percent} / 100)").select("u", "id", "part", "n", "at", "k"), "prefixes")
+    a = entries.toDF("u", "a", "pa", "na", "ia", "k")
+    b = entries.filter(f"at <= n - ceil(n * {2 * percent} / {100 + percent})").drop("k").toDF("u", "b", "pb", "nb", "ib")
     need = F.expr(f"CAST(ceil((na + nb) * {percent} / {100 + percent}) AS bigint)")
     longer = (F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
-    met = a.join(b, "w").filter((F.col("pa") != F.col("pb")) & longer & (F.col("ia") <= F.col("na") - need) & (F.col("ib") <= F.col("nb") - need))
-    pairs = met.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("k"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
-    return pairs.filter(F.col("k") + F.least(F.expr("na - ia - 1"), F.expr("nb - ib - 1")) >= need).select("a", "b")
+    met = a.join(b, "u").filter((F.col("pa") != F.col("pb")) & longer & (F.col("ia") <= F.col("na") - need) & (F.col("ib") <= F.col("nb") - need))
+    pairs = met.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("k").alias("k"), F.max(F.expr("ia + k")).alias("ia"), F.max(F.expr("ib + k")).alias("ib"))
+    return pairs.filter(F.col("k") + F.least(F.expr("na - ia"), F.expr("nb - ib")) >= need).select("a", "b")
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+def similar_pairs(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of different parts that are similar enough: all their common elements lie in common units.
+
+    A set is sent as its units that other parts have too, which is far less than its elements where passages are shared.
+    """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, column="x"):
+        for batch in batches:
+            (x, y), k = ((batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy()) for c in (4, 6)), batch.column(5).values.to_numpy()
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                keep.append(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent))
+            for i, (na, nb) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                s, e = x[0][i : i + 2]
+                common = k[s:e][np.isin(x[1][s:e], y[1][slice(*y[0][i : i + 2])], assume_unique=True)].sum()
+                keep.append(similar(int(common), na, nb, percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     ids = written(pairs.select("a").union(pairs.select("b")).toDF("id").distinct(), "ids")
-    few = sets.join(ids, "id", "left_semi")  # all other sets stay where they are
-    both = pairs.join(few.toDF("a", "x"), "a").join(few.toDF("b", "y"), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
+    few = own.filter("apart").join(ids, "id", "left_semi")  # all other sets stay where they are
+    sets = written(few.groupBy("id").agg(F.first("n").alias("n"), F.collect_list(F.struct("u", "k")).alias("e")).select("id", "n", "e.u", "e.k"), "unit_sets")
+    both = pairs.join(sets.toDF("a", "na", "x", "kx"), "a").join(sets.drop("k").toDF("b", "nb", "y"), "b")
+    return both.select("a", "b", "na", "nb", "x", "kx", "y").mapInArrow(check, "a bigint, b bigint")
 
 
 def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, once: bool = False) -> DataFrame:
@@ -305,8 +323,9 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, once: boo
     first = written(compared(groups, sets, percent), "links")
     joined = components(first.join(many.select(F.col("id").alias("a")), "a", "left_semi"))
     parts = written(many.select("id").join(joined.withColumnRenamed("label", "part"), "id", "left").select("id", F.coalesce("part", "id").alias("part")), "parts")
-    pairs = written(prefix_pairs(elements(parts, sets), percent), "pairs")
-    return first.unionByName(written(similar_pairs(pairs, sets, percent), "links"))
+    own = written(units(elements(parts, sets)), "units")
+    pairs = written(prefix_pairs(own, percent), "pairs")
+    return first.unionByName(written(similar_pairs(pairs, own, percent), "links"))
 
 
 def grouped(df: DataFrame, key: str, text: str, percent: int) -> DataFrame:

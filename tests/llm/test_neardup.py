@@ -205,11 +205,45 @@ def test_prefix_pairs_lose_nothing(spark):
     sets = [np.unique(np.r_[rng.choice(pool, rng.integers(40, 60), replace=False), rng.integers(1 << 62, size=rng.integers(0, 8), dtype=np.uint64)]) for _ in range(120)]
     rows = [(i, i, len(s), int(w)) for i, s in enumerate(sets) for w in s.view(np.int64)]
     for percent in (70, 85, 95):
-        pairs = {tuple(sorted(r)) for r in N.prefix_pairs(spark.createDataFrame(rows, "id bigint, part bigint, n bigint, w bigint"), percent).collect()}
+        pairs = {tuple(sorted(r)) for r in N.prefix_pairs(N.units(spark.createDataFrame(rows, "id bigint, part bigint, n bigint, w bigint")), percent).collect()}
         true = {(i, j) for i in range(120) for j in range(i + 1, 120) if H.similar(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]), percent)}
         assert true <= pairs and len(pairs) < 120 * 119 / 2
 
 
+def option_bank(n, seed=6):
+    """Documents of 40 places, each with one of two passages of its own (0.9 to 0.1): many are nearly alike, many aren't."""
+    rng = random.Random(seed)
+    bank = [[" ".join(f"s{i}o{k}w{j}" for j in range(12)) for k in (0, 1)] for i in range(40)]
+    return [(i, " ".join(bank[j][rng.random() < 0.1] for j in range(40))) for i in range(n)]
+
+
+def test_shared_passages(spark, monkeypatch):
+    """Exact where pages share passages; a passage is joined as a unit, not by each of its shingles."""
+    own, sent = N.units, []
+
+    def counted(rows):
+        found = own(rows)
+        sent.append((rows.count(), found.count()))
+        return found
+
+    monkeypatch.setattr(N, "units", counted)
+    rows = option_bank(700)
+    for percent in (80, 85):
+        found = N.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), percent=percent).collect()
+        assert {r["doc_id"]: r["component_id"] for r in found} == linked(rows, percent)
+    assert all(4 * u < w for w, u in sent), sent
+
+
+def test_units(spark):
+    """Elements that the same sets have are one unit; those of one set alone are none."""
+    sets = {1: [10, 11, 12, 20, 30], 2: [10, 11, 12, 20], 3: [20, 40], 4: [40]}
+    part = {1: 1, 2: 1, 3: 3, 4: 4}
+    rows = [(i, part[i], len(s), w) for i, s in sets.items() for w in s]
+    found = N.units(spark.createDataFrame(rows, "id bigint, part bigint, n bigint, w bigint")).collect()
+    assert sorted((r["id"], r["f"], r["k"], r["apart"]) for r in found) == [(1, 2, 3, False), (1, 3, 1, True), (2, 2, 3, False), (2, 3, 1, True), (3, 2, 1, True), (3, 3, 1, True), (4, 2, 1, True)]
+    assert len({r["u"] for r in found}) == 3
+
+
 def test_recall(spark):
     """Of 1500 pairs that are just similar enough, apart from each other, all are found."""
     rows = []
