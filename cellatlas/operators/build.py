@@ -18,7 +18,7 @@ def cells_in_components(expr: DataFrame, cells: DataFrame, genes: int = 3000, di
     """cell_id, pca: cells in the first components of their scaled variable genes. expr is log-normalized."""
     with stages(cells.sparkSession) as st:
         st = own or st
-        moments = st.table(trend.genes_by_trend(expr, cells, genes).select("gene", "mean", "variance"), "variable")
+        moments = st.table(trend.genes_by_trend(expr, cells, genes, own=st).select("gene", "mean", "variance"), "variable")
         scaled = st.table(components.scaled(expr, moments, most), "scaled")
         return components.principal_components(scaled, cells, dims, own=st).scores
 

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from cellatlas.operators import components
+from cellatlas.operators import components, trend
 from cellatlas.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -28,3 +28,53 @@ def test_products_meet_in_blocks(spark):
     """Pairs of cells aren't joined row by row, and the values behind the components were written once."""
     found = plan(registry.queries()["component_products"](spark, SF))
     assert "CoGroup" in found and "NestedLoop" not in found and "lineitem" not in found and "zip_with" not in found
+
+
+def fitted(points, span, count):
+    """The trend at knots as its definition says it: all distances of a knot in order."""
+    points = sorted(points, key=lambda p: (p[1], p[0]))
+    m, q = len(points), max(int(len(points) * span + 1e-5), 3)
+    step = lambda r: r * (min(m, count) - 1) // max(m - 1, 1)
+    out = {}
+    for x0 in {p[1] for r, p in enumerate(points) if r == 0 or step(r) != step(r - 1)}:
+        near = sorted((abs(x - x0), g, x, y) for g, x, y in points)[:q]
+        h = near[-1][0] or 1.0
+        u, y = np.array([(x - x0) / h for _, _, x, _ in near]), np.array([y for *_, y in near])
+        w = np.where(np.abs([n[0] for n in near]) < h, (1 - np.abs(u) ** 3) ** 3, 0)
+        a = np.stack([u**0, u, u**2], 1)[:, : 3 if len(set(u[w > 0])) > 2 else 2 if len(set(u[w > 0])) == 2 else 1]
+        out[x0] = np.linalg.lstsq(a * np.sqrt(w)[:, None], y * np.sqrt(w), rcond=None)[0][0]
+    return out
+
+
+def test_knots(spark):
+    """Means with many ties, at some knots more of them than the genes that count there."""
+    rng = np.random.default_rng(8)
+    means = np.concatenate([np.full(40, 2.0), rng.integers(1, 9, 30) / 4, rng.uniform(0.1, 3, 50)])
+    genes = [(f"g{i:03d}", float(m), float(v)) for i, (m, v) in enumerate(zip(means, rng.uniform(0.5, 2, 120)))]
+    wanted = fitted([(g, np.log10(m), np.log10(v)) for g, m, v in genes], 0.3, 12)
+    df = spark.createDataFrame(genes, "gene string, mean double, variance double").repartition(5)
+    found = {round(r["x"], 12): r["fit"] for r in trend.knots(df, 0.3, 12).collect()}
+    assert found.keys() == {round(x, 12) for x in wanted}
+    assert all(abs(found[round(x, 12)] - y) < 1e-8 for x, y in wanted.items())
+
+
+def test_knots_meet_genes_in_sums(spark):
+    """No rows of knots and genes are shuffled or ordered; values are not read again where none is cut."""
+    found = plan(registry.queries()["genes_by_trend"](spark, SF))
+    assert "lineitem" not in found and "x0" not in found and "l_quantity" not in found
+
+
+def test_some_genes_are_cut(spark):
+    """One gene has a value to cut, another none."""
+    rng = np.random.default_rng(2)
+    rows = [(i, f"g{j}", float(rng.uniform(1, 1 + j / 10))) for i in range(40) for j in range(1, 40) if (i + j) % 3] + [(39, "one", 56.0), (38, "one", 1.0)]
+    cells = spark.createDataFrame([(i,) for i in range(40)], "cell_id bigint")
+    expr = spark.createDataFrame(rows, "cell_id bigint, gene string, value double")
+    found = trend.genes_by_trend(expr, cells).collect()
+    cut = 0
+    for r in found:
+        x = np.array([dict((c, v) for c, g, v in rows if g == r["gene"]).get(i, 0.0) for i in range(40)])
+        y = np.minimum(x, r["mean"] + np.sqrt(r["expected"]) * np.sqrt(40))
+        cut += bool((y < x).any())
+        assert abs(r["normalized"] - ((y - r["mean"]) ** 2).sum() / (39 * r["expected"])) < 1e-8 * max(1, r["normalized"])
+    assert 0 < cut < len(found) == 40
