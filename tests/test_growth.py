@@ -1,8 +1,9 @@
 """Steps that must not grow faster than their input, where the result doesn't."""
 
 import numpy as np
+import pytest
 
-from cellatlas.operators import components, trend
+from cellatlas.operators import components, graph, trend
 from cellatlas.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -78,3 +79,46 @@ def test_some_genes_are_cut(spark):
         cut += bool((y < x).any())
         assert abs(r["normalized"] - ((y - r["mean"]) ** 2).sum() / (39 * r["expected"])) < 1e-8 * max(1, r["normalized"])
     assert 0 < cut < len(found) == 40
+
+
+def brute(points, k):
+    x, ids = np.array([v for _, v in points]), [i for i, _ in points]
+    out = {}
+    for n, i in enumerate(ids):
+        d = np.sqrt(((x - x[n]) ** 2).sum(1))
+        out[i] = [(ids[j], d[j]) for j in sorted(range(len(ids)), key=lambda j: (d[j], ids[j])) if j != n][:k]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_blocks_meet(spark, monkeypatch, kind):
+    """Vectors without structure: small blocks give what all pairs give, and vectors aren't shuffled for each block."""
+    monkeypatch.setattr(graph, "BLOCK", 8 * 12 * 30)  # 30 rows
+    monkeypatch.setattr(graph, "TASK", 50)
+    calls, met = [], graph._met
+    monkeypatch.setattr(graph, "_met", lambda *a: calls.append(a) or met(*a))
+    x = np.random.default_rng(6).normal(size=(260, 12))
+    x[::9] = x[0]  # equal vectors
+    x[5] += 1e3  # far from everything
+    points = [(i if kind == "long" else f"k{i}", v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(points, f"id {kind}, vec array<double>").repartition(3)
+    found = {}
+    for r in graph.neighbours(df, 4, size=20).orderBy("id", "rank").collect():
+        found.setdefault(r["id"], []).append((r["other"], r["distance"]))
+    wanted = brute(points, 4)
+    assert {i: [o for o, _ in v] for i, v in found.items()} == {i: [o for o, _ in v] for i, v in wanted.items()}
+    assert all(abs(a[1] - b[1]) < 1e-9 for i in wanted for a, b in zip(found[i], wanted[i]))
+    assert len(calls) == 1  # rows met in their own lists only
+
+
+def test_blocks_without_far_lists(spark, monkeypatch):
+    """Groups far from each other: blocks meet, but only lists near enough are compared."""
+    monkeypatch.setattr(graph, "VISITS", 0)
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 50, (12, 5))[np.arange(300) % 12] + rng.normal(size=(300, 5))
+    points = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(points, "id long, vec array<double>")
+    found = {}
+    for r in graph.neighbours(df, 3, size=10).orderBy("id", "rank").collect():
+        found.setdefault(r["id"], []).append(r["other"])
+    assert found == {i: [o for o, _ in v] for i, v in brute(points, 3).items()}
