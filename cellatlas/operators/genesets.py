@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,20 +82,29 @@ def cell_cycle(stats: DataFrame, sets: DataFrame, clusters: DataFrame, s_set: st
     return found.select("cluster_id", s.alias("s_score"), g.alias("g2m_score"), phase.alias("phase"))
 
 
-def log_factorials(universe: DataFrame) -> DataFrame:
-    """One row, table: ln(i!) for i from 0 to the number of genes, by a running sum. A number a gene."""
-    own = universe.select("gene_u").distinct().select(F.row_number().over(Window.orderBy("gene_u")).alias("i"))
-    sums = own.select("i", F.sum(F.ln("i")).over(Window.orderBy("i")).alias("l"))
-    return sums.agg(F.concat(F.array(F.lit(0.0)), F.transform(F.sort_array(F.collect_list(F.struct("i", "l"))), lambda x: x["l"])).alias("table"))
+EXACT = [math.log(math.factorial(i)) for i in range(16)]
+
+
+def log_factorial(n: Column) -> Column:
+    """ln(n!): a table up to 15, then Stirling's series, whose next term is below 1e-13 there. No row needs a table of all genes."""
+    x = n.cast("double")
+    series = (x + 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5))) - 1 / (1680 * F.pow(x, F.lit(7)))
+    return F.when(n < len(EXACT), F.get(F.array(*[F.lit(v) for v in EXACT]), n.cast("int"))).otherwise(series)
 
 
-def hypergeometric_tail(hits: Column, drawn: Column, size: Column, table: Column) -> Column:
-    """Chance of `hits` or more of `drawn` genes in a set of `size` of all genes; table: log_factorials of these."""
-    total = F.size(table) - 1
-    at = lambda i: F.get(table, i.cast("int"))
+def hypergeometric_tail(hits: Column, drawn: Column, size: Column, total: Column) -> Column:
+    """Chance of `hits` or more of `drawn` genes in a set of `size` of all `total` genes.
+
+    The first term comes from logarithms, the others from the ratio of each to the one before.
+    """
+    at = log_factorial
     choose = lambda n, k: at(n) - at(k) - at(n - k)
-    term = lambda k: F.when(drawn - k <= total - size, F.exp(choose(size, k) + choose(total - size, drawn - k) - choose(total, drawn))).otherwise(F.lit(0.0))
-    return F.least(F.aggregate(F.sequence(hits, F.least(drawn, size)), F.lit(0.0), lambda s, k: s + term(k)), F.lit(1.0))
+    low = F.greatest(hits, drawn - (total - size))  # below, there are too few other genes
+    first = F.exp(choose(size, low) + choose(total - size, drawn - low) - choose(total, drawn))
+    ratio = lambda k: (size - k) * (drawn - k).cast("double") / ((k + 1).cast("double") * (total - size - drawn + k + 1))
+    step = lambda s, k: F.struct((s["sum"] + s["term"]).alias("sum"), (s["term"] * ratio(k)).alias("term"))
+    sums = F.aggregate(F.sequence(low, F.least(drawn, size)), F.struct(F.lit(0.0).alias("sum"), first.alias("term")), step, lambda s: s["sum"])
+    return F.when(low <= F.least(drawn, size), F.least(sums, F.lit(1.0))).otherwise(F.lit(0.0))
 
 
 def over_representation(markers: DataFrame, sets: DataFrame, universe: DataFrame, genes: int = 200, top: int = 15) -> DataFrame:
@@ -102,11 +113,12 @@ def over_representation(markers: DataFrame, sets: DataFrame, universe: DataFrame
     markers: cluster_id, gene_u, rank. Local, by the hypergeometric tail; sets count once for each distinct gene. Ranks go
     by p_adj, then p, at twelve digits, then the set's name.
     """
-    own = sets.select("set_name", F.upper("gene").alias("gene_u")).distinct().join(universe.select("gene_u"), "gene_u", "left_semi")
+    every = universe.select("gene_u").distinct()
+    own = sets.select("set_name", F.upper("gene").alias("gene_u")).distinct().join(every, "gene_u", "left_semi")
     sizes = own.groupBy("set_name").agg(F.count("*").alias("size"))
     drawn = markers.filter(F.col("rank") <= genes).select("cluster_id", "gene_u").distinct()
     counts = drawn.groupBy("cluster_id").agg(F.count("*").alias("drawn"))
-    hits = drawn.join(own, "gene_u").groupBy("cluster_id", "set_name").agg(F.count("*").alias("hits")).join(sizes, "set_name").join(counts, "cluster_id").join(log_factorials(universe), F.lit(True))
-    found = adjusted(hits.withColumn("p", hypergeometric_tail(F.col("hits"), F.col("drawn"), F.col("size"), F.col("table"))), "p", "cluster_id", "set_name")
+    hits = drawn.join(own, "gene_u").groupBy("cluster_id", "set_name").agg(F.count("*").alias("hits")).join(sizes, "set_name").join(counts, "cluster_id").join(every.agg(F.count("*").alias("total")), F.lit(True))
+    found = adjusted(hits.withColumn("p", hypergeometric_tail(F.col("hits"), F.col("drawn"), F.col("size"), F.col("total"))).drop("total"), "p", "cluster_id", "set_name")
     r = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.round("p_adj", 12), F.round("p", 12), "set_name"))
     return found.withColumn("rank", r.cast("long")).filter(F.col("rank") <= top).select("cluster_id", "set_name", "hits", "p", "p_adj", "rank")

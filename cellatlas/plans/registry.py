@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evalkit, genesets, interact, meta, names, profile, rank, stats
+from ..sources.staged import Stages
 from . import cells, more, paths, views  # noqa: F401  register their queries
 from .base import QUERIES, SQL, query, rounded
 from .fixture import ASKED, CELLS, DENSE, META, PAIRS, SETS, SPARSE, STATS, VECTORS, Atlas
@@ -812,5 +813,7 @@ adj AS (SELECT *, least(1.0, min(p * n / rk) OVER (PARTITION BY cluster_id ORDER
 
 @query("SELECT * FROM (SELECT cluster_id, set_name, hits, round(p, 6) AS p, round(p_adj, 6) AS p_adj, row_number() OVER (PARTITION BY cluster_id ORDER BY round(p_adj, 12), round(p, 12), set_name) AS rank FROM adj) WHERE rank <= 15", CELLS, SPARSE, STATS, SETS, OVER)
 def over_representation(a):
-    ranked = rank.top_genes(a.sparse_stats.withColumn("logfc", F.round("logfc", 9)), 200)
-    return rounded(genesets.over_representation(ranked.select("cluster_id", "gene_u", "rank"), a.sets, a.sparse_stats))
+    st = Stages(a.spark)
+    own = st.table(a.sparse_stats.select("cluster_id", "gene", F.round("logfc", 9).alias("logfc")), "stats")  # markers and universe read it
+    ranked = st.table(rank.top_genes(own, 200).select("cluster_id", F.upper("gene").alias("gene_u"), "rank"), "markers")
+    return rounded(genesets.over_representation(ranked, a.sets, own.select(F.upper("gene").alias("gene_u"))))

@@ -1,9 +1,12 @@
 """Steps that must not grow faster than their input, where the result doesn't."""
 
+import math
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from cellatlas.operators import components, graph, trend
+from cellatlas.operators import components, genesets, graph, trend
 from cellatlas.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -122,3 +125,29 @@ def test_blocks_without_far_lists(spark, monkeypatch):
     for r in graph.neighbours(df, 3, size=10).orderBy("id", "rank").collect():
         found.setdefault(r["id"], []).append(r["other"])
     assert found == {i: [o for o, _ in v] for i, v in brute(points, 3).items()}
+
+
+def test_tail_without_a_table(spark):
+    """Chances against whole numbers, also where the universe is large, from columns of one row each."""
+    cases = [(1, 1, 1, 1), (3, 10, 7, 20), (2, 18, 5, 20), (1, 200, 133, 20000), (9, 200, 133, 20000), (3, 40, 900, 7_000_000), (5, 20, 20, 20)]
+
+    def exact(hits, drawn, size, total):
+        ways = sum(math.comb(size, k) * math.comb(total - size, drawn - k) for k in range(hits, min(drawn, size) + 1) if drawn - k <= total - size)
+        return ways / math.comb(total, drawn)
+
+    df = spark.createDataFrame(cases, "hits long, drawn long, size long, total long")
+    found = df.select("*", genesets.hypergeometric_tail(*[F.col(c) for c in df.columns]).alias("p")).collect()
+    assert all(r["p"] == pytest.approx(exact(*list(r)[:4]), rel=1e-7) for r in found)
+
+
+def test_statistics_are_made_once(spark):
+    """Markers and the universe read one table, and no row holds a number for each gene."""
+    found = plan(registry.queries()["over_representation"](spark, SF))
+    assert "lineitem" not in found and "collect_list" not in found
+
+
+def test_values_lie_by_gene(spark):
+    """The statistics of sparse genes shuffle values once, by gene, and cells meet orders instead of values."""
+    df = registry.queries()["gene_stats_sparse"](spark, SF)
+    physical = df._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Exchange hashpartitioning(gene") == 1 and "Exchange hashpartitioning(cluster_id#" not in physical.split("HashAggregate", 1)[0]
