@@ -151,3 +151,13 @@ def test_values_lie_by_gene(spark):
     df = registry.queries()["gene_stats_sparse"](spark, SF)
     physical = df._jdf.queryExecution().executedPlan().toString()
     assert physical.count("Exchange hashpartitioning(gene") == 1 and "Exchange hashpartitioning(cluster_id#" not in physical.split("HashAggregate", 1)[0]
+
+
+def test_neighbours_of_communities_are_searched_once(spark, monkeypatch):
+    """Both queries read written pairs of ids, not the joins of vectors that give them."""
+    edges, both = [], graph._both
+    monkeypatch.setattr(graph, "_both", lambda e: edges.append(plan(e)) or both(e))
+    for name in ("community_detection", "community_modularity"):
+        edges.clear()
+        registry.queries()[name](spark, SF)
+        assert edges and all("Join" not in p and "Window" not in p and "distance" not in p for p in edges)
