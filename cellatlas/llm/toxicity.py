@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -31,7 +31,9 @@ from .labelled import held_out, lowest, sampled
 ROWS, IDS, WINDOWS, CLEAN_WINDOWS = 2000, 6000, 96, 24
 WINDOW = 8
 BUCKETS, DIM, GRAMS = 1 << 17, 4, (3, 5)  # n-grams from three characters to five
-_BITS32, _SPREAD, _SHIFT = 0xFFFFFFFF, 0x9E3779B1, 15
+_BITS32, _PRIME, _SPREAD, _SHIFT = 0xFFFFFFFF, np.uint32(0x01000193), 0x9E3779B1, 15
+_TOGETHER = 64  # characters of words that are hashed together; of longer words the rest comes one by one
+_CHARS = 1 << 18  # characters of words that are hashed at once
 STEPS, RATE, MOMENTUM, SEED = 80, 1.5, 0.9, 7
 #: Weight of toxic texts in the last calibration; below a half, as clean texts are to be left alone.
 TOXIC_SHARE = 0.15
@@ -50,25 +52,55 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def features(word: str) -> list[int]:
-    """Buckets of the word itself and of its n-grams, its ends marked; of a long word too, all of them.
+def grams(own: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of each word itself and of its n-grams, one word behind the other, and how many each has.
 
-    The hash of an n-gram goes on from that of the shorter one with the same beginning.
+    A word's ends are marked; of a long word too, all n-grams count. The hash of an n-gram goes on from that of the
+    shorter one with the same beginning, so all words are hashed together, one character after the other.
     """
-    codes = [60, *map(ord, word), 62]
-    n = len(codes)
-    h = 0
-    for c in codes:
-        h = (h * 0x01000193 ^ c) & _BITS32
-    out = [(h * _SPREAD & _BITS32) >> _SHIFT]
-    add = out.append
-    for i in range(n - 2):
-        h = ((codes[i] * 0x01000193 ^ codes[i + 1]) * 0x01000193 ^ codes[i + 2]) & _BITS32
-        add((h * _SPREAD & _BITS32) >> _SHIFT)
-        for j in range(i + GRAMS[0], min(i + GRAMS[1], n)):
-            h = (h * 0x01000193 ^ codes[j]) & _BITS32
-            add((h * _SPREAD & _BITS32) >> _SHIFT)
-    return out
+    n = np.array([len(w) + 2 for w in own], np.int64)
+    codes = np.frombuffer("".join([f"<{w}>" for w in own]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    start = np.cumsum(n) - n
+    whole = np.zeros(len(own), np.uint32)
+    order = np.argsort(-n, kind="stable")
+    for j in range(min(n.max(initial=0), _TOGETHER)):
+        at = order[: np.searchsorted(-n[order], -j)]  # those that have a character there
+        whole[at] = whole[at] * _PRIME ^ codes[start[at] + j]
+    for w in np.flatnonzero(n > _TOGETHER):
+        h = int(whole[w])
+        for c in codes[start[w] + _TOGETHER : start[w] + n[w]].tolist():
+            h = (h * 0x01000193 ^ c) & _BITS32
+        whole[w] = h
+    rest = np.repeat(start + n, n) - np.arange(len(codes))  # characters of the word from here on
+    first = np.flatnonzero(rest >= GRAMS[0])
+    h, hashes = codes[first], []
+    for j in range(1, GRAMS[1]):
+        h = h * _PRIME ^ codes[np.minimum(first + j, len(codes) - 1)]
+        if j + 1 >= GRAMS[0]:
+            hashes.append(h)
+    kept = np.arange(GRAMS[0], GRAMS[1] + 1)[None, :] <= rest[first][:, None]
+    size = np.bincount(np.repeat(np.arange(len(own)), n)[first], kept.sum(1), len(own)).astype(np.int64) + 1
+    out, begins = np.zeros(size.sum(), np.uint32), np.zeros(size.sum(), bool)
+    begins[np.cumsum(size) - size] = True
+    out[begins], out[~begins] = whole, np.stack(hashes, 1)[kept]
+    return (out * np.uint32(_SPREAD) >> np.uint32(_SHIFT)).astype(np.int32), size
+
+
+def features(word: str) -> list[int]:
+    """The buckets of one word."""
+    return grams([word])[0].tolist()
+
+
+def portions(own: list[str]) -> Iterator[list[str]]:
+    """The words, cut so that a portion has about _CHARS characters (one word at least)."""
+    start = chars = 0
+    for i, w in enumerate(own):
+        if chars and chars + len(w) > _CHARS:
+            yield own[start:i]
+            start, chars = i, 0
+        chars += len(w)
+    if len(own) > start:
+        yield own[start:]
 
 
 def bounds(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,12 +153,7 @@ def fit(rows: list[tuple[int, int, list[str]]]) -> Model:
         return Model(vectors * 0, weights, bias, (1.0, 0.0, 0.0))
     tokens, sizes, owner, labels = (np.frombuffer(x, np.int32) for x in (tokens, sizes, owner, labels))
     at = np.r_[0, np.cumsum(sizes)[:-1]]
-    gram, gram_n = array("i"), array("i")
-    for w in known:
-        own = features(w)
-        gram.extend(own)
-        gram_n.append(len(own))
-    gram, gram_n = np.frombuffer(gram, np.int32), np.frombuffer(gram_n, np.int32)
+    gram, gram_n = (np.concatenate(x) for x in zip(*map(grams, portions(list(known))), strict=True))
     gram_at = np.r_[0, np.cumsum(gram_n)[:-1]]
     y = labels[owner]
     doc_at = np.r_[0, np.flatnonzero(np.diff(owner)) + 1]
@@ -183,33 +210,48 @@ class Scorer(dict):
 
     def __init__(self, model: Model):
         self.model = model
-        self.line = (model.vectors @ (model.weights[:, 1] - model.weights[:, 0])).tolist()
+        self.line = (model.vectors @ (model.weights[:, 1] - model.weights[:, 0])).astype(np.float64)
         self.bias = float(model.bias[1] - model.bias[0])
 
-    def __missing__(self, word: str) -> float:
-        if len(self) >= _KNOWN:
+    def meet(self, texts: list[list[str]]) -> list[str]:
+        """Afterwards all words of the texts are known. Gives those of them that are too long to be kept."""
+        own = set().union(*texts)
+        new = [w for w in own if w not in self]
+        if len(self) + len(new) > _KNOWN:
             self.clear()
-        line, own = self.line, features(word)
-        x = sum([line[i] for i in own]) / len(own)
-        if len(word) < 64:
-            self[word] = x
-        return x
+            new = list(own)
+        for part in portions(new):
+            index, n = grams(part)
+            sums = np.bincount(np.repeat(np.arange(len(part)), n), self.line[index], len(part))  # in the order of the n-grams
+            self.update(zip(part, (sums / n).tolist(), strict=True))
+        return [w for w in new if len(w) >= 64]
+
+    def worsts(self, texts: Iterable[str]) -> list[tuple[float, int]]:
+        """The worst window's logit and the number of windows of each text; the texts' new words are hashed together."""
+        lists = [words(x) for x in texts]
+        long = self.meet(lists)
+        found = [self._worst(own) for own in lists]
+        for w in long:
+            del self[w]
+        return found
 
     def worst(self, text: str) -> tuple[float, int]:
-        own = list(map(self.__getitem__, words(text)))
+        return self.worsts([text])[0]
+
+    def _worst(self, own: list[str]) -> tuple[float, int]:
         if not own:
             return 0.0, 0
         total = np.zeros(len(own) + 1)
-        np.cumsum(own, out=total[1:])
+        np.cumsum(list(map(self.__getitem__, own)), out=total[1:])
         start, end = bounds(len(own))
         return float(((total[end] - total[start]) / (end - start)).max()) + self.bias, len(start)
 
-    def score(self, text: str) -> float:
-        worst, n = self.worst(text)
-        if not n:
-            return 0.0
+    def scores(self, texts: Iterable[str]) -> list[float]:
         a, b, c = self.model.scale
-        return float(1 / (1 + np.exp(-np.clip(a * worst + b * np.log(n) + c, -30, 30))))
+        return [float(1 / (1 + np.exp(-np.clip(a * worst + b * np.log(n) + c, -30, 30)))) if n else 0.0 for worst, n in self.worsts(texts)]
+
+    def score(self, text: str) -> float:
+        return self.scores([text])[0]
 
 
 def learned(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id") -> Model:
@@ -234,7 +276,7 @@ def learned(docs: DataFrame, labels: DataFrame, text: str = "text", label: str =
     def worst(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in slices(batches):
-            found = [scorer.worst(x) for x in texts(batch)]
+            found = scorer.worsts(texts(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.int64())], names=["label", "worst", "n"])
 
     return calibrated(model, [tuple(r) for r in few.mapInArrow(worst, "label int, worst double, n bigint").collect()])
@@ -252,7 +294,7 @@ def with_toxicity(df: DataFrame, model: Model, text: str = "text", keep_text: bo
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in slices(batches, column=text):
-            yield appended(batch, {"toxicity": pa.array([scorer.score(x) for x in texts(batch, text)], pa.float64())}, () if keep_text else (text,))
+            yield appended(batch, {"toxicity": pa.array(scorer.scores(texts(batch, text)), pa.float64())}, () if keep_text else (text,))
 
     return df.mapInArrow(score, StructType([*kept, StructField("toxicity", DoubleType())]))
 

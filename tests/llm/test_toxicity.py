@@ -63,3 +63,21 @@ def test_ngram_hash_goes_on_from_the_shorter_one():
         plain = [codes] + [codes[i:j] for i in range(len(codes)) for j in range(i + X.GRAMS[0], min(i + X.GRAMS[1], len(codes)) + 1)]
         bucket = lambda x: ((functools.reduce(lambda h, y: (h * 0x01000193 ^ y) & 0xFFFFFFFF, x, 0)) * 0x9E3779B1 & 0xFFFFFFFF) >> 15
         assert sorted(X.features(word)) == sorted(map(bucket, plain))
+
+
+def test_new_words_are_hashed_together(monkeypatch):
+    """Words that a worker hasn't met cost no call each, and give what each gives alone; long ones aren't kept."""
+    rng = np.random.default_rng(1)
+    own = ["".join(rng.choice(list("abcdeéß\U00010438"), n)) for n in rng.choice([1, 2, 3, 5, 9, 63, 64, 65, 200], 3000)]
+    line = rng.standard_normal((X.BUCKETS, X.DIM)).astype(np.float32)
+    scorer = X.Scorer(X.Model(line, np.eye(X.DIM, 2, dtype=np.float32), np.zeros(2, np.float32), (1.0, 0.0, 0.0)))
+    alone = {w: float(np.mean((line[:, 1].astype(float) - line[:, 0])[X.features(w)])) for w in own[:200]}
+    calls = []
+    plain = X.features
+    monkeypatch.setattr(X, "features", lambda w: calls.append(w) or plain(w))
+    monkeypatch.setattr(X, "_KNOWN", 2000)
+    texts = [" ".join(own[i : i + 7]) for i in range(0, len(own), 7)]
+    found = [r for i in range(0, len(texts), 50) for r in (scorer.worsts(texts[i : i + 50]) if hasattr(scorer, "worsts") else map(scorer.worst, texts[i : i + 50]))]
+    assert not calls and len(scorer) <= 2000 and all(len(w) < 64 for w in scorer)
+    assert found == [scorer.worst(t) for t in reversed(texts)][::-1]
+    assert all(abs(scorer.worst(w)[0] - x) < 1e-6 for w, x in alone.items())
