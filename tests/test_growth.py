@@ -161,3 +161,15 @@ def test_neighbours_of_communities_are_searched_once(spark, monkeypatch):
         edges.clear()
         registry.queries()[name](spark, SF)
         assert edges and all("Join" not in p and "Window" not in p and "distance" not in p for p in edges)
+
+
+def test_equal_vectors_are_found_by_ids(spark, monkeypatch):
+    """Vectors don't order or join rows to tell equal ones; floats stay floats; 0.0 equals -0.0."""
+    tables, plain = {}, graph.Stages.table
+    monkeypatch.setattr(graph.Stages, "table", lambda st, df, name="stage": tables.setdefault(name, (plan(df), df.dtypes)) and plain(st, df, name))
+    points = [(i, [float(i % 7), 0.0 if i % 2 else -0.0]) for i in range(30)]
+    found = {}
+    for r in graph.neighbours(spark.createDataFrame(points, "id long, vec array<float>"), 2).orderBy("id", "rank").collect():
+        found.setdefault(r["id"], []).append(r["other"])
+    assert "Window" not in tables["kept"][0] and dict(tables["kept"][1])["v"] == "array<float>"
+    assert found == {i: [o for o, _ in v] for i, v in brute(points, 2).items()}
